@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .dedup import near_duplicates
+from .repeats import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +17,10 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+def op7_suffix_array_dedup(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents"), size=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op7_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
