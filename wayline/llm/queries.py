@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dedup import near_duplicates
+from .fingerprints import fingerprint_edits
+from .quality import quality_rules
 from .repeats import remove_repeats
 
 
@@ -22,5 +24,16 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op7_suffix_array_dedup)}
+def op2_document_fingerprints(spark, sf_dir):
+    out = fingerprint_edits(table(spark, sf_dir, "documents"))
+    edited = F.sha2(F.col("edited"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "contained_in_edited")
+
+
+def op6_robust_quality_rules(spark, sf_dir):
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op4_minhash_near_dedup, op6_robust_quality_rules, op7_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
