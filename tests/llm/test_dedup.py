@@ -52,3 +52,21 @@ def test_null_ids_repeated_rows_empty_table(spark):
     out = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str)
     assert out == sorted([(None, 7, False), (7, 7, True), (7, 7, True), (None, None, True)], key=str)
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_large_group_of_varied_copies(spark, monkeypatch):
+    import random
+
+    from wayline.llm import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for n in range(250):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(docs)) == brute(rows)

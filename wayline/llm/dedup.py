@@ -5,9 +5,10 @@ Steps, all distributed:
    256-bit sketch (four low bits of each coordinate). Rows with equal sets become one class.
 2. Classes of a band are range-sorted by sketch; neighbours become candidate pairs, the best few of each
    class are confirmed on full sets, confirmed links are joined to components.
-3. Bands that still hold several components give all pairs across components whose sketches allow the
-   threshold, confirmed likewise. Pairs inside one component can't change the result, so a group of
-   copies of any size costs links in proportion to its rows, and no link across components is left out.
+3. Bands that still hold several components are gathered by their main component. Inside such a cell
+   every row outside the main component meets all rows of other components, block against block; a
+   task reports links only, never the pairs it looked at. Pairs inside one component can't change the
+   result and aren't looked at.
 """
 
 from __future__ import annotations
@@ -194,6 +195,90 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("others")), "b").select("a", "b", "items", "others").mapInArrow(run, "a long, b long")
 
 
+#: Rows of a block of a cell.
+BLOCK = 512
+
+
+def cells(placed: DataFrame) -> DataFrame:
+    """(cell, i, j, node, root, s0..s3, main) for bands with several components: rows of a cell, dealt into
+    pairs of blocks such that each row outside the main component meets every row."""
+    counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    split = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("cell"), F.count("*").alias("roots")).where("roots > 1").select("band", "cell")
+    rows = placed.join(split, "band").groupBy("cell", "node").agg(*(F.first(c).alias(c) for c in ("root", "s0", "s1", "s2", "s3")))
+    rows = rows.withColumn("main", F.col("root") == F.col("cell"))
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("others"))
+    rows = rows.join(sizes, "cell")
+    # blocks -mains..-1 are of the main component, 0..others-1 of the rest; pairs (i, j) have i <= j and j >= 0
+    block = F.when(F.col("main"), -1 - F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("others", F.lit(1)))).cast("int")
+    rows = rows.withColumn("block", block)
+    partner = F.when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+    rows = rows.withColumn("with", F.explode(partner))
+    return rows.select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root", "s0", "s1", "s2", "s3")
+
+
+def across(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of each pair of blocks, confirmed on full sets.
+
+    Once a row is linked with a component its other rows are passed over: that can't change components.
+    """
+
+    def links(t: pa.Table, out: list):
+        node, root, block = (t.column(c).to_numpy() for c in ("node", "root", "block"))
+        planes = [t.column(c).to_numpy() for c in ("s0", "s1", "s2", "s3")]
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items").combine_chunks()]
+        size = np.array([len(x) for x in items])
+        label = {int(r): int(r) for r in np.unique(root)}
+
+        def top(r):
+            while label[r] != r:
+                r = label[r]
+            return r
+
+        j = t.column("j")[0].as_py()
+        for x in np.flatnonzero(block == j):
+            off = np.zeros(len(node), np.int64)
+            for p in planes:
+                off |= p ^ p[x]
+            off = np.bitwise_count(off.view(np.uint64))
+            few, many = np.minimum(size, size[x]), np.maximum(size, size[x])
+            ok = (off <= SLACK) & (root != root[x]) & ((block != j) | (node < node[x])) & (100 * few >= percent * many)
+            for y in np.flatnonzero(ok)[np.argsort(off[ok], kind="stable")]:
+                p, q = top(int(root[x])), top(int(root[y]))
+                if p == q:
+                    continue
+                both = np.concatenate([items[x], items[y]])
+                both.sort()
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * same >= percent * (len(both) - same):
+                    label[p] = q
+                    out.append((int(node[x]), int(node[y])))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            key = [held.column(c).to_numpy() for c in ("cell", "i", "j")]
+            cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+            out, at = [], 0
+            for c in cut.tolist():
+                links(held.slice(at, c - at), out)
+                at = c
+            held = held.slice(at)
+            yield made(out)
+        if held is not None and len(held):
+            links(held, out := [])
+            yield made(out)
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.join(sets, "node").select("cell", "i", "j", "block", "node", "root", "s0", "s1", "s2", "s3", "items")
+    return rows.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, items) of the wanted classes (node, k1, k2), from the whole text of the node's document."""
 
@@ -239,17 +324,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, best: int =
     links = ws.save(confirm(pick, sets, percent))
     roots = components(links, ws)
     placed = ws.save(banded.join(roots, "node", "left").select("band", "node", "s0", "s1", "s2", "s3", F.coalesce("root", "node").alias("root")))
-    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    left = placed.join(split, "band")
-    x, y = left.alias("x"), left.alias("y")
-    differ = F.bit_count(F.expr("(x.s0 ^ y.s0) | (x.s1 ^ y.s1) | (x.s2 ^ y.s2) | (x.s3 ^ y.s3)"))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & (differ <= SLACK))
-    across = ws.save(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    more = ws.save(confirm(across, sets, percent))
+    more = ws.save(across(cells(placed), sets, percent))
     roots = components(links.union(more), ws)
     named = classes.select("k1", "k2", "n_shingles", "node").join(roots, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    for t in (near, pick, banded, placed, across, sets):
+    for t in (near, pick, banded, placed, sets):
         ws.drop(t)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
