@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .dedup import near_duplicates
 from .fingerprints import fingerprint_edits
+from .licenses import scan_licenses
+from .packing import pack_documents
 from .quality import quality_rules
 from .repeats import remove_repeats
 
@@ -15,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -30,10 +36,24 @@ def op2_document_fingerprints(spark, sf_dir):
     return out.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "contained_in_edited")
 
 
+def op5_vector_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokens=2048)
+
+
 def op6_robust_quality_rules(spark, sf_dir):
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op4_minhash_near_dedup, op6_robust_quality_rules, op7_suffix_array_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_document_fingerprints,
+        op3_license_scan,
+        op4_minhash_near_dedup,
+        op5_vector_packing,
+        op6_robust_quality_rules,
+        op7_suffix_array_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
