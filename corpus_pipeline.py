@@ -1,10 +1,65 @@
-"""A training corpus from raw documents, in stages of the operators in wayline.llm."""
+"""A training corpus from raw documents: rules, near copies, repeated passages, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; run() writes
+each stage as Parquet into the shared folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayline.llm.dedup import near_duplicates
+from wayline.llm.mixing import mix_sources
+from wayline.llm.packing import pack_documents
+from wayline.llm.quality import quality_rules
+from wayline.llm.repeats import remove_repeats
+from wayline.llm.workspace import Workspace
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their language's and source's robust bounds."""
+    return quality_rules(docs.select(*COLUMNS), carry=True)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least id, of each group of near copies."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 400 bytes or more that occur more than once."""
+    return remove_repeats(docs.select(*COLUMNS), carry=True).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled with probabilities raked to source, language and topic marginals."""
+    return mix_sources(docs.select(*COLUMNS)).where("_chosen").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens as pieces of sequences of 2048."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("suffix_array_dedup", suffix_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: SQL can't express the robust estimates, the tokenizer or the packing: tests/llm/test_pipeline.py has a
+#: brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = ws.save(stage(spark, docs, sf_dir))
+    return docs

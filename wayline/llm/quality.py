@@ -81,22 +81,34 @@ def distance(df: DataFrame, fitted: DataFrame) -> DataFrame:
     return centred.withColumn("d2", total).drop("mu", "precision", *(f"x{i}" for i in range(D)))
 
 
-def pooled(stats: DataFrame, least: int) -> DataFrame:
-    """Adds pool: language and source; sources of few rows share their language's pool, such languages one."""
+def named(df: DataFrame) -> DataFrame:
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-    stats = stats.withColumns({"by_lang": name("lang"), "by_both": F.concat(name("lang"), F.lit("\u0001"), name("source"))})
-    sizes = stats.groupBy("by_lang", "by_both").agg(F.count("*").alias("n"))
+    return df.withColumns({"by_lang": name("lang"), "by_both": F.concat(name("lang"), F.lit("\u0001"), name("source"))})
+
+
+def pools_of(stats: DataFrame, least: int) -> DataFrame:
+    """(by_both, pool): language and source; sources of few rows share their language's pool, such languages one."""
+    sizes = named(stats).groupBy("by_lang", "by_both").agg(F.count("*").alias("n"))
     small = sizes.where(F.col("n") < least).groupBy("by_lang").agg(F.sum("n").alias("rest"))
-    pools = sizes.join(small, "by_lang", "left").select("by_both", F.when(F.col("n") >= least, F.col("by_both")).when(F.col("rest") >= least, F.col("by_lang")).otherwise(F.lit("")).alias("pool"))
-    return stats.join(pools, "by_both").drop("by_both", "by_lang")
+    pool = F.when(F.col("n") >= least, F.col("by_both")).when(F.col("rest") >= least, F.col("by_lang")).otherwise(F.lit(""))
+    return sizes.join(small, "by_lang", "left").select("by_both", pool.alias("pool"))
+
+
+def pooled(stats: DataFrame, pools: DataFrame) -> DataFrame:
+    return named(stats).join(pools, "by_both", "left").drop("by_both", "by_lang")
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 3, tail: float = 1e-6, least: int = 200) -> DataFrame:
-    """doc_id, lang, source, the counts, d2, base_failed, kept of every row of docs.
+def measured(docs: DataFrame, *keep: str) -> DataFrame:
+    return text_counts(docs, *keep).select("*", *features(), base_failed().alias("base_failed"))
+
+
+def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 3, tail: float = 1e-6, least: int = 200, carry: bool = False) -> DataFrame:
+    """doc_id, lang, source, the counts, d2, base_failed, kept of every row of docs; with carry, docs' own
+    columns of the rows that are kept.
 
     A pool's estimate starts from coordinate medians and deviations, then takes `steps` concentration
     steps: the `share` of its rows nearest by the last estimate give the next mean and scatter. Rows that
@@ -105,18 +117,23 @@ def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 3, tail: fl
     their own. Repeated rows count as often as they come; ties at the share's edge are all taken in.
     """
     ws = Workspace(docs.sparkSession)
-    stats = text_counts(docs.select("doc_id", "lang", "source", "text"), "doc_id", "lang", "source").select("*", *features(), base_failed().alias("base_failed"))
-    stats = ws.save(stats)
-    table = ws.save(pooled(stats, least))
+    stats = ws.save(measured(docs, "doc_id", "lang", "source"))
+    pools = ws.save(pools_of(stats, least))
+    table = pooled(stats, pools)
     good = table.where("not base_failed").select("pool", *NAMES)
-    mid = good.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"q{i}") for i, c in enumerate(NAMES)))
+    mid = ws.save(good.groupBy("pool").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"q{i}") for i, c in enumerate(NAMES))))
     spread = good.join(mid, "pool").groupBy("pool").agg(*(F.first(f"q{i}").alias(f"q{i}") for i in range(D)), *(F.percentile_approx(F.abs(F.col(c) - F.col(f"q{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(NAMES)))
     inverse = [1 / ((1.4826 * F.col(f"s{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i in range(D) for j in range(D)]
     fitted = ws.save(spread.select("pool", F.array(*(F.col(f"q{i}") for i in range(D))).alias("mu"), F.array(*inverse).alias("precision")))
     for _ in range(steps):
         near = distance(good, fitted)
-        edge = near.groupBy("pool").agg(F.percentile_approx("d2", share, 2000).alias("edge"))
+        edge = ws.save(near.groupBy("pool").agg(F.percentile_approx("d2", share, 2000).alias("edge")))
         fitted = ws.save(model(moments(near.join(edge, "pool").where("d2 <= edge")), share))
     limit = chi2_quantile(1 - tail, D)
-    out = distance(table, fitted)
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d2", "base_failed", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"))
+    kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
+    if carry:
+        own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+        rows = docs.select("*", *(F.col(c).alias(v) for c, v in own.items())).select(*own.values(), "lang", "source", "text")
+        rows = distance(pooled(measured(rows, *own.values(), "lang", "source"), pools), fitted).where(kept)
+        return rows.select(*(F.col(v).alias(c) for c, v in own.items()))
+    return distance(table, fitted).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "d2", "base_failed", kept.alias("kept"))

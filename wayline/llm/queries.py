@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import CHAT_SQL, rotate_speakers
 from .dedup import near_duplicates
 from .fingerprints import fingerprint_edits
 from .licenses import scan_licenses
+from .mixing import mix_sources, mixing_sql
 from .packing import pack_documents
 from .quality import quality_rules
+from .ranking import score_quality
 from .repeats import remove_repeats
+from .toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +34,10 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_chat_rotation(spark, sf_dir):
+    return rotate_speakers(table(spark, sf_dir, "conversations"))
+
+
 def op2_document_fingerprints(spark, sf_dir):
     out = fingerprint_edits(table(spark, sf_dir, "documents"))
     edited = F.sha2(F.col("edited"), 256).alias("edited_sha256")
@@ -45,15 +53,35 @@ def op6_robust_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op8_mixing_rake(spark, sf_dir):
+    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    side = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return out.select("doc_id", side("source"), side("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_chosen").alias("chosen"))
+
+
+def op9_toxicity_neighbours(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0)
+
+
+def op10_quality_ranking(spark, sf_dir):
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
+    return out.select("doc_id", "held_out", "score", "predicted", "rank_score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chat_rotation,
         op2_document_fingerprints,
         op3_license_scan,
         op4_minhash_near_dedup,
         op5_vector_packing,
         op6_robust_quality_rules,
         op7_suffix_array_dedup,
+        op8_mixing_rake,
+        op9_toxicity_neighbours,
+        op10_quality_ranking,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL form: see their tests.
+ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": CHAT_SQL, "op8_mixing_rake": mixing_sql()}

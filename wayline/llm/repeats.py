@@ -77,10 +77,10 @@ def anchor_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, key long, pos long, anchor long, context long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *rest: str) -> DataFrame:
     """(doc_id, id, key, text): rows are told apart by their id and text, also where ids are null or repeat."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1)).alias("id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1)).alias("id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"), *rest)
 
 
 def contexts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -284,14 +284,18 @@ def merge_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, in
     return out
 
 
-def remove_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, size: int = 400, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row of docs (doc_id, text); with carry,
+    docs' own columns, the text being what is kept (a code point that is cut into is left out).
 
     Null texts are empty; texts shorter than `size` bytes stay whole. Rows that repeat a text lose all
-    of it (from `size` bytes on), the first one included. Other columns of docs are not read.
+    of it (from `size` bytes on), the first one included. Without carry, other columns aren't read.
     """
     ws = Workspace(docs.sparkSession)
     spans = repeated_spans(docs, size, ws)
+    rest = [c for c in docs.columns if c != "text"] if carry else []
+    own = {c: f"_own_{i}" for i, c in enumerate(rest)}
+    base = docs.select("doc_id", "text", *(F.col(c).alias(v) for c, v in own.items()))
 
     def run(batches):
         for batch in batches:
@@ -304,8 +308,16 @@ def remove_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
                 runs.append(len(merged))
                 ends = [0, *(b for _, b in merged)]
                 kept.append(b"".join(text[x:y] for x, y in zip(ends, [*(a for a, _ in merged), len(text)], strict=True)) if merged else text)
+            if carry:
+                texts = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(v) for v in own.values()), texts], [*own.values(), "text"])
+                continue
             longs = [pa.array(x, pa.int64()) for x in (lengths, removed, runs)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = keyed(docs).join(spans, ["id", "key"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = keyed(base, *own.values()).join(spans, ["id", "key"], "left")
+    if carry:
+        kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+        out = joined.select("text", "spans", *own.values()).mapInArrow(run, ", ".join([*(f"{v} {kinds[c]}" for c, v in own.items()), "text string"]))
+        return out.select(*(F.col(own[c]).alias(c) if c != "text" else F.col("text") for c in docs.columns))
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
