@@ -44,12 +44,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EV = """ev AS (SELECT user_id AS seq_id, epoch_us(ts) AS us, event_id, event_type, value,
   regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT AS k FROM events)"""
 
+#: Odd divisors keep rounded results off ties, where sums in another order would differ.
 POSE = {
-    "px": (lambda: F.col("value") / 10, "value / 10"),
-    "py": (lambda: F.col("k") / 10.0, "k / 10.0::DOUBLE"),
-    "pz": (lambda: (F.col("value") - F.col("k")) / 20, "(value - k) / 20"),
-    "vx": (lambda: F.col("k") / 10.0 - 5.0, "k / 10.0::DOUBLE - 5.0::DOUBLE"),
-    "vy": (lambda: F.col("value") / 100, "value / 100"),
+    "px": (lambda: F.col("value") / 9.7, "value / 9.7::DOUBLE"),
+    "py": (lambda: F.col("k") / 9.7, "k / 9.7::DOUBLE"),
+    "pz": (lambda: (F.col("value") - F.col("k")) / 19.3, "(value - k) / 19.3::DOUBLE"),
+    "vx": (lambda: F.col("k") / 9.7 - 5.0, "k / 9.7::DOUBLE - 5.0::DOUBLE"),
+    "vy": (lambda: F.col("value") / 97, "value / 97"),
     "vz": (lambda: F.lit(0.5), "0.5::DOUBLE"),
 }
 
@@ -76,13 +77,13 @@ def frames(spark, sf_dir) -> DataFrame:
 def samples(spark, sf_dir) -> DataFrame:
     """Inertial samples: ax from value, wx from k, the rest fixed functions of both."""
     rows = events(spark, sf_dir).where("event_type <> 'view'")
-    return rows.select("seq_id", "us", "event_id", F.col("value").alias("ax"), (F.col("k") / 10.0).alias("ay"), (F.col("value") / 50 - 9.81).alias("az"), (F.col("k") / 1000.0).alias("wx"), (F.col("value") / 5000).alias("wy"), F.lit(0.01).alias("wz"))
+    return rows.select("seq_id", "us", "event_id", (F.col("value") / 1.03).alias("ax"), (F.col("k") / 10.3).alias("ay"), (F.col("value") / 51 - 9.81).alias("az"), (F.col("k") / 997.0).alias("wx"), (F.col("value") / 5003).alias("wy"), F.lit(0.01).alias("wz"))
 
 
 FIELDS = ["event_id", "ax", "ay", "az", "wx", "wy", "wz"]
 SYNC = EV + """,
 f AS (SELECT seq_id, us, lag(us) OVER (PARTITION BY seq_id ORDER BY us) AS start_us FROM ev WHERE event_type = 'view'),
-s AS (SELECT seq_id, us, event_id, value AS ax, k / 10.0::DOUBLE AS ay, value / 50 - 9.81::DOUBLE AS az, k / 1000.0::DOUBLE AS wx, value / 5000 AS wy, 0.01::DOUBLE AS wz FROM ev WHERE event_type <> 'view'),
+s AS (SELECT seq_id, us, event_id, value / 1.03::DOUBLE AS ax, k / 10.3::DOUBLE AS ay, value / 51 - 9.81::DOUBLE AS az, k / 997.0::DOUBLE AS wx, value / 5003 AS wy, 0.01::DOUBLE AS wz FROM ev WHERE event_type <> 'view'),
 j AS (SELECT f.seq_id, f.us, f.start_us, s.us AS sus, s.event_id, s.ax, s.ay, s.az, s.wx, s.wy, s.wz FROM f LEFT JOIN s ON s.seq_id = f.seq_id AND s.us > f.start_us AND s.us <= f.us)"""
 
 

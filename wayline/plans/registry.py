@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sync  # noqa: F401
+from . import evaluation, geometry, learning, sync  # noqa: F401
 from .common import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

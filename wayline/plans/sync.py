@@ -110,17 +110,17 @@ def clamped_time_steps(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, {POSED}, c AS (SELECT *, coalesce(greatest((us - lag(us) OVER w) * 1e-6, 1e-4), 0.05) AS dt, row_number() OVER w AS r, first_value(px) OVER w AS p0 FROM posed WHERE event_type = 'click' WINDOW w AS (PARTITION BY seq_id ORDER BY us))
- SELECT seq_id, event_id, round(p0 + sum(CASE WHEN r > 1 THEN vx * dt ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING), 2) AS corrected_px FROM c""")
+ SELECT seq_id, event_id, round(p0 + sum(CASE WHEN r > 1 THEN vx * dt ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING), 3) AS corrected_px FROM c""")
 def corrected_position(spark, sf_dir):
     rows = estimates(spark, sf_dir).withColumn("dt", learning.clamped_dt())
-    return folds.gated_correction(rows, 1).select("seq_id", "event_id", F.round("hybrid_px", 2).alias("corrected_px"))
+    return folds.gated_correction(rows, 1).select("seq_id", "event_id", F.round("hybrid_px", 3).alias("corrected_px"))
 
 
 @query(f"""WITH {EV}, {POSED}, c AS (SELECT *, coalesce(greatest((us - lag(us) OVER w) * 1e-6, 1e-4), 0.05) AS dt, row_number() OVER w - 1 AS r, first_value(px) OVER w AS p0 FROM posed WHERE event_type = 'click' WINDOW w AS (PARTITION BY seq_id ORDER BY us))
- SELECT seq_id, event_id, CASE WHEN r % 3 = 0 THEN round(p0 + sum(CASE WHEN r > 0 AND r % 3 = 0 THEN vx * dt ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING), 2) ELSE round(px, 2) END AS hybrid_px FROM c""")
+ SELECT seq_id, event_id, CASE WHEN r % 3 = 0 THEN round(p0 + sum(CASE WHEN r > 0 AND r % 3 = 0 THEN vx * dt ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING), 3) ELSE round(px, 3) END AS hybrid_px FROM c""")
 def gated_correction(spark, sf_dir):
     rows = estimates(spark, sf_dir).withColumn("dt", learning.clamped_dt())
-    return folds.gated_correction(rows, 3).select("seq_id", "event_id", F.round("hybrid_px", 2).alias("hybrid_px"))
+    return folds.gated_correction(rows, 3).select("seq_id", "event_id", F.round("hybrid_px", 3).alias("hybrid_px"))
 
 
 @query(f"WITH {NEAR} SELECT seq_id, event_id, round(sqrt(avg((px - tx) * (px - tx)) OVER w), 6) AS rmse, round(avg(abs(px - tx)) OVER w, 6) AS mean FROM pairs WINDOW w AS (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING)")
