@@ -78,7 +78,7 @@ def test_health_windows_equal_the_machine(spark):
 def test_inertial_fold(spark):
     rows = [(1, [(0, 2.0, 0.0, -9.81, 0.0, 0.0, 0.0), (1_000_000, 2.0, 0.0, -9.81, 0.0, 0.0, 0.0)]), (2, []), (3, [(0, 1.0, 0.0, -9.81, 0.0, 0.0, 0.0)]), (4, [(i * 5000, 0.3, -0.2, -9.7, 0.4, -0.1, 0.2) for i in range(9)])]
     df = table(spark, rows, "id long, samples array<struct<us: long, ax: double, ay: double, az: double, wx: double, wy: double, wz: double>>")
-    got = {r.id: r for r in df.select("id", folds.integrate(F.col("samples"), folds.rest_state()).alias("s")).select("id", "s.*").collect()}
+    got = {r.id: r for r in folds.integrate(df, "id").collect()}
     assert (round(got[1].px, 12), round(got[1].vx, 12), got[1].qw) == (1.0, 2.0, 1.0)
     assert (got[2].px, got[2].vx) == (0.0, 0.0) and abs(got[3].vx - 0.005) < 1e-12
     p, v, q = folds.advance(np.zeros(3), np.zeros(3), np.array([1.0, 0, 0, 0]), np.array(rows[3][1]))

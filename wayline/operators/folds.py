@@ -4,48 +4,65 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geometry as g
-
 GRAVITY, NOMINAL_DT = 9.81, 0.005
 
 
-def integrate(samples: Column, state: Column) -> Column:
-    """Folds samples (array of us, ax..az, wx..wz, by time) into state (px..pz, vx..vz, qw..qz).
+STATE = ("px", "py", "pz", "vx", "vy", "vz", "qw", "qx", "qy", "qz")
+
+
+def turned(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows of v turned by rows of unit quaternions."""
+    t = 2 * np.cross(q[:, 1:], v)
+    return v + q[:, :1] * t + np.cross(q[:, 1:], t)
+
+
+def integrate(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and the state (STATE) after integrating each row's samples (array of us, ax..az, wx..wz, by
+    time) from rest: all rows of an Arrow batch advance together, one sample after another.
 
     n samples give n - 1 steps, each of the time to the next; one sample alone has a nominal step.
     """
-    n = F.size(samples)
-    steps = F.zip_with(F.slice(samples, 1, F.greatest(n - 1, F.lit(1))), F.slice(samples, 2, F.greatest(n, F.lit(1))), lambda a, b: F.struct(a.alias("s"), F.coalesce((b["us"] - a["us"]) * 1e-6, F.lit(NOMINAL_DT)).alias("dt")))
-    steps = F.when(n > 0, F.filter(steps, lambda x: x["s"].isNotNull()))
-
-    def step(st, x):
-        s, dt = x["s"], x["dt"]
-        q = tuple(st[c] for c in ("qw", "qx", "qy", "qz"))
-        w = tuple(s[c] for c in ("wx", "wy", "wz"))
-        rate = g.norm(w)
-        half = rate * dt / 2
-        k = F.when(rate * dt > 1e-8, F.sin(half) / F.when(rate == 0, 1.0).otherwise(rate)).otherwise(dt / 2)
-        turned = g.q_normalize(g.q_product(q, (F.cos(half), *(c * k for c in w))))
-        a = g.add(g.rotate(q, tuple(s[c] for c in ("ax", "ay", "az"))), (F.lit(0.0), F.lit(0.0), F.lit(GRAVITY)))
-        v = tuple(st[c] for c in ("vx", "vy", "vz"))
-        out = {}
-        for i, c in enumerate("xyz"):
-            out[f"p{c}"] = st[f"p{c}"] + v[i] * dt + 0.5 * a[i] * dt * dt
-        for i, c in enumerate("xyz"):
-            out[f"v{c}"] = v[i] + a[i] * dt
-        out |= dict(zip(("qw", "qx", "qy", "qz"), turned, strict=True))
-        return F.struct(*(c.alias(k) for k, c in out.items()))
-
-    return F.when(n > 0, F.aggregate(steps, state, step)).otherwise(state)
-
-
-def rest_state() -> Column:
-    zero = [F.lit(0.0).alias(c) for c in ("px", "py", "pz", "vx", "vy", "vz")]
-    return F.struct(*zero, F.lit(1.0).alias("qw"), *(F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("samples")
+            if lists.null_count:
+                lists = pc.fill_null(lists, pa.scalar([], lists.type))
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            get = lambda *names: np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)  # noqa: B023, E731
+            us = flat.field("us").to_numpy(zero_copy_only=False)
+            force, rate = get("ax", "ay", "az"), get("wx", "wy", "wz")
+            first = np.cumsum(n) - n
+            p, v, q = np.zeros((len(n), 3)), np.zeros((len(n), 3)), np.tile([1.0, 0, 0, 0], (len(n), 1))
+            for s in range(max(1, int(n.max(initial=0)) - 1)):
+                on = np.flatnonzero((n > s + 1) | ((n == 1) & (s == 0)))
+                if not len(on):
+                    break
+                at = first[on] + s
+                lone = n[on] == 1
+                dt = np.where(lone, NOMINAL_DT, (us[np.where(lone, at, at + 1)] - us[at]) * 1e-6)[:, None]
+                size = np.linalg.norm(rate[at], axis=1, keepdims=True)
+                half = size * dt / 2
+                k = np.where(size * dt > 1e-8, np.sin(half) / np.where(size == 0, 1, size), dt / 2)
+                a = turned(q[on], force[at]) + [0, 0, GRAVITY]
+                p[on] += v[on] * dt + 0.5 * a * dt * dt
+                v[on] += a * dt
+                w, x = np.cos(half), rate[at] * k
+                old = q[on]
+                new = np.concatenate([old[:, :1] * w - (old[:, 1:] * x).sum(axis=1, keepdims=True), old[:, :1] * x + w * old[:, 1:] + np.cross(old[:, 1:], x)], axis=1)
+                q[on] = new / np.linalg.norm(new, axis=1, keepdims=True)
+            state = np.concatenate([p, v, q], axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(state[:, i].copy()) for i in range(10))], [*keys, *STATE])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(*keys, "samples").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *(f"{c} double" for c in STATE)]))
 
 
 #: Health states.

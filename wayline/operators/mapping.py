@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .tables import saved
 
 
 def with_first_observation(obs: DataFrame) -> DataFrame:
@@ -77,3 +78,19 @@ def keyframe_pose(q: g.Vec, p: g.Vec, rotation: g.Mat, offset: g.Vec) -> tuple[g
     """Camera pose in the world from a body pose and the camera's place on the body."""
     body = g.q_matrix(q)
     return g.m_product(body, rotation), g.add(p, g.m_apply(body, offset))
+
+
+def track_ids(linked: DataFrame) -> DataFrame:
+    """track of every point (seq_id, frame, idx, prev_idx): points inherit the track of the point they are
+    linked to in the frame before, others start one; tracks are numbered by their first point.
+
+    Chains are halved by pointer jumping, so a track of n frames takes log n joins on its points.
+    """
+    at = linked.select("seq_id", "frame", "idx", F.when(F.col("prev_idx").isNotNull(), F.struct((F.col("frame") - 1).alias("frame"), F.col("prev_idx").alias("idx"))).alias("up"), F.struct("frame", "idx").alias("top"))
+    at = saved(at)
+    while not at.where("up is not null").isEmpty():
+        above = at.select("seq_id", F.col("frame").alias("uf"), F.col("idx").alias("ui"), F.col("up").alias("next"), F.col("top").alias("best"))
+        out = at.withColumns({"uf": F.col("up.frame"), "ui": F.col("up.idx")}).join(above, ["seq_id", "uf", "ui"], "left")
+        at = saved(out.select("seq_id", "frame", "idx", F.col("next").alias("up"), F.coalesce("best", "top").alias("top")))
+    heads = at.select("seq_id", "top").distinct().withColumn("track", F.row_number().over(Window.partitionBy("seq_id").orderBy("top")) - 1)
+    return at.join(heads, ["seq_id", "top"]).select("seq_id", "frame", "idx", F.col("track").cast("long").alias("track"))

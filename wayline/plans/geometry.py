@@ -221,18 +221,21 @@ def triangulate_dlt(spark, sf_dir):
     return mapping.triangulate(made, "p0", "p1", "x0", "x1").select("vec_id", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
+def brisk(samples: str):
+    """Days between events as seconds between samples."""
+    return F.transform(samples, lambda s: F.struct((s["us"] / 100_000).cast("long").alias("us"), *(s[c].alias(c) for c in FIELDS if c != "event_id")))
+
+
 @query()
 def imu_fold(spark, sf_dir):
-    """State after each interval from rest, folded over its nested samples (a day's gaps scaled to seconds)."""
-    scaled = F.transform("samples", lambda s: F.struct((s["us"] / 100_000).alias("us"), *(s[c].alias(c) for c in FIELDS if c != "event_id")))
-    out = synced(spark, sf_dir).withColumn("state", folds.integrate(scaled, folds.rest_state()))
-    return out.select("seq_id", "us", "state.*")
+    """State after each interval from rest, folded over its nested samples."""
+    return folds.integrate(synced(spark, sf_dir).withColumn("samples", brisk("samples")), "seq_id", "us")
 
 
 def visual(spark, sf_dir):
     """Synced intervals with a visual result: a small turn and a heading, where it succeeded."""
     rows = synced(spark, sf_dir)
-    near = F.transform("samples", lambda s: F.struct((s["us"] / 100_000).cast("long").alias("us"), *(s[c].alias(c) for c in FIELDS if c != "event_id")))
+    near = brisk("samples")
     turn = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), ((F.col("us") % 100) / 10000.0))
     return rows.select("seq_id", (F.col("us") / 100_000).cast("long").alias("us"), near.alias("samples"), ((F.col("us") % 3) > 0).alias("success"), turn.alias("turn"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("heading"))
 

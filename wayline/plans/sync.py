@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..operators import folds, joins, learning, validate
+from ..operators import folds, joins, learning, mapping, validate
 from .common import EV, FIELDS, HOUR, NEAR, POSED, SYNC, TOLERANCE, estimates, events, frames, pairs, query, samples, synced, truths
 
 DAY = 24 * HOUR
@@ -102,6 +102,17 @@ def nearest_neighbour_tracks(spark, sf_dir):
     return joins.nearest_points(points, 20.0).select("seq_id", "frame", "idx", "prev_idx", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""WITH RECURSIVE {EV}, p AS (SELECT seq_id, us // {DAY} AS frame, event_id AS idx, value AS u, k::DOUBLE AS v FROM ev),
+ d AS (SELECT a.seq_id, a.frame, a.idx, b.idx AS prev_idx, sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v)) AS distance FROM p a JOIN p b ON a.seq_id = b.seq_id AND b.frame = a.frame - 1),
+ m AS (SELECT *, row_number() OVER (PARTITION BY seq_id, frame, idx ORDER BY distance, prev_idx) AS r FROM d WHERE distance < 60),
+ l AS (SELECT p.seq_id, p.frame, p.idx, m.prev_idx FROM p LEFT JOIN m ON m.seq_id = p.seq_id AND m.frame = p.frame AND m.idx = p.idx AND m.r = 1),
+ t AS (SELECT seq_id, frame, idx, frame AS f0, idx AS i0 FROM l WHERE prev_idx IS NULL UNION ALL SELECT l.seq_id, l.frame, l.idx, t.f0, t.i0 FROM l JOIN t ON l.seq_id = t.seq_id AND l.frame = t.frame + 1 AND l.prev_idx = t.idx)
+ SELECT seq_id, frame, idx, dense_rank() OVER (PARTITION BY seq_id ORDER BY f0, i0) - 1 AS track FROM t""")
+def track_propagation(spark, sf_dir):
+    points = events(spark, sf_dir).select("seq_id", F.floor(F.col("us") / DAY).alias("frame"), F.col("event_id").alias("idx"), F.col("value").alias("u"), F.col("k").cast("double").alias("v"))
+    return mapping.track_ids(joins.nearest_points(points, 60.0))
+
+
 @query(f"""WITH {EV}, w AS (SELECT seq_id, us, event_id, lag(us) OVER (PARTITION BY seq_id ORDER BY us) AS prev_us FROM ev)
  SELECT seq_id, event_id, prev_us, round(coalesce(greatest((us - prev_us) * 1e-6, 1e-4), 0.05), 6) AS dt FROM w""")
 def clamped_time_steps(spark, sf_dir):
