@@ -155,4 +155,4 @@ def test_gate_and_training(spark):
     h = np.maximum(weights["shared.0.weight"] @ z[0] + weights["shared.0.bias"], 0)
     h = np.maximum(weights["shared.2.weight"] @ h + weights["shared.2.bias"], 0)
     want = weights["residual_head.weight"] @ h + weights["residual_head.bias"]
-    assert np.allclose(list(learning.network(df, F.col("v"), weights).select("dvx", "dvy", "dvz").first()), want, atol=1e-9)
+    assert np.allclose(list(learning.network(df, "v", weights).select("dvx", "dvy", "dvz").first()), want, atol=1e-9)

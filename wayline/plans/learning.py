@@ -51,7 +51,7 @@ MLP = f"""{X}, {STATS}, {SCALED}, v AS (SELECT vec_id, [{', '.join(INPUTS)}] AS
 def scored(spark, sf_dir):
     rows = inputs(spark, sf_dir)
     z = learning.scaled(rows, learning.scaler_stats(rows, INPUTS), INPUTS)
-    return learning.network(z.select("vec_id", F.array(*INPUTS).alias("v")), F.col("v"), W)
+    return learning.network(z.select("vec_id", F.array(*INPUTS).alias("v")), "v", W)
 
 
 OUT = ["dvx", "dvy", "dvz", "confidence"]
