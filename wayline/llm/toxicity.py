@@ -1,21 +1,26 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all words, by a block-max index of the examples."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import ALNUM, LOWER, text_chunks, word_hashes
 from .workspace import Workspace
 
-#: Most labelled documents that are read for vocabulary and examples, half of them of each label.
+#: Most labelled documents that are read as examples, half of them of each label.
 SAMPLE = 20_000
-#: Most words of the vocabulary, the least chi-square of a word with the label, and the least distance
-#: of its log odds under either label: frequent words that lean a little one way tell examples apart badly.
-WORDS, CHI2, LEAN = 256, 40.0, 2.0
+#: Weight of a word that says nothing of the label, as a factor of its IDF, and how many standard errors
+#: are taken off the distance of a word's log odds that is added to it. Every word of every text counts.
+FLOOR, ERRORS = 0.05, 2.0
 NEIGHBOURS, BLOCK = 15, 64
+#: The most frequent terms of the examples are held as a dense matrix, the others as posting lists.
+HEAD = 256
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -39,36 +44,28 @@ def word_counts(texts: pa.Array):
             yield lo + d, *np.unique(words[first[d] : first[d + 1]], return_counts=True)
 
 
-def vocabulary_hits(vocab: np.ndarray, texts: pa.Array):
-    """(first row, per chunk: owner row, term, count) of vocabulary words, in row order."""
-    for lo, hi, data, offsets in text_chunks(texts):
-        _, _, words, first = word_hashes(LOWER[data], offsets, ALNUM)
-        at = np.searchsorted(vocab, words)
-        at[at == len(vocab)] = 0
-        hit = np.flatnonzero(vocab[at] == words) if len(vocab) else np.zeros(0, np.int64)
-        owner = np.searchsorted(first, hit, "right") - 1
-        pair, count = np.unique(owner * len(vocab) + at[hit], return_counts=True) if len(hit) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield lo, hi, pair // max(1, len(vocab)), pair % max(1, len(vocab)), count
-
-
 class Index:
-    """Distinct unit vectors of the examples as posting lists, with the greatest impact of each term in
-    each block of examples."""
+    """Distinct unit vectors of the examples: the most frequent terms as blocks of a matrix with the greatest
+    impact of each term in each block of examples, all other terms as posting lists."""
 
     def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], pos: np.ndarray, neg: np.ndarray, example: np.ndarray):
-        self.idf, self.pos, self.neg, self.example = idf, pos, neg, example
+        self.idf, self.pos, self.neg, self.example, self.vectors = idf, pos, neg, example, vectors
         self.blocks = max(1, -(-len(vectors) // BLOCK))
-        # examples of similar terms share blocks, so that bounds are tight
         terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         impact = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((doc, terms))
-        self.doc, self.impact = doc[order], impact[order]
+        often = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:HEAD]
+        self.column = np.full(len(idf), -1)
+        self.column[often] = np.arange(len(often))
+        at = self.column[terms]
+        dense = np.zeros((self.blocks * BLOCK, len(often)))
+        dense[doc[at >= 0], at[at >= 0]] = impact[at >= 0]
+        self.dense = dense.reshape(self.blocks, BLOCK, -1)
+        self.most = self.dense.max(axis=1).T
+        terms, doc, impact = terms[at < 0], doc[at < 0], impact[at < 0]
+        order = np.argsort(terms, kind="stable")
+        self.doc, self.impact = doc[order].astype(np.int32), impact[order]
         self.first = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        self.most = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.most, (terms, doc // BLOCK), impact)
-        # postings of a term inside a block
-        self.of_block = self.doc // BLOCK
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -77,30 +74,36 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (ties to the lower number) and the cosines, all above 0.
 
-        Blocks are scored in descending order of their bounds, until no bound reaches the k-th cosine.
+        Posting lists are summed in full; blocks of frequent terms are scored in descending order of their
+        bounds, until no bound reaches the k-th cosine.
         """
-        bounds = weights @ self.most[terms]
+        at = self.column[terms]
+        q = np.zeros(self.dense.shape[2])
+        q[at[at >= 0]] = weights[at >= 0]
+        terms, weights = terms[at < 0], weights[at < 0]
+        lo, n = self.first[terms], self.first[terms + 1] - self.first[terms]
+        post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rare = np.bincount(self.doc[post], self.impact[post] * np.repeat(weights, n), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bounds = q @ self.most + rare.max(axis=1)
         order = np.argsort(-bounds, kind="stable")
         best_doc, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for lo in range(0, len(order), step):
+        lo, step = 0, 4
+        while lo < len(order):
             group = order[lo : lo + step]
             group = group[bounds[group] > 0]
-            if not len(group) or (len(best) >= k and bounds[group[0]] < best[-1] - 1e-12):
+            if len(best) >= k:
+                group = group[bounds[group] >= best[-1] - 1e-12]
+            if not len(group):
                 break
-            score: dict[int, np.ndarray] = {int(b): np.zeros(BLOCK) for b in group}
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.first[t], self.first[t + 1]
-                blocks = self.of_block[a:z]
-                for b in score:
-                    x, y = a + np.searchsorted(blocks, b), a + np.searchsorted(blocks, b, "right")
-                    score[b][self.doc[x:y] % BLOCK] += w * self.impact[x:y]
-            doc = np.concatenate([[best_doc], *[[b * BLOCK + np.arange(BLOCK)] for b in score]], axis=None).astype(np.int64)
-            value = np.concatenate([best, *score.values()])
-            keep = value > 0
+            value = np.concatenate([best, *(self.dense[b] @ q + rare[b] for b in group.tolist())])
+            doc = np.concatenate([best_doc, (group[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
+            keep = np.flatnonzero(value > 0)
+            if len(keep) > k:  # all that may tie with the k-th stay
+                keep = keep[value[keep] >= np.partition(value[keep], len(keep) - k)[len(keep) - k] - 1e-11]
             doc, value = doc[keep], value[keep]
             top = np.lexsort((doc, -np.round(value, 12)))[:k]
             best_doc, best = doc[top], value[top]
+            lo, step = lo + step, min(2 * step, 64)
         return best_doc, best
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray, leave: int | None = None) -> float:
@@ -135,12 +138,45 @@ def logit(v):
     return np.log(v / (1 - v))
 
 
+def word_weights(n1: np.ndarray, n0: np.ndarray, most1: int, most0: int, df: np.ndarray, total: int) -> np.ndarray:
+    """IDF of words times how surely their log odds differ between the n1 of most1 and n0 of most0 examples with them."""
+    odds = np.log((n1 + 0.5) / (most1 - n1 + 0.5)) - np.log((n0 + 0.5) / (most0 - n0 + 0.5))
+    error = np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    return (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + np.maximum(0, np.abs(odds) - ERRORS * error))
+
+
+class Model:
+    """The words of the examples, their weights, and the examples as flat arrays; tasks make the index of it once."""
+
+    def __init__(self, vocab, weights, terms, counts, first, pos, neg, example):
+        self.vocab, self.weights, self.flat = vocab, weights, (terms, counts, first, pos, neg, example)
+        self.made = None
+
+    def index(self) -> Index:
+        if self.made is None:
+            terms, counts, first, pos, neg, example = self.flat
+            w = (1 + np.log(counts)) * self.weights[terms]
+            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, first[:-1])), np.diff(first)) if len(w) else 1
+            # examples that lean on the same frequent terms share blocks, so that bounds are tight
+            often = np.bincount(terms, minlength=len(self.weights))[terms] if len(terms) else terms
+            kind = [int(terms[a:z][np.argmax(w[a:z] * (often[a:z] * 50 > len(pos)))]) for a, z in zip(first[:-1], first[1:], strict=True)]
+            order = np.argsort(np.array(kind, np.int64), kind="stable")
+            self.made = Index(self.weights, [(terms[first[i] : first[i + 1]], w[first[i] : first[i + 1]]) for i in order], pos[order], neg[order], example[order])
+            self.flat = None
+        return self.made
+
+    def __getstate__(self):
+        return {"vocab": self.vocab, "weights": self.weights, "flat": self.flat, "made": None}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Workspace, size: int = SAMPLE):
-    """(vocabulary, index, slope, intercept, rate without vocabulary words) learned from labels in `learn`.
+    """(broadcast model, document frequencies (w, n) of all words, number of documents, slope, intercept, rate of
+    wordless texts) learned from labels in `learn`.
 
-    Words are chosen by chi-square with the label in the sample; how many documents have each is counted
-    over all of docs. What comes to the driver is bounded by the sample and the vocabulary.
+    How many documents have a word is counted over all of docs, for every word. What comes to the driver is
+    the sample: its vectors, its words and its votes.
     """
+    spark = docs.sparkSession
     sample, stands = labelled_sample(labels, label, learn, size)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     texts = texts.join(F.broadcast(ws.save(sample)), "doc_id")  # at most `size` ids
@@ -148,93 +184,111 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Works
     def counted(batches):
         for batch in batches:
             found = [(w, c) for _, w, c in word_counts(batch.column("text"))]
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[i]) for x in found)]), pa.int32()), pa.array(np.concatenate([x[i] for x in found]).view(np.int64) if found else np.zeros(0, np.int64))) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "words", "counts"])
+            ends = pa.array(np.cumsum([0, *(len(w) for w, _ in found)]), pa.int32())
+            words = np.concatenate([w for w, _ in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            counts = np.concatenate([c for _, c in found]).astype(np.int32) if found else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (words, counts))], ["doc_id", "y", "words", "counts"])
 
-    read = ws.save(texts.mapInArrow(counted, "doc_id long, y int, words array<long>, counts array<long>").dropDuplicates(["doc_id"]))
+    read = ws.save(texts.mapInArrow(counted, "doc_id long, y int, words array<long>, counts array<int>").dropDuplicates(["doc_id"]))
     n = {r.y: r.n for r in read.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    cross = a * (n0 - b) - b * (n1 - a)
-    chi2 = cross * cross * (n0 + n1) / ((a + b) * (n0 + n1 - a - b + 1e-9) * max(1, n0) * max(1, n1))
-    lean = F.abs(F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5)))
-    terms = read.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).where(F.col("n0") + F.col("n1") >= 4)
-    words = ws.save(terms.withColumn("chi2", chi2).where((F.col("chi2") >= CHI2) & (lean >= LEAN)).orderBy(F.desc("chi2"), "w").limit(WORDS).select("w"))
-    chosen = words.collect()
-    vocab = np.sort(np.array([r.w for r in chosen], np.int64).view(np.uint64))
+    bare = {r.y: r.n for r in read.where(F.size("words") == 0).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # wordless texts: those of the sample, and one more text at the rate of all labels
+    share = [(1.0 + m) * stands[y] for y, m in ((0, n0), (1, n1))]
+    loose = [bare.get(y, 0) * stands[y] + share[y] / sum(share) for y in (0, 1)]
 
     def presence(batches):
-        seen, total = np.zeros(len(vocab), np.int64), 0
         for batch in batches:
-            total += len(batch)
-            for _, _, _, term, _ in vocabulary_hits(vocab, batch.column(0)):
-                seen += np.bincount(term, minlength=len(vocab))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocab))), pa.array(np.concatenate([[total], seen]))], ["term", "n"])
-
-    counts = {r.term: r.n for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(presence, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + counts.get(-1, 0)) / (1 + counts.get(i, 0))) + 1 for i in range(len(vocab))])
-
-    pairs = read.select("doc_id", "y", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("doc_id", "y", F.col("p.words").alias("w"), F.col("p.counts").alias("c"))
-    hits = pairs.join(F.broadcast(words), "w").groupBy("doc_id", "y").agg(F.collect_list(F.struct("w", "c")).alias("p"))  # at most WORDS words
-    rows = sorted(hits.collect(), key=lambda r: r.doc_id)
-    kinds: dict[tuple, list] = {}
-    bare_rows = {y: total - sum(r.y == y for r in rows) for y, total in ((0, n0), (1, n1))}
-    loose = [(1.0 + bare_rows[y]) * stands[y] for y in (0, 1)]
-    for r in rows:
-        term = np.searchsorted(vocab, np.array([x["w"] for x in r.p], np.int64).view(np.uint64))
-        key = tuple(sorted(zip(term.tolist(), (x["c"] for x in r.p), strict=True)))
-        kind = kinds.setdefault(key, [0.0, 0.0, r.doc_id, 0, 0])
-        kind[r.y] += stands[r.y]
-        kind[3 + r.y] += 1
-    keys = sorted(kinds)
-    stats = [kinds[k] for k in keys]
-    pos, neg, example = np.array([s[1] for s in stats]), np.array([s[0] for s in stats]), np.array([s[2] for s in stats], np.int64)
-    bare = Index(idf, [], pos, neg, example)
-    vectors = [(np.array([t for t, _ in k]), bare.unit(np.array([t for t, _ in k]), np.array([c for _, c in k]))) for k in keys]
-    index = Index(idf, vectors, pos, neg, example)
-    x, y, w = [], [], []
-    for i, (term, weight) in enumerate(vectors):  # each kind votes on itself without its own rows
-        v = index.vote(*index.nearest(term, weight, NEIGHBOURS + 1), leave=i)
-        if v >= 0:
-            for label_, total in ((1, pos[i]), (0, neg[i])):
-                if total:
-                    x.append(float(logit(v)))
-                    y.append(label_)
-                    w.append(total)
-    slope, intercept = platt(np.array(x), np.array(y), np.array(w)) if len(set(y)) == 2 else (1.0, 0.0)
-    return vocab, index, slope, intercept, loose[1] / sum(loose)
+            found = [w for _, w, _ in word_counts(batch.column(0))]
+            words, seen = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(seen)], ["w", "n"])
+
+    df = ws.save(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(presence, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = docs.count()
+    terms = read.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    known = terms.join(df, "w").toArrow()
+    w, a, b, seen = (known.column(c).to_numpy() for c in ("w", "n1", "n0", "n"))
+    order = np.argsort(w.view(np.uint64))
+    vocab = w.view(np.uint64)[order]
+    weights = word_weights(a[order], b[order], n1, n0, seen[order], total)
+
+    kinds = read.where(F.size("words") > 0).groupBy("words", "counts").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"), F.min("doc_id").alias("doc_id")).toArrow().combine_chunks()
+    kinds = kinds.take(pa.compute.sort_indices(kinds["doc_id"])).combine_chunks()
+    lists = [kinds[c].chunk(0) if len(kinds) else pa.array([], pa.list_(pa.int64())) for c in ("words", "counts")]
+    first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
+    at = np.searchsorted(vocab, lists[0].flatten().to_numpy().view(np.uint64)).astype(np.int32)
+    pos, neg = kinds["n1"].to_numpy() * stands[1], kinds["n0"].to_numpy() * stands[0]
+    model = spark.sparkContext.broadcast(Model(vocab, weights, at, lists[1].flatten().to_numpy().astype(np.int32), first, pos, neg, kinds["doc_id"].to_numpy()))
+
+    def votes(batches):
+        index = model.value.index()
+        for batch in batches:
+            x = []
+            for i in batch.column(0).to_pylist():  # each kind votes on itself without its own rows
+                v = index.vote(*index.nearest(*index.vectors[i], NEIGHBOURS + 1), leave=i)
+                if v >= 0:
+                    x.append((float(logit(v)), float(index.pos[i]), float(index.neg[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in x], pa.float64()) for c in range(3)], ["x", "pos", "neg"])
+
+    x = y = weight = np.zeros(0)
+    if len(kinds):
+        parts = max(1, min(spark.sparkContext.defaultParallelism * 4, len(kinds) // 64))
+        voted = spark.range(0, len(kinds), 1, parts).mapInArrow(votes, "x double, pos double, neg double").toArrow().sort_by([("x", "ascending"), ("pos", "ascending"), ("neg", "ascending")])
+        x, y = np.tile(voted["x"].to_numpy(), 2), np.repeat([1, 0], len(voted))
+        weight = np.concatenate([voted["pos"].to_numpy(), voted["neg"].to_numpy()])
+        x, y, weight = x[weight > 0], y[weight > 0], weight[weight > 0]
+    slope, intercept = platt(x, y, weight) if len(set(y.tolist())) == 2 else (1.0, 0.0)
+    return model, df, total, slope, intercept, loose[1] / sum(loose)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, size: int = SAMPLE, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine) of every row of docs.
 
     Labels are learned from rows of other folds only: a bounded sample of `size` of them, which also are
-    the examples. A text without vocabulary words, null and empty ones too, gets the rate of such texts.
-    Examples of equal vectors are one neighbour that stands for all of them, so ties aren't cut. Without
-    labels of both kinds the score is the rate alone. Null ids are never held out and never learned from.
+    the examples. All words of texts and examples are weighed. A text that shares no word with an example,
+    null and empty ones too, gets the rate of wordless texts. Examples of equal vectors are one neighbour
+    that stands for all of them, so ties aren't cut. Without labels of both kinds the score is the rate
+    alone. Null ids are never held out and never learned from.
     """
     ws = Workspace(docs.sparkSession)
-    vocab, index, slope, intercept, rate = fit(docs, labels, label, ~held_out(F.col("doc_id"), folds, fold), ws, size)
+    model, df, total, slope, intercept, rate = fit(docs, labels, label, ~held_out(F.col("doc_id"), folds, fold), ws, size)
 
     def run(batches):
-        known: dict[bytes, tuple] = {}
+        vocab, index, known = model.value.vocab, model.value.index(), {}
         for batch in batches:
-            score, near = np.full(len(batch), rate), [None] * len(batch)
-            for lo, hi, owner, term, count in vocabulary_hits(vocab, batch.column("text")):
-                bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
-                for d in np.unique(owner).tolist():
-                    t, c = term[bounds[d] : bounds[d + 1]], count[bounds[d] : bounds[d + 1]]
-                    key = t.tobytes() + c.tobytes()
-                    if key not in known:
-                        if len(known) >= 50_000:
-                            known.clear()
-                        found, cosine = index.nearest(t, index.unit(t, c), k)
-                        v = index.vote(found, cosine)
-                        p = rate if v < 0 else float(1 / (1 + np.exp(-np.clip(slope * logit(v) + intercept, -30, 30))))
-                        known[key] = p, [{"doc_id": int(index.example[i]), "cosine": float(x)} for i, x in zip(found[:3], cosine[:3], strict=True)]
-                    score[lo + d], near[lo + d] = known[key]
+            score, near, square = np.full(len(batch), rate), [None] * len(batch), np.zeros(len(batch))
+            other, many, ends = [], [], np.zeros(len(batch) + 1, np.int32)
+            for d, words, counts in word_counts(batch.column("text")):
+                at = np.searchsorted(vocab, words)
+                ok = vocab[np.minimum(at, len(vocab) - 1)] == words if len(vocab) else np.zeros(len(words), bool)
+                t, c = at[ok], counts[ok]
+                other.append(words[~ok])
+                many.append(counts[~ok])
+                ends[d + 1] = len(words) - len(t)
+                if not len(t):
+                    continue
+                square[d] = (((1 + np.log(c)) * index.idf[t]) ** 2).sum()
+                key = blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
+                if key not in known:
+                    if len(known) >= 50_000:
+                        known.clear()
+                    found, cosine = index.nearest(t, index.unit(t, c), k)
+                    v = index.vote(found, cosine)
+                    p = rate if v < 0 else float(1 / (1 + np.exp(-np.clip(slope * logit(v) + intercept, -30, 30))))
+                    known[key] = p, [{"doc_id": int(index.example[i]), "cosine": float(x)} for i, x in zip(found[:3], cosine[:3], strict=True)]
+                score[d], near[d] = known[key]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(near, kind)], ["doc_id", "score", "evidence"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
-    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+            joined = lambda x, dtype: pa.array(np.concatenate(x).view(dtype) if x else np.zeros(0, dtype))
+            pairs = pa.StructArray.from_arrays([joined(other, np.int64), joined(many, np.int64)], ["w", "c"])
+            pairs = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(near, kind), pa.array(square), pairs], ["doc_id", "score", "evidence", "square", "other"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>, square double, other array<struct<w: long, c: long>>")
+    rows = ws.save(rows.withColumn("row", F.monotonically_increasing_id()))
+    # words that no example has don't change who is nearest, but lengthen the text's vector
+    weight = (1 + F.log("c")) * (F.log((1.0 + total) / (1.0 + F.col("n"))) + 1) * FLOOR
+    longer = rows.where(F.size("other") > 0).select("row", F.explode("other").alias("o")).select("row", "o.w", "o.c").join(df, "w").groupBy("row").agg(F.sum(weight * weight).alias("more"))
+    rows = rows.drop("other").join(longer, "row", "left")
+    ratio = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0))))
+    evidence = F.transform("evidence", lambda e: F.struct(e["doc_id"].alias("doc_id"), (e["cosine"] * ratio).alias("cosine")))
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), evidence.alias("evidence"))
