@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.dedup import near_duplicates
+from wayline.llm.dedup import without_copies
 from wayline.llm.mixing import mix_sources
 from wayline.llm.packing import pack_documents
 from wayline.llm.quality import quality_rules
@@ -25,9 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near copies."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row, that of least id, of each group of near copies; repeated rows and null or shared ids are copies too."""
+    return without_copies(docs.select(*COLUMNS))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,18 @@ def test_run_and_columns(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DIR).columns == docs.columns
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, null ids and one id with two texts; all texts are over 400 bytes, as the next stage cuts those."""
+    text = {c: " ".join(f"{c}{i}" for i in range(150)) for c in "abcde"}
+    near = text["c"] + " more"
+    rows = [(1, text["a"]), (1, text["a"]), (2, text["b"]), (None, text["b"]), (None, near), (3, text["c"]), (3, text["d"]), (4, text["d"]), (None, text["e"]), (None, text["e"])]
+    docs = spark.createDataFrame([(*r, "en", "web", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    stages["minhash_near_dedup"](spark, docs, DIR).write.parquet(f"{tmp_path}/near")
+    out = spark.read.parquet(f"{tmp_path}/near")
+    want = sorted([(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (None, text["e"])], key=str)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+    after = stages["suffix_array_dedup"](spark, out, DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in after), key=str) == want

@@ -332,3 +332,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, best: int =
     for t in (near, pick, banded, placed, sets):
         ws.drop(t)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of docs (doc_id, text, others) without near copies: exactly one row of each component stays,
+    that of least doc_id, a null one last. Rows are told apart by a number of their own, so repeated rows and
+    null or shared ids are rows like any other. Texts without shingles stay.
+    """
+    ws = Workspace(docs.sparkSession)
+    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hash", F.xxhash64(*docs.columns)))
+    near = ws.save(near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k, percent).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    stay = near.join(rows.select("_row", "doc_id", "_hash"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    gone = near.select("_row").join(stay, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
