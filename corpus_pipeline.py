@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of least id, of each group of near copies; repeated rows and null or shared ids are copies too."""
-    return without_copies(docs.select(*COLUMNS))
+    """One row, that of least id, of each group of near copies (Jaccard 0.85 or more of 5-word shingles); repeated rows and null or shared ids are copies too."""
+    return without_copies(docs.select(*COLUMNS), k=5, percent=85)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

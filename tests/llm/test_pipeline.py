@@ -52,3 +52,20 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
     after = stages["suffix_array_dedup"](spark, out, DIR).collect()
     assert sorted(((r.doc_id, r.text) for r in after), key=str) == want
+
+
+def test_copies_from_four_fifths_go(spark):
+    """196 of 5-word shingles each; one changed word in the middle takes 5 of them: 4 changes leave 0.815, 5 leave 0.774."""
+    from wayline.llm.dedup import layout, without_copies
+
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(200)]
+        rows.append((3 * g, " ".join(words)))
+        for n in (4, 5):
+            rows.append((3 * g + n - 3, " ".join(f"n{n}w{i}x{g}" if i in range(20, 20 + 30 * n, 30) else w for i, w in enumerate(words))))
+    docs = spark.createDataFrame([(*r, "en", "web", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = near_brute(rows, 80)
+    got = {r.doc_id for r in without_copies(docs, 5, 80).collect()}
+    assert got == {d for d, x in near.items() if x[2]} and len(got) == 120
+    assert layout(85) == (16, 22) and layout(80) == (22, 27)

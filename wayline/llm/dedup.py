@@ -13,6 +13,8 @@ Steps, all distributed:
 
 from __future__ import annotations
 
+from math import ceil, comb, log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +25,19 @@ from .words import GOLD, LOWER, SPACED, mix, shingles, text_chunks, word_hashes
 from .workspace import Workspace
 
 COORDS, ROWS = 64, 4
-BANDS = COORDS // ROWS
+#: A pair at the threshold may share no band, or have a sketch over the slack, with this probability at most.
+MISS, OVER = 1e-5, 1.1e-5
 SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
-#: Coordinates of 64 that may differ: at Jaccard 0.85 a pair has 9 on average with deviation 2.8.
-SLACK = 22
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """Bands of 4 coordinates, and coordinates of the sketch's 64 that may differ, for a least Jaccard: 16 and 22 at
+    85 (of a pair's coordinates 9 differ on average, with deviation 2.8), 22 and 27 at 80 (12 and 3.1)."""
+    j = min(percent, 99) / 100
+    bands = max(COORDS // ROWS, ceil(log(MISS) / log(1 - j**ROWS)))
+    p = (1 - j) * 15 / 16
+    over = lambda s: sum(comb(COORDS, i) * p**i * (1 - p) ** (COORDS - i) for i in range(s + 1, COORDS + 1))
+    return bands, next(s for s in range(COORDS + 1) if over(s) <= OVER)
 
 
 def sets_of(column: pa.Array, k: int):
@@ -58,7 +69,7 @@ def circulant(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     return out
 
 
-def signature_batches(k: int):
+def signature_batches(k: int, count: int):
     def run(batches):
         for batch in batches:
             ids, rows, found = batch.column(0), [], []
@@ -68,14 +79,14 @@ def signature_batches(k: int):
             def flush():
                 if not found:
                     return
-                sig = circulant(found)
-                for b in range(BANDS):
+                sig = circulant(found, max(COORDS, count * ROWS))
+                for b in range(count):
                     h = np.full(sig.shape[1], b + 1, np.uint64)
                     for r in range(ROWS):
                         h = mix(h * GOLD + sig[b * ROWS + r])
                     bands_part.append(h)
                 for p in range(4):
-                    bits = (sig >> np.uint64(p)) & np.uint64(1)
+                    bits = (sig[:COORDS] >> np.uint64(p)) & np.uint64(1)
                     planes_part.append((bits << np.arange(COORDS, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64))
 
             for row, s in sets_of(batch.column(1), k):
@@ -99,14 +110,14 @@ def signature_batches(k: int):
                 planes.append(np.array(planes_part))
                 found = []
             n = len(batch)
-            band = np.zeros((n, BANDS), np.uint64)
+            band = np.zeros((n, count), np.uint64)
             plane = np.zeros((n, 4), np.uint64)
             if rows:
                 band[rows] = np.concatenate(bands, axis=1).T
                 plane[rows] = np.concatenate(planes, axis=1).T
             empty = np.ones(n, bool)
             empty[rows] = False
-            sizes = np.where(empty, 0, BANDS)
+            sizes = np.where(empty, 0, count)
             nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(band[~empty].reshape(-1).view(np.int64)))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -117,9 +128,9 @@ def signature_batches(k: int):
     return run
 
 
-def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, k: int = 5, count: int = COORDS // ROWS) -> DataFrame:
     """One row per document: set size, set key, band keys (none for an empty set), sketch."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signature_batches(k), SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signature_batches(k, count), SIGNATURE)
 
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
@@ -145,7 +156,7 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
         last = now
 
 
-def neighbours(rows, width: int = 1):
+def neighbours(rows, slack: int, width: int = 1):
     """Pairs of rows that follow each other in a band; rows come sorted by (band, sketch)."""
 
     def run(batches):
@@ -164,7 +175,7 @@ def neighbours(rows, width: int = 1):
                 for p in planes:
                     x |= p[same] ^ p[same + w]
                 d = np.bitwise_count(x.view(np.uint64)).astype(np.int32)
-                ok = d <= SLACK
+                ok = d <= slack
                 a.append(np.minimum(node[same], node[same + w])[ok])
                 b.append(np.maximum(node[same], node[same + w])[ok])
                 off.append(d[ok])
@@ -216,7 +227,7 @@ def cells(placed: DataFrame) -> DataFrame:
     return rows.select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root", "s0", "s1", "s2", "s3")
 
 
-def across(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(dealt: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
     """Links (a, b) between different components of each pair of blocks, confirmed on full sets.
 
     Once a row is linked with a component its other rows are passed over: that can't change components.
@@ -241,7 +252,7 @@ def across(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 off |= p ^ p[x]
             off = np.bitwise_count(off.view(np.uint64))
             few, many = np.minimum(size, size[x]), np.maximum(size, size[x])
-            ok = (off <= SLACK) & (root != root[x]) & ((block != j) | (node < node[x])) & (100 * few >= percent * many)
+            ok = (off <= slack) & (root != root[x]) & ((block != j) | (node < node[x])) & (100 * few >= percent * many)
             for y in np.flatnonzero(ok)[np.argsort(off[ok], kind="stable")]:
                 p, q = top(int(root[x])), top(int(root[y]))
                 if p == q:
@@ -305,7 +316,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, best: int =
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
-    marks = ws.save(signatures(docs, k))
+    count, slack = layout(percent)
+    marks = ws.save(signatures(docs, k, count))
     classes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("bands", "s0", "s1", "s2", "s3")))
     classes = ws.save(classes)
     banded = classes.select("node", F.explode("bands").alias("band"), "s0", "s1", "s2", "s3")
@@ -313,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, best: int =
     banded = ws.save(banded.join(shared, "band").select("band", "node", "s0", "s1", "s2", "s3"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = banded.repartitionByRange(parts, "band", "s0", "s1", "node").sortWithinPartitions("band", "s0", "s1", "s2", "node")
-    near = neighbours(ordered, 2).groupBy("a", "b").agg(F.min("off").alias("off"))
+    near = neighbours(ordered, slack, 2).groupBy("a", "b").agg(F.min("off").alias("off"))
     near = ws.save(near)
     rank = Window.partitionBy("b").orderBy("off", "a")
     star = Window.partitionBy("a").orderBy("off", "b")
@@ -324,7 +336,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, best: int =
     links = ws.save(confirm(pick, sets, percent))
     roots = components(links, ws)
     placed = ws.save(banded.join(roots, "node", "left").select("band", "node", "s0", "s1", "s2", "s3", F.coalesce("root", "node").alias("root")))
-    more = ws.save(across(cells(placed), sets, percent))
+    more = ws.save(across(cells(placed), sets, percent, slack))
     roots = components(links.union(more), ws)
     named = classes.select("k1", "k2", "n_shingles", "node").join(roots, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
