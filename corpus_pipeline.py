@@ -17,6 +17,8 @@ from wayline.llm.repeats import remove_repeats
 from wayline.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least similarity of near copies, in percent, and bytes of a passage: 51 short words have about 285.
+NEAR, PASSAGE = 80, 250
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +27,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of least id, of each group of near copies (Jaccard 0.85 or more of 5-word shingles); repeated rows and null or shared ids are copies too."""
-    return without_copies(docs.select(*COLUMNS), k=5, percent=85)
+    """One row, that of least id, of each group of near copies (Jaccard 0.8 or more of 5-word shingles).
+
+    Rows count, not ids: repeated rows and rows of null or shared ids are copies where their texts are.
+    """
+    return without_copies(docs.select(*COLUMNS), k=5, percent=NEAR)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 400 bytes or more that occur more than once."""
-    return remove_repeats(docs.select(*COLUMNS), carry=True).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, without passages of PASSAGE bytes or more that occur more than once; texts may end up empty."""
+    return remove_repeats(docs.select(*COLUMNS), size=PASSAGE, carry=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
