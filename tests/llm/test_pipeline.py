@@ -19,11 +19,11 @@ def test_stages_equal_brute_force(spark, tmp_path):
     kept = {r.doc_id for r in quality_rules(spark.read.parquet(f"{DIR}/documents.parquet")).where("kept").collect()}
     first = {r.doc_id: r for r in out["quality_rules"].collect()}
     assert first == {d: source[d] for d in kept} and 100 < len(first) < 200
-    near = near_brute([(d, r.text) for d, r in first.items()])
+    near = near_brute([(d, r.text) for d, r in first.items()], 80)
     second = {r.doc_id: r for r in out["minhash_near_dedup"].collect()}
     assert second == {d: first[d] for d, x in near.items() if x[2]}
     third = {r.doc_id: r for r in out["suffix_array_dedup"].collect()}
-    want = {x[0]: x[4].decode("utf-8", "ignore") for x in repeats_brute([(d, r.text) for d, r in second.items()], 400)}
+    want = {x[0]: x[4].decode("utf-8", "ignore") for x in repeats_brute([(d, r.text) for d, r in second.items()], 250)}
     assert {d: r.text for d, r in third.items()} == want
     assert all((r.lang, r.source, r.n_chars) == (source[d].lang, source[d].source, len(r.text)) for d, r in third.items())
     fourth = {r.doc_id: r for r in out["mixing"].collect()}
