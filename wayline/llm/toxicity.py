@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .words import ALNUM, LOWER, text_chunks, word_hashes
 from .workspace import Workspace
 
-#: Most labelled documents that are read as examples, half of them of each label.
-SAMPLE = 20_000
+#: Most labelled documents that are read as examples, half of them of each label. Search costs grow with it.
+SAMPLE = 4_000
 #: Weight of a word that says nothing of the label, as a factor of its IDF, and how many standard errors
-#: are taken off the distance of a word's log odds that is added to it. Every word of every text counts.
+#: are taken off the distance of a word's log odds that is added to it. Every word of the examples counts.
 FLOOR, ERRORS = 0.05, 2.0
 NEIGHBOURS, BLOCK = 15, 64
 #: The most frequent terms of the examples are held as a dense matrix, the others as posting lists.
@@ -44,6 +44,15 @@ def word_counts(texts: pa.Array):
             yield lo + d, *np.unique(words[first[d] : first[d + 1]], return_counts=True)
 
 
+def found_in(vocab: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted vocab of those words that it has, and which these are."""
+    if not len(vocab):
+        return np.zeros(0, np.int64), np.zeros(len(words), bool)
+    at = np.minimum(np.searchsorted(vocab, words), len(vocab) - 1)
+    ok = vocab[at] == words
+    return at[ok], ok
+
+
 class Index:
     """Distinct unit vectors of the examples: the most frequent terms as blocks of a matrix with the greatest
     impact of each term in each block of examples, all other terms as posting lists."""
@@ -170,11 +179,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Workspace, size: int = SAMPLE):
-    """(broadcast model, document frequencies (w, n) of all words, number of documents, slope, intercept, rate of
-    wordless texts) learned from labels in `learn`.
+    """(broadcast model, slope, intercept, rate of wordless texts) learned from labels in `learn`.
 
-    How many documents have a word is counted over all of docs, for every word. What comes to the driver is
-    the sample: its vectors, its words and its votes.
+    How many documents have a word is counted over all of docs, for every word of the examples. What comes
+    to the driver is the sample: its vectors, its words and its votes.
     """
     spark = docs.sparkSession
     sample, stands = labelled_sample(labels, label, learn, size)
@@ -197,20 +205,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Works
     share = [(1.0 + m) * stands[y] for y, m in ((0, n0), (1, n1))]
     loose = [bare.get(y, 0) * stands[y] + share[y] / sum(share) for y in (0, 1)]
 
+    terms = read.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).toArrow()
+    vocab = terms["w"].to_numpy().view(np.uint64)
+    order = np.argsort(vocab)
+    vocab, with1, with0 = vocab[order], terms["n1"].to_numpy()[order], terms["n0"].to_numpy()[order]
+    known = spark.sparkContext.broadcast(vocab)
+
     def presence(batches):
+        vocab, seen = known.value, None
         for batch in batches:
-            found = [w for _, w, _ in word_counts(batch.column(0))]
-            words, seen = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(seen)], ["w", "n"])
-
-    df = ws.save(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(presence, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total = docs.count()
-    terms = read.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    known = terms.join(df, "w").toArrow()
-    w, a, b, seen = (known.column(c).to_numpy() for c in ("w", "n1", "n0", "n"))
-    order = np.argsort(w.view(np.uint64))
-    vocab = w.view(np.uint64)[order]
-    weights = word_weights(a[order], b[order], n1, n0, seen[order], total)
+            seen = np.zeros(len(vocab), np.int64) if seen is None else seen
+            for _, w, _ in word_counts(batch.column(0)):
+                seen[found_in(vocab, w)[0]] += 1
+        at = np.flatnonzero(seen) if seen is not None else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at] if len(at) else np.zeros(0, np.int64))], ["at", "n"])
+
+    counted_all = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(presence, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocab))
+    df[counted_all["at"].to_numpy()] = counted_all["n"].to_numpy()
+    weights = word_weights(with1, with0, n1, n0, df, docs.count())
 
     kinds = read.where(F.size("words") > 0).groupBy("words", "counts").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"), F.min("doc_id").alias("doc_id")).toArrow().combine_chunks()
     kinds = kinds.take(pa.compute.sort_indices(kinds["doc_id"])).combine_chunks()
@@ -238,36 +251,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Works
         weight = np.concatenate([voted["pos"].to_numpy(), voted["neg"].to_numpy()])
         x, y, weight = x[weight > 0], y[weight > 0], weight[weight > 0]
     slope, intercept = platt(x, y, weight) if len(set(y.tolist())) == 2 else (1.0, 0.0)
-    return model, df, total, slope, intercept, loose[1] / sum(loose)
+    return model, slope, intercept, loose[1] / sum(loose)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, size: int = SAMPLE, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples: doc_id, cosine) of every row of docs.
 
     Labels are learned from rows of other folds only: a bounded sample of `size` of them, which also are
-    the examples. All words of texts and examples are weighed. A text that shares no word with an example,
-    null and empty ones too, gets the rate of wordless texts. Examples of equal vectors are one neighbour
-    that stands for all of them, so ties aren't cut. Without labels of both kinds the score is the rate
-    alone. Null ids are never held out and never learned from.
+    the examples. The space of vectors is that of all words of the examples, none left out; words that no
+    example has have no place in it. A text that shares no word with an example, null and empty ones too,
+    gets the rate of wordless texts. Examples of equal vectors are one neighbour that stands for all of
+    them, so ties aren't cut. Without labels of both kinds the score is the rate alone. Null ids are never
+    held out and never learned from; repeated rows are scored as often as they come. Other columns of docs
+    and labels aren't read, whatever their names.
     """
     ws = Workspace(docs.sparkSession)
-    model, df, total, slope, intercept, rate = fit(docs, labels, label, ~held_out(F.col("doc_id"), folds, fold), ws, size)
+    model, slope, intercept, rate = fit(docs, labels, label, ~held_out(F.col("doc_id"), folds, fold), ws, size)
 
     def run(batches):
         vocab, index, known = model.value.vocab, model.value.index(), {}
         for batch in batches:
-            score, near, square = np.full(len(batch), rate), [None] * len(batch), np.zeros(len(batch))
-            other, many, ends = [], [], np.zeros(len(batch) + 1, np.int32)
+            score, near = np.full(len(batch), rate), [None] * len(batch)
             for d, words, counts in word_counts(batch.column("text")):
-                at = np.searchsorted(vocab, words)
-                ok = vocab[np.minimum(at, len(vocab) - 1)] == words if len(vocab) else np.zeros(len(words), bool)
-                t, c = at[ok], counts[ok]
-                other.append(words[~ok])
-                many.append(counts[~ok])
-                ends[d + 1] = len(words) - len(t)
+                t, ok = found_in(vocab, words)
                 if not len(t):
                     continue
-                square[d] = (((1 + np.log(c)) * index.idf[t]) ** 2).sum()
+                c = counts[ok]
                 key = blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
                 if key not in known:
                     if len(known) >= 50_000:
@@ -278,17 +287,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
                     known[key] = p, [{"doc_id": int(index.example[i]), "cosine": float(x)} for i, x in zip(found[:3], cosine[:3], strict=True)]
                 score[d], near[d] = known[key]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            joined = lambda x, dtype: pa.array(np.concatenate(x).view(dtype) if x else np.zeros(0, dtype))
-            pairs = pa.StructArray.from_arrays([joined(other, np.int64), joined(many, np.int64)], ["w", "c"])
-            pairs = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(near, kind), pa.array(square), pairs], ["doc_id", "score", "evidence", "square", "other"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>, square double, other array<struct<w: long, c: long>>")
-    rows = ws.save(rows.withColumn("row", F.monotonically_increasing_id()))
-    # words that no example has don't change who is nearest, but lengthen the text's vector
-    weight = (1 + F.log("c")) * (F.log((1.0 + total) / (1.0 + F.col("n"))) + 1) * FLOOR
-    longer = rows.where(F.size("other") > 0).select("row", F.explode("other").alias("o")).select("row", "o.w", "o.c").join(df, "w").groupBy("row").agg(F.sum(weight * weight).alias("more"))
-    rows = rows.drop("other").join(longer, "row", "left")
-    ratio = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("more", F.lit(0.0))))
-    evidence = F.transform("evidence", lambda e: F.struct(e["doc_id"].alias("doc_id"), (e["cosine"] * ratio).alias("cosine")))
-    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), evidence.alias("evidence"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(near, kind)], ["doc_id", "score", "evidence"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double>>")
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
