@@ -55,3 +55,60 @@ def test_interval_tree():
     words = sorted(["banana", "bandana", "band", "ban", "can", "candy"])
     lcp = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:])]
     assert set(intervals(lcp, len(words))) == {(3, 0, 3), (4, 2, 3), (3, 4, 5)} or set(intervals(lcp, len(words))) >= {(3, 0, 3), (3, 4, 5)}
+
+
+def maximal(rows, size):
+    """{string: places} of all maximal repeats of at least `size` bytes, by brute force."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    todo, seen = {}, {}
+    for d, (_, t) in enumerate(raw):
+        for j in range(len(t) - size + 1):
+            todo.setdefault(t[j : j + size], []).append((d, j))
+    for places in (p for p in todo.values() if len(p) > 1):
+        level = {0: places}
+        n = size
+        while level:  # grow to the right while members agree
+            nxt = []
+            for group in level.values():
+                by = {}
+                for d, j in group:
+                    by.setdefault(raw[d][1][j + n : j + n + 1] or (d, j), []).append((d, j))
+                if len(by) > 1:
+                    lefts = {raw[d][1][j - 1 : j] if j else (d, j) for d, j in group}
+                    if len(lefts) > 1:
+                        seen[raw[group[0][0]][1][group[0][1] : group[0][1] + n]] = sorted(((raw[d][0], j) for d, j in group), key=str)
+                nxt += [g for k, g in by.items() if isinstance(k, bytes) and len(g) > 1]
+            level, n = dict(enumerate(nxt)), n + 1
+    return seen
+
+
+@pytest.mark.parametrize("group", [1 << 16, 2])
+def test_maximal_repeat_groups(spark, monkeypatch, group):
+    """Each maximal repeat comes with all its places, cut to the reach of an anchor's context."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = text(120), text(110)
+    rows = [(1, text(70) + a + text(40)), (2, text(90) + a + text(60)), (3, text(30) + a[10:] + text(80)), (4, b + text(75)), (5, text(64) + b), (6, text(50) + a[:105] + text(20) + b + text(9)), (7, None), (None, text(66) + b + text(31))]
+    docs = spark.createDataFrame([(*r, 1, "g") for r in rows], "doc_id long, text string, pos long, context string")
+    out = repeats.repeat_groups(docs, 100)
+    groups = {}
+    raw = {d: (t or "").encode() for d, t in rows}
+    for r in out.collect():
+        groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+    strings = {}
+    for (_, length), places in groups.items():
+        found = {raw[d][s : s + length] for d, s in places}
+        assert len(found) == 1 and len(places) > 1 and length >= 100  # all occurrences of a group are equal
+        strings.setdefault(found.pop(), set()).update(places)
+    want = maximal(rows, 100)
+
+    def members(places):  # which texts and how far apart, wherever an anchor's context cuts the string
+        first = min(places, key=str)
+        return frozenset((d, j - first[1]) for d, j in places)
+
+    if group > 2:
+        assert {members(v) for v in strings.values()} == {members(v) for v in want.values()}
+    for k, places in strings.items():  # none is left out
+        assert places == {(d, j) for d, t in raw.items() for j in range(len(t)) if t[j : j + len(k)] == k}
+    assert repeats.repeat_groups(docs.limit(0), 100).count() == 0

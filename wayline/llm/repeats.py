@@ -62,6 +62,21 @@ def anchors_in(data: np.ndarray, offsets: np.ndarray, size: int):
     return pos - offsets[row], grams[pos], context, row
 
 
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, ws: Workspace) -> DataFrame:
+    """rows joined with table on keys; n is a column of table: how many of the `total` rows have the key.
+
+    Keys of more than a quarter of a task's fair share of rows, which are at most 4 to each partition, are
+    looked up by broadcast where the rows lie; all others are shuffled. So no key fills a task.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fair = total // (4 * parts)
+    hot = ws.save(table.where(F.col(n) > fair))
+    rest = [c for c in table.columns if c not in keys]
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    cold = marked.where("_hot is null").select(*rows.columns).join(table.where(F.col(n) <= fair), keys)
+    return marked.where("_hot").select(*rows.columns, *rest).unionByName(cold.select(*rows.columns, *rest))
+
+
 def anchor_table(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -89,21 +104,21 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw = batch.column("text").cast(pa.binary())
-            out = {c: [] for c in ("anchor", "single", "id", "key", "pos", "before", "after")}
+            out = {c: [] for c in ("anchor", "context", "single", "id", "key", "pos", "before", "after")}
             for i, found in enumerate(batch.column("found").to_pylist()):
                 text = raw[i].as_py()
                 for x in found:
                     p = x["pos"]
                     out["before"].append(text[max(0, p - size + GRAM) : p][::-1])
                     out["after"].append(text[p : p + size])
-                    for c in ("anchor", "single", "pos"):
+                    for c in ("anchor", "context", "single", "pos"):
                         out[c].append(x[c])
                 out["id"] += [batch.column("id")[i].as_py()] * len(found)
                 out["key"] += [batch.column("key")[i].as_py()] * len(found)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("anchor", pa.int64()), ("single", pa.bool_()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("single", pa.bool_()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]))
 
-    grouped = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "pos", "single")).alias("found"))
-    return docs.join(grouped, ["id", "key"]).mapInArrow(run, "anchor long, single boolean, id long, key long, pos long, before binary, after binary")
+    grouped = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "context", "pos", "single")).alias("found"))
+    return docs.join(grouped, ["id", "key"]).mapInArrow(run, "anchor long, context long, single boolean, id long, key long, pos long, before binary, after binary")
 
 
 def matrix(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +154,11 @@ def intervals(lcp: list[int], q: int):
             stack.append([now, start])
 
 
-def extend_group(after, after_len, before, before_len, size: int) -> tuple[np.ndarray, np.ndarray]:
+def extend_group(after, after_len, before, before_len, size: int, nodes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """How far left and right each occurrence of an anchor repeats; both 0 where it doesn't reach size.
 
-    Rows come in suffix order.
+    Rows come in suffix order. Maximal repeats, (back, ahead, members), are added to nodes: members of an
+    interval that share `back` bytes on the left, not all of them more, and don't all lie in a deeper one.
     """
     q = len(after)
     left, right = np.zeros(q, np.int64), np.zeros(q, np.int64)
@@ -172,6 +188,11 @@ def extend_group(after, after_len, before, before_len, size: int) -> tuple[np.nd
         reach = np.zeros(len(ranks), np.int64)
         reach[:-1] = back
         reach[1:] = np.maximum(reach[1:], back)
+        if nodes is not None:
+            for run in np.split(np.arange(len(ranks)), np.flatnonzero(back + length < size) + 1):
+                members = np.sort(order[ranks[run]])
+                if len(run) > 1 and (lcp[members[0] + 1 : members[-1] + 1] == length).any():
+                    nodes.append((int(back[run[:-1]].min()), length, members))
         ok = reach + length >= size  # at least two of them share these bytes on both sides
         hit = order[ranks[ok]]
         left[hit] = np.maximum(left[hit], reach[ok])
@@ -179,14 +200,20 @@ def extend_group(after, after_len, before, before_len, size: int) -> tuple[np.nd
     return left, right
 
 
-def extend(contexts: DataFrame, size: int) -> DataFrame:
-    """Spans (id, key, start, end) of the single contexts that repeat in part."""
+SPANS = "id long, key long, start long, end long"
+NODES = "anchor long, context long, group long, back long, ahead long"
+
+
+def extend(contexts: DataFrame, size: int, nodes: bool = False) -> DataFrame:
+    """Spans (id, key, start, end) of the single contexts that repeat in part; with nodes, the maximal
+    repeats of all contexts instead (NODES), one row for each context that is a member."""
 
     def scan(t: pa.Table):
         t = t.combine_chunks()
+        flat = lambda c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
         anchor = t.column("anchor").to_numpy()
-        after, after_len = matrix(t.column("after").combine_chunks() if isinstance(t.column("after"), pa.ChunkedArray) else t.column("after"), size)
-        before, before_len = matrix(t.column("before").combine_chunks() if isinstance(t.column("before"), pa.ChunkedArray) else t.column("before"), size - GRAM)
+        after, after_len = matrix(flat("after"), size)
+        before, before_len = matrix(flat("before"), size - GRAM)
         bounds = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
         left, right = np.zeros(len(anchor), np.int64), np.zeros(len(anchor), np.int64)
         two = bounds[:-1][np.diff(bounds) == 2]
@@ -195,15 +222,26 @@ def extend(contexts: DataFrame, size: int) -> DataFrame:
         ok = r + b >= size
         for i in (two[ok], two[ok] + 1):
             left[i], right[i] = b[ok], r[ok]
+        made = [(x, y, np.array([i, i + 1])) for i, x, y in zip(two[ok].tolist(), b[ok].tolist(), r[ok].tolist(), strict=True)] if nodes else None
         for g in np.flatnonzero(np.diff(bounds) > 2):
             s = slice(bounds[g], bounds[g + 1])
-            left[s], right[s] = extend_group(after[s], after_len[s], before[s], before_len[s], size)
+            found = [] if nodes else None
+            left[s], right[s] = extend_group(after[s], after_len[s], before[s], before_len[s], size, found)
+            if nodes:
+                made += [(x, y, members + bounds[g]) for x, y, members in found]
+        if nodes:
+            sizes = np.array([len(m) for *_, m in made], np.int64)
+            rows = np.concatenate([m for *_, m in made]) if made else np.zeros(0, np.int64)
+            back, ahead = (np.array([x[i] for x in made], np.int64) for i in (0, 1))
+            context = t.column("context").to_numpy()
+            head = np.array([context[m].min() for *_, m in made], np.int64)
+            key = mix(head.view(np.uint64) * GOLD + (back * 65536 + ahead).view(np.uint64)) if made else np.zeros(0, np.uint64)
+            spread = lambda x: pa.array(np.repeat(x, sizes))
+            return pa.RecordBatch.from_arrays([pa.array(anchor[rows]), pa.array(context[rows]), spread(key.view(np.int64)), spread(back), spread(ahead)], ["anchor", "context", "group", "back", "ahead"])
         out = np.flatnonzero((left + right >= size) & t.column("single").to_numpy(zero_copy_only=False))
         pos = t.column("pos").to_numpy()[out]
         take = pa.array(out)
-        pick = lambda c: t.column(c).combine_chunks().take(take) if isinstance(t.column(c), pa.ChunkedArray) else t.column(c).take(take)
-        flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        return pa.RecordBatch.from_arrays([flat(pick("id")), flat(pick("key")), pa.array(pos - left[out]), pa.array(pos + right[out])], ["id", "key", "start", "end"])
+        return pa.RecordBatch.from_arrays([flat("id").take(take), flat("key").take(take), pa.array(pos - left[out]), pa.array(pos + right[out])], ["id", "key", "start", "end"])
 
     def run(batches):
         held = None
@@ -227,11 +265,12 @@ def extend(contexts: DataFrame, size: int) -> DataFrame:
             done = stop
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "after").mapInArrow(run, "id long, key long, start long, end long")
+    return contexts.repartition(parts, "anchor").sortWithinPartitions("anchor", "after").mapInArrow(run, NODES if nodes else SPANS)
 
 
-def extend_wide(contexts: DataFrame, size: int) -> DataFrame:
-    """The same for anchors of any number of contexts: windows are counted by offset, with combining."""
+def extend_wide(contexts: DataFrame, size: int, nodes: bool = False) -> DataFrame:
+    """The same for anchors of any number of contexts: windows are counted by offset, with combining; as
+    nodes, each window that repeats is one."""
 
     def run(batches):
         for batch in batches:
@@ -242,27 +281,38 @@ def extend_wide(contexts: DataFrame, size: int) -> DataFrame:
                 h = span_hash(prefix_hash(raw), starts, starts + size)
                 n = len(starts)
                 rep = lambda c: pa.array([batch.column(c)[i].as_py()] * n)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([rep("anchor"), pa.array(h.view(np.int64)), pa.array(batch.column("pos")[i].as_py() - len(before) + starts), rep("id"), rep("key"), rep("single")], ["anchor", "window", "start", "id", "key", "single"])
+                yield pa.RecordBatch.from_arrays([rep("anchor"), rep("context"), pa.array(h.view(np.int64)), pa.array(batch.column("pos")[i].as_py() - len(before) + starts), pa.array(len(before) - starts), rep("id"), rep("key"), rep("single")], ["anchor", "context", "window", "start", "back", "id", "key", "single"])
 
-    rows = contexts.mapInArrow(run, "anchor long, window long, start long, id long, key long, single boolean")
+    rows = contexts.mapInArrow(run, "anchor long, context long, window long, start long, back long, id long, key long, single boolean")
     place = F.struct("id", "key", "start")  # a window through two equal grams comes twice
     again = rows.groupBy("anchor", "window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    if nodes:
+        hit = rows.join(again, ["anchor", "window"])
+        return hit.select("anchor", "context", F.xxhash64("anchor", "window").alias("group"), "back", (size - F.col("back")).alias("ahead"))
     hit = rows.where("single").join(again, ["anchor", "window"])
     return hit.groupBy("id", "key", "anchor").agg(F.min("start").alias("start"), (F.max("start") + size).alias("end")).select("id", "key", "start", "end")
 
 
-def repeated_spans(docs: DataFrame, size: int, ws: Workspace) -> DataFrame:
-    """(id, key, start, end): bytes of each text that lie in a string of `size` bytes found twice or more."""
-    texts = keyed(docs)
+def occurrences(texts: DataFrame, size: int, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors that occur twice or more (id, key, pos, anchor, context); their distinct contexts with counts
+    and one occurrence; and of those the ones that must be compared, as some context of the anchor is single."""
     anchors = ws.save(anchor_table(texts.select("id", "key", "text"), size))
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = ws.save(anchors.join(again, "anchor"))
+    again = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
+    found = ws.save(meet(anchors, again, ["anchor"], "times", anchors.count(), ws).select(*anchors.columns))
     ws.drop(anchors)
     kinds = ws.save(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "pos")).alias("one")))
-    whole = found.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"])
-    copies = whole.select("id", "key", F.greatest(F.lit(0), F.col("pos") - (size - GRAM)).alias("start"), (F.col("pos") + size).alias("end"))
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").select("anchor", "contexts")
-    wanted = ws.save(kinds.join(groups, "anchor").select("anchor", "contexts", (F.col("n") == 1).alias("single"), "one.id", "one.key", "one.pos"))
+    met = meet(kinds, groups, ["anchor"], "contexts", kinds.count(), ws)
+    wanted = ws.save(met.select("anchor", "contexts", "context", (F.col("n") == 1).alias("single"), "one.id", "one.key", "one.pos"))
+    return found, kinds, wanted
+
+
+def repeated_spans(docs: DataFrame, size: int, ws: Workspace) -> DataFrame:
+    """(id, key, start, end): bytes of each text that lie in a string of `size` bytes found twice or more."""
+    texts = keyed(docs)
+    found, kinds, wanted = occurrences(texts, size, ws)
+    whole = meet(found, kinds.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"], "n", found.count(), ws)
+    copies = whole.select("id", "key", F.greatest(F.lit(0), F.col("pos") - (size - GRAM)).alias("start"), (F.col("pos") + size).alias("end"))
     narrow, wide = wanted.where(F.col("contexts") <= GROUP), wanted.where(F.col("contexts") > GROUP)
     spans = copies.union(extend(contexts_of(texts, narrow, size), size))
     if not wide.isEmpty():
@@ -273,6 +323,34 @@ def repeated_spans(docs: DataFrame, size: int, ws: Workspace) -> DataFrame:
     return per_text
 
 
+def repeat_groups(docs: DataFrame, size: int = 400) -> DataFrame:
+    """group, length, doc_id, start: every occurrence of each maximal repeat of `size` bytes or more, one row each.
+
+    A group is a node of an anchor's common-prefix interval tree whose members differ in what comes before
+    and after the bytes they share, or a context that repeats as a whole. length counts the bytes from
+    `start` that its occurrences share around the anchor, at most size - GRAM before and size after it: a
+    longer repeat, having several anchors, comes as several groups. Anchors of more than GROUP distinct
+    contexts give a group for each repeated window of `size` bytes. Members are rows, never lists, so a
+    group may have any number of them. Null texts are empty, null ids stay null; repeated rows are
+    occurrences of their own.
+    """
+    ws = Workspace(docs.sparkSession)
+    texts = keyed(docs)
+    found, kinds, wanted = occurrences(texts, size, ws)
+    total, keys = found.count(), ["anchor", "context"]
+    lengths = texts.select("id", "key", F.octet_length("text").alias("bytes")).dropDuplicates(["id", "key"])
+    whole = meet(found, kinds.where("n > 1").select(*keys, "n"), keys, "n", total, ws).join(lengths, ["id", "key"])
+    back = F.least(F.col("pos"), F.lit(size - GRAM))
+    whole = whole.select(F.xxhash64(*keys).alias("group"), (back + F.least(F.col("bytes") - F.col("pos"), F.lit(size))).alias("length"), "id", (F.col("pos") - back).alias("start"))
+    narrow, wide = wanted.where(F.col("contexts") <= GROUP), wanted.where(F.col("contexts") > GROUP)
+    nodes = extend(contexts_of(texts, narrow, size), size, nodes=True)
+    if not wide.isEmpty():
+        nodes = nodes.union(extend_wide(contexts_of(texts, wide, size), size, nodes=True))
+    nodes = ws.save(nodes.distinct().join(kinds.select(*keys, "n"), keys))
+    partly = meet(found, nodes, keys, "n", total, ws).select("group", (F.col("back") + F.col("ahead")).alias("length"), "id", (F.col("pos") - F.col("back")).alias("start"))
+    return whole.where(F.col("length") >= size).union(partly).select("group", F.col("length").cast("long").alias("length"), F.when(F.col("id") != -1, F.col("id")).alias("doc_id"), F.col("start").cast("long").alias("start"))
+
+
 def merge_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
