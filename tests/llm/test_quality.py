@@ -1,9 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 
-from wayline.llm.quality import chi2_quantile, quality_rules
+from wayline.llm.quality import chi2_quantile, consistency, quality_rules, searched
 from wayline.llm.stats import counts_of
 from wayline.llm.words import text_chunks
 
@@ -42,10 +43,83 @@ def test_junk_goes_and_sound_texts_stay(spark):
     assert sum(not r.kept for r in junk) >= 0.95 * len(junk)
 
 
+FLOOR = np.diag(np.square([0.1, 0.1, 0.5, 0.4, 0.1, 0.1]))
+
+
+def together(x, mu0, t0, factor=1.0):
+    """Mean and scatter of rows and of 30 more with mean mu0 and scatter t0."""
+    mean = x.mean(axis=0)
+    mu = (30 * mu0 + len(x) * mean) / (30 + len(x))
+    own = (x - mean).T @ (x - mean) * factor + len(x) * np.outer(mean - mu, mean - mu)
+    return mu, (30 * (t0 + np.outer(mu0 - mu, mu0 - mu)) + own) / (30 + len(x))
+
+
+def distances(x, mu, scatter):
+    return np.einsum("ij,ij->i", x - mu, np.linalg.solve(scatter + FLOOR, (x - mu).T).T)
+
+
+def brute_mcd(x, mu0, t0, share, starts=400, seed=1):
+    """The estimate of least determinant over many starts, each followed to its end on all rows."""
+    rng, best, h = np.random.default_rng(seed), (np.inf,), int(np.ceil(share * len(x)))
+    for s in range(starts):
+        mu, scatter, last = mu0, t0, np.inf
+        if s:
+            mu, scatter = together(x[rng.permutation(len(x))[: rng.integers(1, 9)]], mu0, t0)
+        while True:
+            d2 = distances(x, mu, scatter)
+            near = x[d2 <= np.sort(d2)[h - 1]]
+            mu, scatter = together(near, mu0, t0)
+            now = np.linalg.slogdet(scatter + FLOOR)[1]
+            if last - now < 1e-10:
+                break
+            last = now
+        if now < best[0] - 1e-9:
+            best = (now, near)
+    return together(best[1], mu0, t0, consistency(share))
+
+
+def test_estimates_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows, share = [], 0.75
+    for r in docs.collect():
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        n, chars, symbols, dup, repeat = brute(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+        upper, stutter = len(re.findall("[A-Z]", text)), sum(a == b for a, b in zip(words, words[1:]))
+        rate = [symbols / (n + 30), repeat / (n + 30), dup / (lines + 5), upper / (n + 30), stutter / (n + 30)]
+        rows.append((r.doc_id, r.lang, r.source, n < 20 or 100 * repeat > 30 * n, np.array([np.log((chars + 150) / (n + 30)), *np.log(0.05 + np.array(rate))])))
+    good = [r for r in rows if not r[3]]
+    x = np.array([r[4] for r in good])
+    middle = lambda a: np.sort(a, axis=0)[int(np.ceil(0.5 * len(a))) - 1]
+    centre = middle(x)
+    every = centre, np.diag((1.4826 * middle(np.abs(x - centre))) ** 2)
+    of = lambda *key: np.array([r[4] for r in good if r[1 : 1 + len(key)] == key])
+    langs = {lang: brute_mcd(of(lang), *every, share) for lang in {r[1] for r in good}}
+    pools = {k: brute_mcd(of(*k), *langs[k[0]], share) for k in {(r[1], r[2]) for r in good}}
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    for doc_id, lang, source, failed, f in rows:
+        d2 = distances(f[None], *pools[lang, source])[0] if (lang, source) in pools else None
+        assert (got[doc_id].d2 is None) == (d2 is None) and (d2 is None or abs(got[doc_id].d2 - d2) <= 1e-6 * (1 + d2)), doc_id
+        assert got[doc_id].base_failed == failed and got[doc_id].kept == (not failed and d2 <= chi2_quantile(1 - 1e-6, 6))
+
+
+def test_outliers_do_not_hide_each_other():
+    """A fifth of the rows lie together far off: the estimate is that of the others."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 6))
+    x[:80] += [12, 0, 12, 0, 0, 12]
+    _, mu, scatter = searched(x, 0.75, np.zeros(6), 9 * np.eye(6), 30, 7)[0]
+    assert np.linalg.norm(mu) < 0.6 and distances(x, mu, scatter)[:80].min() > 5 * np.median(distances(x, mu, scatter))
+
+
 def test_odd_rows(spark):
+    sound = "the quick brown fox jumps over a lazy dog while seven wise owls watch from old oak trees near our quiet river bank at dusk"
     rows = [(1, None, None, None), (2, "", "en", "s"), (None, "word " * 30, "en", None), (4, "a b " * 50, None, "s"), (4, "a b " * 50, None, "s")]
+    rows += [(10, sound, None, None), (11, sound, None, "s"), (11, sound, None, "s"), (12, sound + " again", "en", None), (None, sound, "", ""), (13, "long " + " ".join(f"w{i}" for i in range(40_000)), "en", "s")]
     docs = spark.createDataFrame([(*r, 1.0, "p") for r in rows], "doc_id long, text string, lang string, source string, d2 double, pool string")
     got = quality_rules(docs).collect()
-    assert len(got) == 5 and not any(r.kept for r in got)
-    assert quality_rules(docs.limit(0)).count() == 0
+    assert len(got) == 11 and all(r.kept for r in got if r.n_words > 20 and not r.base_failed) and sum(r.kept for r in got) == 6
+    assert sorted(map(str, quality_rules(docs, carry=True).collect())) == sorted(str(r) for r in docs.collect() if r.text and len(set(r.text.split())) > 20)
+    assert quality_rules(docs.limit(0)).count() == 0 and quality_rules(docs.where("doc_id = 2")).count() == 1
     assert abs(chi2_quantile(0.95, 6) - 12.59) < 0.05
