@@ -24,6 +24,45 @@ def test_mixing_equals_sql(spark):
         assert abs(real[s] / total - g / sum(goal.values())) < 0.01
 
 
+def capped(want, most):
+    """Shares of a total that nobody exceeds; what is over goes to the others in proportion."""
+    total, out, free = sum(want.values()), {}, set(want)
+    scale = 1.0
+    while True:
+        scale = (total - sum(out.values())) / sum(want[v] for v in free)
+        over = {v for v in free if want[v] * scale > most[v]}
+        if not over:
+            return out | {v: want[v] * scale for v in free}
+        out |= {v: most[v] for v in over}
+        free -= over
+
+
+def test_expected_tokens_meet_the_marginals(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = mix_sources(docs).collect()
+    total = sum(r._tokens for r in rows)
+    assert max(r._probability for r in rows) <= 1
+    for key in ("source", "lang", "_topic"):
+        have, got = {}, {}
+        for r in rows:
+            have[r[key]] = have.get(r[key], 0) + r._tokens
+            got[r[key]] = got.get(r[key], 0) + r._tokens * r._probability
+        power = {v: n**0.7 for v, n in have.items()}
+        goal = {v: x / sum(power.values()) * total for v, x in power.items()}
+        goal = capped(goal, {v: n / 0.5 for v, n in have.items()})
+        assert all(abs(got[v] - 0.5 * goal[v]) < 0.001 * goal[v] for v in goal), key
+    assert abs(sum(r._tokens * r._probability for r in rows) / total - 0.5) < 1e-4
+
+
+def test_targets_beyond_what_there_is(spark):
+    """A source that should be nine tenths but has one hundred of a thousand tokens is taken whole."""
+    rows = [(i, "abcd" * 10, "en", "few" if i < 10 else f"big{i % 2}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goal = spark.createDataFrame([("few", 0.9), ("big0", 0.05), ("big1", 0.05), ("absent", 0.3)], "value string, share double")
+    got = {r.source: r.p for r in mix_sources(docs, share=0.5, targets={"source": goal}).groupBy("source").agg({"_probability": "avg"}).toDF("source", "p").collect()}
+    assert abs(got["few"] - 1) < 1e-6 and all(abs(got[s] - 40 / 90) < 1e-6 for s in ("big0", "big1"))
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "en", None), (None, "x|y", None, "s"), (4, "z " * 50000, "en", "s"), (4, "z " * 50000, "en", "s")]
     docs = spark.createDataFrame([(*r, "t", 5) for r in rows], "doc_id long, text string, lang string, source string, topic string, tokens int")

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .workspace import Workspace
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Rounds over the three marginals.
+ROUNDS = 8
 
 
 def topic_of(text: Column) -> Column:
@@ -27,26 +29,51 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4.0)).cast("long")
 
 
-def raked(cells: DataFrame, power: float, steps: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: tokens fitted to the target marginals.
+def filled(df: DataFrame, value: str, most: str, goal: str, by: list[str]) -> DataFrame:
+    """value scaled by one factor for each group, but to `most` at most, so that its sum is the group's goal.
+
+    In order of most / value, the rows up to some place are at their most; the factor of the rest is the
+    greatest of what each place would give.
+    """
+    group, order = Window.partitionBy(*by), F.coalesce(F.try_divide(most, value), F.lit(float("inf")))
+    before = Window.partitionBy(*by).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.withColumn("_order", order).withColumns({"_full": F.coalesce(F.sum(most).over(before), F.lit(0.0)), "_rest": F.sum(value).over(group) - F.coalesce(F.sum(value).over(before), F.lit(0.0))})
+    factor = F.max(F.when(F.col(value) > 0, F.try_divide(F.col(goal) - F.col("_full"), F.greatest("_rest", value)))).over(group)
+    out = sums.withColumn("_factor", factor)
+    return out.withColumn(value, F.least(F.col(most), F.col(value) * F.coalesce("_factor", F.lit(0.0)))).drop("_order", "_full", "_rest", "_factor")
+
+
+def raked(cells: DataFrame, share: float, power: float, rounds: int, targets: dict[str, DataFrame] | None = None, ws: Workspace | None = None) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight, and the marginals to_source, to_lang, to_topic it is fitted to.
 
     The target share of a value is given in targets[dimension] (value, share), or else its token share to
-    the given power, made to sum to one. Each step scales the weights to one marginal after another.
+    the given power, made to sum to one. No weight exceeds tokens / share, so that share * weight / tokens
+    is a probability: a value whose target is more than all its tokens takes them all, and what is over
+    goes to the others. Each round fits the weights to one marginal after another under these bounds.
     """
-    everything = Window.partitionBy()
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    ws = ws or Workspace(cells.sparkSession)
+    out = cells.withColumns({"weight": F.col("tokens").cast("double"), "most": F.col("tokens") / share})
     for d in DIMENSIONS:
-        marginal = out.groupBy(d).agg(F.sum("tokens").alias("n"))
+        marginal = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("n"))
         if targets and d in targets:
-            marginal = marginal.join(targets[d].select(F.coalesce(F.col("value"), F.lit("")).alias(d), F.col("share").alias("x")), d, "left").fillna(0.0, ["x"])
+            marginal = marginal.join(targets[d].select(F.coalesce(F.col("value"), F.lit("")).alias(d), F.col("share").alias(f"to_{d}")), d, "left").fillna(0.0, [f"to_{d}"])
         else:
-            marginal = marginal.withColumn("x", F.pow(F.col("n").cast("double"), F.lit(power)))
-        marginal = marginal.select(d, (F.col("x") / F.sum("x").over(everything) * F.sum("n").over(everything)).alias(f"to_{d}"))
-        out = out.join(marginal, d)
-    for _ in range(steps):
+            marginal = marginal.withColumn(f"to_{d}", F.pow("n", F.lit(power)))
+        marginal = marginal.withColumns({"most": F.col("n") / share, "all": F.sum("n").over(Window.partitionBy())})
+        out = out.join(filled(marginal, f"to_{d}", "most", "all", []).select(d, f"to_{d}"), d)
+    out = ws.save(out)
+    for n in range(rounds):
         for d in DIMENSIONS:
-            out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"to_{d}"), F.sum("weight").over(Window.partitionBy(d))), F.lit(0.0)))
-    return out.select(*DIMENSIONS, "tokens", "weight")
+            out = filled(out, "weight", "most", f"to_{d}", [d])
+        if n % 4 == 3:  # keeps plans short
+            out = ws.save(out)
+    return out.select(*DIMENSIONS, "tokens", "weight", *(f"to_{d}" for d in DIMENSIONS))
+
+
+def residuals(fitted: DataFrame) -> DataFrame:
+    """dimension, value, target, fitted: how near the weights of raked() come to each marginal, in tokens."""
+    parts = [fitted.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.first(f"to_{d}").alias("target"), F.sum("weight").alias("fitted")) for d in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def lot(doc_id: Column, text: Column, seed: int) -> Column:
@@ -55,13 +82,15 @@ def lot(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.7, steps: int = 8, seed: int = 17, targets: dict[str, DataFrame] | None = None, tokens: Column | None = None, topic: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.7, rounds: int = ROUNDS, seed: int = 17, targets: dict[str, DataFrame] | None = None, tokens: Column | None = None, topic: Column | None = None) -> DataFrame:
     """The rows of docs with _topic, _tokens, _weight, _probability, _chosen added.
 
     _weight is the factor by which a cell's tokens are to count after raking to source, language and topic
-    marginals; a row is chosen with probability least(1, share * _weight), by a lot drawn from its id.
-    Null texts count as empty, null sources and languages are values of their own. Rows with equal ids
-    share their lot, so they come or go together where their cells agree.
+    marginals; a row is chosen with probability share * _weight, which is never above 1, by a lot drawn
+    from its id. So the expected tokens are `share` of all, dealt by the marginals, as far as they have the
+    tokens. Null texts count as empty, null sources and languages are values of their own. Rows with equal
+    ids share their lot, so they come or go together where their cells agree. Long texts count whole; docs'
+    own columns stay as they are, but for names that begin like the added ones (_source, _topic ...).
     """
     ws = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -69,7 +98,7 @@ def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.7, steps:
     count = tokens if tokens is not None else tokens_of(text)
     cells = docs.select(*(c.alias(d) for d, c in key.items()), count.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     # one row for each source, language and topic that occur together; saved, so that its size is known
-    fitted = ws.save(raked(ws.save(cells), power, steps, targets))
+    fitted = ws.save(raked(ws.save(cells), share, power, rounds, targets, ws))
     factor = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.round(F.col("weight") / F.col("tokens"), 8).alias("_weight"))
     rows = docs.withColumns({f"_{d}": c for d, c in key.items()} | {"_tokens": count, "_lot": lot(F.col("doc_id"), text, seed)})
     out = rows.join(factor, [f"_{d}" for d in DIMENSIONS])
@@ -77,8 +106,16 @@ def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.7, steps:
     return out.select(*docs.columns, "_topic", "_tokens", "_weight", "_probability", (F.col("_lot") < F.col("_probability")).alias("_chosen"))
 
 
-def mixing_sql(share: float = 0.5, power: float = 0.7, steps: int = 8, seed: int = 17, docs: str = "documents") -> str:
-    """The same in SQL, its steps unrolled."""
+def filled_sql(name: str, source: str, value: str, most: str, goal: str, by: str = "") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    before = f"OVER ({part} ORDER BY coalesce({most} / nullif({value}, 0), 'Infinity'::DOUBLE) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name} AS (SELECT * EXCLUDE (_full, _rest, _factor) REPLACE (least({most}, {value} * coalesce(_factor, 0)) AS {value}) FROM (
+  SELECT *, max(CASE WHEN {value} > 0 THEN ({goal} - _full) / nullif(greatest(_rest, {value}), 0) END) OVER ({part}) AS _factor FROM (
+  SELECT *, coalesce(sum({most}) {before}, 0) AS _full, sum({value}) OVER ({part}) - coalesce(sum({value}) {before}, 0) AS _rest FROM {source})))"""
+
+
+def mixing_sql(share: float = 0.5, power: float = 0.7, rounds: int = ROUNDS, seed: int = 17, docs: str = "documents") -> str:
+    """The same in SQL, its rounds unrolled."""
     parts = [
         f"""rows0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
     CASE WHEN instr(coalesce(text, ''), '|') > 0 THEN 'tables' WHEN instr(coalesce(text, ''), 'icense') > 0 THEN 'legal'
@@ -89,12 +126,14 @@ def mixing_sql(share: float = 0.5, power: float = 0.7, steps: int = 8, seed: int
         "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows0 GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
-        parts.append(f"m_{d} AS (SELECT {d}, pow(n, {power}) / sum(pow(n, {power})) OVER () * sum(n) OVER () AS to_{d} FROM (SELECT {d}, sum(tokens) AS n FROM cells GROUP BY ALL))")
-    parts.append("w0 AS (SELECT *, tokens AS weight FROM cells JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic))")
+        parts.append(f"n_{d} AS (SELECT {d}, sum(tokens) AS n, pow(sum(tokens), {power}) AS to_{d}, sum(tokens) / {share}::DOUBLE AS most, sum(sum(tokens)) OVER () AS everything FROM cells GROUP BY {d})")
+        parts.append(filled_sql(f"m_{d}", f"n_{d}", f"to_{d}", "most", "everything"))
+    goals = " ".join(f"JOIN (SELECT {d}, to_{d} FROM m_{d}) USING ({d})" for d in DIMENSIONS)
+    parts.append(f"w0 AS (SELECT *, tokens AS weight, tokens / {share}::DOUBLE AS most FROM cells {goals})")
     n = 0
-    for _ in range(steps):
+    for _ in range(rounds):
         for d in DIMENSIONS:
-            parts.append(f"w{n + 1} AS (SELECT * REPLACE (weight * to_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM w{n})")
+            parts.append(filled_sql(f"w{n + 1}", f"w{n}", "weight", "most", f"to_{d}", d))
             n += 1
     parts.append(f"factor AS (SELECT source, lang, topic, round(weight / tokens, 8) AS weight FROM w{n})")
     return "WITH " + ",\n".join(parts) + f"""
