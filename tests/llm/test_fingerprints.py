@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from wayline.llm import fingerprints as fp
+from wayline.llm.words import SPACED, shingles, word_hashes
 
 
 def edits(rows):
@@ -49,3 +51,29 @@ def test_estimates_and_merging(spark):
     parts = fp.fingerprints(spark.createDataFrame(rows, "g string, t string"), "g", "t")
     whole = fp.sketches(pa.array([" ".join(words[:4004])]))[0]
     assert (np.array(fp.merged(parts, "g").first().sketch, np.int64).view(np.uint64) == whole).all()
+
+
+def least_hashes(text):
+    """The bottom 128 of all distinct shingle hashes, by sorting them all."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    _, _, hashes, first = word_hashes(raw, np.array([0, len(raw)]), SPACED)
+    return sorted(set(shingles(hashes, first, 5)[0].tolist()))[:128]
+
+
+def test_query_equals_sorting_all_hashes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    plain = {d: least_hashes(t) for d, t in rows}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in rows}
+    sizes = {d: len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) or bool(w) for d, w in words.items()}
+    assert all(len(plain[d]) == min(128, sizes[d]) for d in plain)  # as many hashes as shingles
+
+    def alike(x, y):
+        union = sorted(set(x) | set(y))[:128]
+        return len(set(union) & set(x) & set(y)) / len(union) if union else 1.0
+
+    after = {d: rows[(i + 1) % len(rows)][0] for i, (d, _) in enumerate(rows)}
+    for r in fp.fingerprint_edits(docs, parts=5).collect():
+        edited = least_hashes(r.edited)
+        assert fp.decode(r.fingerprint).tolist() == plain[r.doc_id] and fp.decode(r.edited_fingerprint).tolist() == edited
+        assert r.near_edited == alike(plain[r.doc_id], edited) and r.near_next == alike(plain[r.doc_id], plain[after[r.doc_id]])

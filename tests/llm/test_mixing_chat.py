@@ -92,3 +92,10 @@ def test_chat_odd_rows(spark):
     assert all(a[1] == b[0] for a, b in zip(ann, ann[1:])) and ann[0][0] == 0
     assert {r.perspective for r in got} == {"ann", "bob", "cy", "unknown"}
     assert rotate_speakers(turns.limit(0)).count() == 0
+
+
+def test_null_and_empty_conversations_are_two(spark):
+    rows = [(None, 0, "ann", "a"), ("", 0, "bob", "b"), ("", 2000, "cy", "c"), ("x", None, "ann", "d")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = sorted(((r.conv_id, r.perspective, r.turn, r.role) for r in rotate_speakers(turns).collect()), key=str)
+    assert got == sorted([(None, "ann", 0, "assistant"), ("", "bob", 0, "assistant"), ("", "bob", 2000, "user"), ("", "cy", 0, "user"), ("", "cy", 2000, "assistant"), ("x", "ann", None, "assistant")], key=str)

@@ -66,3 +66,29 @@ def test_limits_hold_in_every_dimension():
     assert (sums <= limits).all() and len(sums) < 1.15 * (demands / limits).sum(axis=0).max()
     with pytest.raises(ValueError):
         pack_vectors(np.array([[201, 1, 0]]), limits)
+
+
+def test_masked_instruction_data_under_a_binding_loss_limit(spark):
+    """Dialogues whose prompt bears no loss: all three limits hold, and each of them binds somewhere."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("text is not null").orderBy("conv_id", "turn").collect()
+    talks = {}
+    for r in turns:
+        talks.setdefault(r.conv_id, []).append(r.text)
+    rows = [(k, " ".join(t), len(t[0]) if k % 3 else 10 ** 6) for k, t in talks.items()] + [(10**6, "word " * 3000, 0), (10**6 + 1, "word " * 3000, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mute int")
+    texts, prompts = {d: t for d, t, _ in rows}, {d: t[:m] for d, t, m in rows}
+    for tokens, segments, loss in ((512, 64, 200), (2048, 3, 2048)):
+        out = pack_documents(docs, tokens=tokens, segments=segments, loss_tokens=loss, prompt=docs.mute).collect()
+        sums = {}
+        for r in out:
+            first = max(1, len(ids(prompts[r.doc_id])) - 1)
+            assert r.loss_tokens == sum(i >= first for i in range(r.start, r.start + r.length))
+            s = sums.setdefault(r.sequence_id, [0, 0, 0])
+            for i, v in enumerate((r.length, 1, r.loss_tokens)):
+                s[i] += v
+        assert all(a <= tokens and b <= segments and c <= loss for a, b, c in sums.values())
+        assert sum(r.length for r in out) == sum(len(ids(t)) for t in texts.values())
+        full = [sum(s[i] >= 0.95 * m for s in sums.values()) for i, m in enumerate((tokens, segments, loss))]
+        assert full[2 if loss < tokens else 1] >= 5, full
+        need = max(sum(s[i] for s in sums.values()) / m for i, m in enumerate((tokens, segments, loss)))
+        assert len(sums) < 1.25 * need + 2

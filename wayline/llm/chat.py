@@ -18,9 +18,11 @@ def rotate_speakers(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     turns of the shared speaker stay as they are in every perspective and have none of their own. content
     is the rendered message, start and end are its character range in the whole rendered dialogue. Turns
     are ordered by number, then speaker and text; null texts are empty, null speakers are named
-    "unknown". Repeated turns are rendered as often as they come; a conversation of shared turns alone has
-    no perspective. Offsets are summed within spans of turn numbers and over spans, so a conversation of
-    any length is spread over tasks.
+    "unknown". Repeated turns are rendered as often as they come, ties in any order since they are equal; a
+    conversation of shared turns alone has no perspective. A null conv_id is a conversation of its own, an
+    empty one another. Texts may have any length; columns of other names aren't read. Participants are
+    looked up by spans of turn numbers, and offsets are summed within spans and over them, so a conversation
+    of any length is spread over tasks.
     """
     who = F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), who.alias("who"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("said"))
@@ -28,9 +30,10 @@ def rotate_speakers(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     own = F.col("who") == F.col("perspective")
     role = F.when(F.col("who") == shared, F.lit(shared)).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when((F.col("who") != shared) & ~own, F.col("who"))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k")
-    seen = rows.select("*", key).join(sides.select(key, "perspective").distinct(), "k")
-    seen = seen.withColumns({"role": role, "name": name, "loss": (F.col("who") != shared) & own, "span": F.floor(F.coalesce("turn", F.lit(0)) / SPAN)})
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("k")
+    rows = rows.select("*", key, F.floor(F.coalesce("turn", F.lit(0)) / SPAN).alias("span"))
+    sides = rows.select("k", "span").distinct().join(sides.select(key, "perspective"), "k")
+    seen = rows.join(sides, ["k", "span"]).withColumns({"role": role, "name": name, "loss": (F.col("who") != shared) & own})
     head = F.concat(F.lit("<|"), F.col("role"), F.coalesce(F.concat(F.lit(" "), F.col("name")), F.lit("")), F.lit("|>\n"))
     seen = seen.withColumn("content", F.concat(head, F.col("said"), F.lit("<|end|>\n"))).withColumn("size", F.length("content").cast("long"))
     within = Window.partitionBy("k", "perspective", "span").orderBy("turn", "who", "said").rowsBetween(Window.unboundedPreceding, 0)

@@ -312,7 +312,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, best: int =
 
     Null or wordless texts have no shingles and link with nothing. A row without doc_id takes the id of
     its component's least doc_id; where there is none, component_id is null and the row is kept. Rows
-    with equal texts, also repeated doc_ids, fall into one component; the first id is kept.
+    with equal texts, also repeated doc_ids, fall into one component; the least id is kept, by all rows
+    that have it. Two texts under one id are told apart by their sets when links are confirmed, of which one
+    stands for the id: without_copies numbers rows first and has no such case. Texts of any length count
+    whole; other columns aren't read.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)

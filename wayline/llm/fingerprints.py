@@ -117,7 +117,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     moved = F.element_at(F.create_map(*(F.lit(x) for kv in after.items() for x in kv)), order)
     guests = docs.where(order.isin(list(after))).withColumn("bucket", moved).withColumn("own", F.lit(False)).groupBy("bucket", "doc_id", "own").agg(F.min("text").alias("text"))
     rows = own.select("bucket", "doc_id", "text", "own").union(guests.select("bucket", "doc_id", "text", "own"))
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.desc("own"), order, "text")
+    # by range: dealt by hash, several buckets would share a task while others have none
+    return rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", F.desc("own"), order, "text")
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
@@ -127,7 +128,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, parts: int | None = None) ->
     The edited text is the text whose last floor(n_chars / 2) code points are replaced by the first as
     many (or all) of the next document by ascending doc_id; after the last comes the first. Null texts are
     empty, an empty text's fingerprint is empty, and two of these are alike. Null ids come first, equal
-    ids go by text. A lone document is its own next one.
+    ids go by text. A lone document is its own next one; an empty table gives no rows. Texts are sketched
+    whole in chunks, so a very long one costs memory for itself alone; other columns aren't read.
     """
     parts = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

@@ -19,10 +19,52 @@ PHRASES = {
     "mit license": "mit",
 }
 #: Template markup: <<beginOptional>> ... <<endOptional>> may be left out; <<var;name=..;match={lo,hi}>>
-#: stands for lo to hi words of any wording. All other words are mandatory, in order.
+#: stands for lo to hi words of any wording. All other words are mandatory, in order. Signs and case are no
+#: matter, as texts are read by words.
+HOLDER = "<<beginOptional>>Copyright <<var;name=copyright;match={1,40}>><<endOptional>>"
+DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY <<var;name=party;match={2,20}>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL <<var;name=party;match={2,20}>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+BINARY = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+LATER = "either version {0} of the License, or <<beginOptional>>(at your option)<<endOptional>> any later version"
+GPL = (
+    "<<var;name=program;match={{2,12}}>> is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<beginOptional>>;<<endOptional>> "
+    + LATER
+    + ". <<beginOptional>>This program<<endOptional>> <<beginOptional>><<var;name=program;match={{1,4}}>><<endOptional>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+)
 TEMPLATES = {
+    # whole texts
+    "mit-text": "<<beginOptional>>The MIT License <<beginOptional>>(MIT)<<endOptional>><<endOptional>> <<beginOptional>>MIT License<<endOptional>> " + HOLDER
+    + " Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL <<var;name=holders;match={2,20}>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "<<beginOptional>>ISC License<<endOptional>> " + HOLDER
+    + " Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;name=author;match={1,10}>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL <<var;name=author;match={1,10}>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause-text": "<<beginOptional>>BSD 2-Clause License<<endOptional>> " + HOLDER + " " + BINARY + " " + DISCLAIMER,
+    "bsd-3-clause-text": "<<beginOptional>>BSD 3-Clause License<<endOptional>> " + HOLDER + " " + BINARY
+    + " <<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=owner;match={1,20}>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + DISCLAIMER,
+    "zlib-text": HOLDER
+    + " This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "<<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "<<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "<<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.",
+    "apache-2.0-text": HOLDER
+    + " Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use <<var;name=what;match={1,6}>> except in compliance with the License. You may obtain a copy of the License at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-2.0-text": GPL.format(2),
+    "gpl-3.0-text": GPL.format(3),
+    # notices of a line
     "mit-notice": "<<beginOptional>>this software is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> MIT license",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<beginOptional>>\"<<endOptional>>Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "apache-2.0-notice": "licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2.0 <<beginOptional>>(the \"License\") you may not use <<var;name=what;match={1,4}>> except in compliance with the License<<endOptional>>",
     "gpl-notice": "<<beginOptional>>this <<var;name=work;match={1,3}>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU <<beginOptional>>lesser<<endOptional>> general public license <<beginOptional>>as published by the Free Software Foundation <<beginOptional>>either<<endOptional>><<endOptional>> version <<var;name=version;match={1,2}>>",
     "cc-by-nc-notice": "licensed under CC BY NC <<beginOptional>>SA<<endOptional>> <<var;name=version;match={1,2}>>",
@@ -89,8 +131,14 @@ class Automaton:
                 todo.append(t)
         return frozenset(seen)
 
-    def firsts(self) -> set[str]:
-        return {w for s in self.start for w in self.steps[s]}
+    def firsts(self) -> set[str] | None:
+        """Words that an accepted run may begin with; None where that can be any."""
+        return None if any(self.any_word[s] for s in self.start) else {w for s in self.start for w in self.steps[s]}
+
+    def accepts(self, text: str) -> bool:
+        """Whether the text as a whole is of the template's wording."""
+        words = tokens(text)
+        return self.longest(words, 0) == len(words)
 
     def longest(self, words: list[str], at: int) -> int:
         """End of the longest accepted run of words from `at`; -1 if there is none."""
@@ -111,8 +159,9 @@ class Scanner:
         self.templates = {name: Automaton(t) for name, t in templates.items()}
         self.phrases = {tuple(p.split()): label for p, label in phrases.items()}
         # a text must have all mandatory words of a template; one that prose seldom has is looked for first
-        plain = {"licensed", "released", "under", "the", "license", "of", "is", "by", "and", "in", "to", "are", "version", "public", "general", "2", "4", "0"}
-        self.pivot = {n: next((w for w in a.mandatory if w not in plain), a.mandatory[0]) for n, a in self.templates.items()}
+        plain = {"licensed", "released", "under", "the", "license", "of", "is", "by", "and", "in", "to", "are", "version", "public", "general", "2", "4", "0", "software", "permission", "free", "this", "you", "any", "use"}
+        rare = ("merchantability", "redistributions", "misrepresented", "apache", "gnu")
+        self.pivot = {n: next((w for w in (*(r for r in rare if r in a.mandatory), *a.mandatory) if w not in plain), a.mandatory[0]) for n, a in self.templates.items()}
         self.hashes = {w: np.uint64(hash_word(w)) for w in {*self.pivot.values(), *(w for p in self.phrases for w in p)}}
 
     def scan(self, data, offsets):
@@ -141,7 +190,7 @@ class Scanner:
                 a = self.templates[name]
                 begin, last = a.firsts(), -1
                 for i, w in enumerate(text):
-                    if w in begin and i >= last:
+                    if i >= last and (begin is None or w in begin):
                         end = a.longest(text, i)
                         if end > i:
                             accepted[d].append((name, i, end))
@@ -155,7 +204,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
     labels are those of the phrases found and the names of the templates accepted anywhere in the text.
     score is 1 with an accepted template, 0.5 with phrases alone, else 0. matches lists accepted word
     ranges (label, start, end), longest first-come runs without overlap by template. Null and empty texts
-    have no words and no labels. Rows are judged one by one, so repeated and null ids are no matter.
+    have no words and no labels. Rows are judged one by one, so repeated and null ids are no matter; texts
+    are read whole in chunks, a very long one by itself; columns other than doc_id and text aren't read.
     """
     made = (templates or TEMPLATES, phrases or PHRASES)
 

@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -94,28 +94,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
 
-def pieces(docs: DataFrame, path: str, limit: int) -> DataFrame:
-    """Each text's ids and an end id, cut at multiples of `limit`; ids are hashed, not kept."""
+def pieces(docs: DataFrame, path: str, limit: int, most_loss: int) -> DataFrame:
+    """Each text's ids and an end id, cut after `limit` ids or `most_loss` loss-bearing ones; ids are hashed,
+    not kept. docs: doc_id, text, prompt (leading code points that bear no loss)."""
 
     def run(batches):
         encode = encoder(path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo in range(0, len(batch), 1024):
-                out = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-                for doc_id, text in zip(ids[lo : lo + 1024], batch.column(1).slice(lo, 1024).to_pylist(), strict=True):
+                out = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss")}
+                rest = (batch.column(i).slice(lo, 1024).to_pylist() for i in (1, 2))
+                for doc_id, text, prompt in zip(ids[lo : lo + 1024], *rest, strict=True):
                     raw = encode(text or "") + END_ID.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    for start in range(0, n, limit):
-                        part = raw[4 * start : 4 * (start + limit)]
-                        for c, v in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                    n, start = len(raw) // 4, 0
+                    first = max(1, len(encode((text or "")[:prompt])) // 4) if prompt else 1  # the first id that bears loss
+                    while start < n:
+                        end = min(n, start + limit, max(start, first) + most_loss)
+                        part = raw[4 * start : 4 * end]
+                        for c, v in zip(out, (doc_id, start, end - start, zlib.crc32(part), n, end - max(start, min(end, first))), strict=True):
                             out[c].append(v)
+                        start = end
                 yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.mapInArrow(run, PIECES)
 
 
 def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -185,16 +190,19 @@ def pack(table: DataFrame, limits: tuple[int, int, int], ws: Workspace) -> DataF
     return dealt.groupBy("pool").applyInPandas(one, schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = 2048, segments: int = 64, loss_tokens: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, tokens: int = 2048, segments: int = 64, loss_tokens: int = 2048, prompt: Column | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset: one row per piece.
 
     Every row of docs (doc_id, text) makes at least one piece: a null or empty text has the end id alone.
-    Loss-bearing are all ids but a document's first, which nothing precedes. Documents are cut at
-    multiples of `tokens`; full pieces fill a sequence, the last ones share. Rows with equal or null ids
-    are packed like others.
+    prompt is the number of a text's leading code points that bear no loss, as instructions do; their ids
+    are those of the prompt by itself. Without it loss-bearing are all ids but a document's first, which
+    nothing precedes, and a loss limit of `tokens` never binds. Documents are cut after `tokens` ids or
+    `loss_tokens` loss-bearing ones; full pieces fill a sequence, the last ones share. Rows with equal or
+    null ids are packed like others, ties in demand by id and place; an empty table gives no rows. Very long
+    texts are many pieces; other columns aren't read, unless prompt names them.
     """
     ws = Workspace(docs.sparkSession)
-    cut = min(tokens, loss_tokens)
-    loss = F.col("length") - F.when(F.col("start") == 0, 1).otherwise(0)
-    table = ws.save(pieces(docs, path or default_tokenizer(), cut).withColumn("loss", loss))
+    mark = F.coalesce(prompt.cast("int"), F.lit(0)) if prompt is not None else F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("prompt"))
+    table = ws.save(pieces(rows, path or default_tokenizer(), tokens, loss_tokens))
     return pack(table, (tokens, segments, loss_tokens), ws).withColumnRenamed("loss", "loss_tokens")

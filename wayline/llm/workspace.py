@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,15 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where Spark runs in this one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="wayline-"))
+        atexit.register(shutil.rmtree, _FALLBACK[0], ignore_errors=True)
     return _FALLBACK[0]
 
 
@@ -41,3 +46,9 @@ class Workspace:
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         path = jvm.org.apache.hadoop.fs.Path(df._wayline_path)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        """Deletes all tables of this workspace, once nothing reads them any more."""
+        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
