@@ -124,9 +124,10 @@ def model(table: DataFrame, prior: DataFrame, factor: float = 1.0) -> DataFrame:
     return table.join(prior, "pool").mapInPandas(run, MODEL)
 
 
-def innermost(near: DataFrame, share: float) -> DataFrame:
-    """The share of each pool's rows of least d2; ties at its edge are all taken in."""
-    edge = near.groupBy("pool", "start").agg(F.percentile_approx("d2", share, 10_000).alias("edge"))
+def innermost(near: DataFrame, share: float, ws: Workspace) -> DataFrame:
+    """The share of each pool's rows of least d2; ties at its edge are all taken in. The edges, a row to each
+    candidate, are saved: being of known size they are joined without gathering a pool in one task."""
+    edge = ws.save(near.groupBy("pool", "start").agg(F.percentile_approx("d2", share, 10_000).alias("edge")))
     return near.join(edge, ["pool", "start"]).where("d2 <= edge")
 
 
@@ -143,11 +144,11 @@ def least_determinant(good: DataFrame, prior: DataFrame, share: float, ws: Works
         if going.isEmpty():
             break
         near = distance(good, going.select("pool", "start", "mu", "precision"), "inner")
-        new = model(moments(innermost(near, share)), prior).join(going.select("pool", "start", F.col("logdet").alias("before")), ["pool", "start"])
+        new = model(moments(innermost(near, share, ws)), prior).join(going.select("pool", "start", F.col("logdet").alias("before")), ["pool", "start"])
         new = new.withColumn("done", F.col("before") - F.col("logdet") < SETTLED).drop("before")
         fitted = ws.save(new.unionByName(fitted.where("done")))
     best = ws.save(fitted.groupBy("pool").agg(F.min_by(F.struct("start", "mu", "precision"), F.struct("logdet", "start")).alias("m")).select("pool", "m.*"))
-    return ws.save(model(moments(innermost(distance(good, best, "inner"), share)), prior, consistency(share)))
+    return ws.save(model(moments(innermost(distance(good, best, "inner"), share, ws)), prior, consistency(share)))
 
 
 def chi2_quantile(p: float, d: int) -> float:
