@@ -2,7 +2,8 @@
 
 Rows of both sides are tagged, united and read by windows, so no range condition reaches the planner.
 A sequence of any length is spread over tasks: windows work within time spans, and what a span needs
-from the ones after or before it is looked up in a table of one row per span.
+from the ones after or before it is looked up in a table of one row per span. All frames grow from their
+partition's start, in ascending or descending order, so a span of n rows takes n steps.
 """
 
 from __future__ import annotations
@@ -14,25 +15,21 @@ from pyspark.sql.window import Window
 HOUR = 3_600_000_000
 
 
-def seek(rows: DataFrame, hit: Column, payload: Column, name: str, forward: bool, span: int, order: list[str], seq: str = "seq_id", ts: str = "us") -> DataFrame:
-    """Adds `name`: payload of the nearest row with `hit`, from this row on (or up to it), in `order`."""
+def seek(rows: DataFrame, hit: Column, payload: Column, name: str, forward: bool, span: int, order: list[str], strict: bool = False, seq: str = "seq_id", ts: str = "us") -> DataFrame:
+    """Adds `name`: payload of the nearest row with `hit`, from this row on (or up to it), in `order`; with
+    strict this row itself doesn't count."""
     rows = rows.withColumn("_span", F.floor(F.col(ts) / span)).withColumn("_hit", F.when(hit, payload))
-    near = Window.partitionBy(seq, "_span").orderBy(*order)
-    far = Window.partitionBy(seq).orderBy("_span")
-    place = F.struct(*order)
-    if forward:
-        here = F.first("_hit", ignorenulls=True).over(near.rowsBetween(0, Window.unboundedFollowing))
-        head = F.min_by("_hit", F.when(F.col("_hit").isNotNull(), place))
-        there = F.first("_head", ignorenulls=True).over(far.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        here = F.last("_hit", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0))
-        head = F.max_by("_hit", F.when(F.col("_hit").isNotNull(), place))
-        there = F.last("_head", ignorenulls=True).over(far.rowsBetween(Window.unboundedPreceding, -1))
-    spans = rows.groupBy(seq, "_span").agg(head.alias("_head")).select(seq, "_span", there.alias("_there"))
-    return rows.withColumn("_here", here).join(spans, [seq, "_span"]).withColumn(name, F.coalesce("_here", "_there")).drop("_span", "_hit", "_here", "_there")
-
-
-def interval_join(frames: DataFrame, samples: DataFrame, fields: list[str], include_first: bool = True, span: int = 24 * HOUR) -> DataFrame:
+    along = (lambda c: F.desc(c)) if forward else (lambda c: F.asc(c))
+    near = Window.partitionBy(seq, "_span").orderBy(*map(along, order)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    far = Window.partitionBy(seq).orderBy(along("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.min_by if forward else F.max_by
+    head = nearest("_hit", F.when(F.col("_hit").isNotNull(), F.struct(*order)))
+    spans = rows.groupBy(seq, "_span").agg(head.alias("_head")).select(seq, "_span", F.last("_head", ignorenulls=True).over(far).alias("_there"))
+    rows = rows.withColumn("_here", F.last("_hit", ignorenulls=True).over(near)).join(spans, [seq, "_span"])
+    return rows.withColumn(name, F.coalesce("_here", "_there")).drop("_span", "_hit", "_here", "_there")
+
+
+def interval_join(frames: DataFrame, samples: DataFrame, fields: list[str], include_first: bool = True, span: int = HOUR) -> DataFrame:
     """One row per frame (seq_id, us): start_us, samples (array of us and fields, by time) with
     start_us < us <= frame us.
 
@@ -40,8 +37,7 @@ def interval_join(frames: DataFrame, samples: DataFrame, fields: list[str], incl
     to the first frame or after the last are dropped. Frames without samples stay, with an empty array.
     """
     frames = frames.select("seq_id", "us").distinct()
-    lag = Window.partitionBy("seq_id").orderBy("us")
-    frames = frames.withColumn("start_us", F.lag("us").over(lag))
+    frames = seek(frames, F.lit(True), F.col("us"), "start_us", False, span, ["us"], strict=True)
     tagged = samples.select("seq_id", "us", F.lit(0).alias("side"), F.struct("us", *fields).alias("sample")).unionByName(frames.select("seq_id", "us", F.lit(1).alias("side")), allowMissingColumns=True)
     owned = seek(tagged, F.col("side") == 1, F.col("us"), "end_us", True, span, ["us", "side"]).where("side = 0 and end_us is not null")
     nested = owned.groupBy("seq_id", "end_us").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
@@ -58,7 +54,7 @@ def require_samples(joined: DataFrame) -> DataFrame:
     return joined.where(ok | F.raise_error(F.concat(F.lit("no sample in the interval that ends at "), F.col("us"))).cast("boolean"))
 
 
-def nearest_asof(left: DataFrame, right: DataFrame, tolerance_us: int, span: int = 24 * HOUR) -> DataFrame:
+def nearest_asof(left: DataFrame, right: DataFrame, tolerance_us: int, span: int = HOUR) -> DataFrame:
     """Rows of left (seq_id, us, ...) with `other` (struct of right's columns) and diff_us of the nearest
     row of right; other is null beyond the tolerance. A tie goes to the later one; right rows may serve
     several left rows."""
@@ -76,19 +72,26 @@ def nearest_asof(left: DataFrame, right: DataFrame, tolerance_us: int, span: int
     return rows.select("own.*", F.when(F.col("other").isNotNull(), F.col("diff_us")).alias("diff_us"), "other")
 
 
-def ahead_in_time(rows: DataFrame, delta_us: int, slack_us: int) -> DataFrame:
+def first_after(rows: DataFrame, delta_us: int, span: int) -> DataFrame:
+    """Each row with `ahead`: the first row at or after us + delta (of equal times the least), or null."""
+    own, seen = F.struct(*rows.columns), F.struct("us", *[c for c in rows.columns if c not in ("seq_id", "us")])
+    asked = rows.select("seq_id", (F.col("us") + delta_us).alias("us"), F.lit(0).alias("side"), own.alias("own"))
+    both = asked.unionByName(rows.select("seq_id", "us", F.lit(1).alias("side"), seen.alias("seen")), allowMissingColumns=True)
+    return seek(both, F.col("side") == 1, F.col("seen"), "ahead", True, span, ["us", "side", "seen"]).where("side = 0").select("own.*", "ahead")
+
+
+def ahead_in_time(rows: DataFrame, delta_us: int, slack_us: int, span: int = HOUR) -> DataFrame:
     """Each row with `ahead`: the first row at or after us + delta, less than slack past it; others go."""
-    w = Window.partitionBy("seq_id").orderBy("us").rangeBetween(delta_us, delta_us + slack_us - 1)
-    return rows.withColumn("ahead", F.min(F.struct("us", *[c for c in rows.columns if c not in ("seq_id", "us")])).over(w)).where("ahead is not null")
+    return first_after(rows, delta_us, span).where(F.col("ahead.us") < F.col("us") + delta_us + slack_us)
 
 
-def ahead_or_last(rows: DataFrame, delta_us: int, share: float = 0.9) -> DataFrame:
+def ahead_or_last(rows: DataFrame, delta_us: int, share: float = 0.9, span: int = HOUR) -> DataFrame:
     """Each row with the first row at or after us + delta or else the last row, if at least share * delta away."""
     fields = F.struct("us", *[c for c in rows.columns if c not in ("seq_id", "us")])
-    w = Window.partitionBy("seq_id").orderBy("us")
-    first = F.min(fields).over(w.rangeBetween(delta_us, Window.unboundedFollowing))
-    last = F.max(fields).over(Window.partitionBy("seq_id"))
-    return rows.withColumn("ahead", F.coalesce(first, last)).where(F.col("ahead.us") - F.col("us") >= share * delta_us)
+    last = rows.groupBy("seq_id").agg(F.max(fields).alias("_last"))
+    out = first_after(rows, delta_us, span).join(last, "seq_id")
+    out = out.withColumn("ahead", F.coalesce("ahead", "_last")).drop("_last")
+    return out.where(F.col("ahead.us") - F.col("us") >= share * delta_us).select(*rows.columns, "ahead")
 
 
 def ahead_by_rows(rows: DataFrame, k: int) -> DataFrame:

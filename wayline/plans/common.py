@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 HOUR = joins.HOUR
 TOLERANCE = 12 * HOUR
+#: Users have a few events a day, so spans of joins are longer than for sensors.
+DAYS = 24 * 30 * HOUR
 
 
 def query(sql: str | None = None):
@@ -88,7 +90,7 @@ j AS (SELECT f.seq_id, f.us, f.start_us, s.us AS sus, s.event_id, s.ax, s.ay, s.
 
 
 def synced(spark, sf_dir) -> DataFrame:
-    return joins.interval_join(frames(spark, sf_dir), samples(spark, sf_dir), FIELDS)
+    return joins.interval_join(frames(spark, sf_dir), samples(spark, sf_dir), FIELDS, span=DAYS)
 
 
 NAMES = ["px", "py", "pz", "vx", "vy", "vz", "qw", "qx", "qy", "qz"]
@@ -105,7 +107,7 @@ def truths(spark, sf_dir) -> DataFrame:
 
 def pairs(spark, sf_dir) -> DataFrame:
     """Estimated poses with the nearest true ones: px.. and tx.."""
-    near = joins.nearest_asof(estimates(spark, sf_dir), truths(spark, sf_dir), TOLERANCE).where("other is not null")
+    near = joins.nearest_asof(estimates(spark, sf_dir), truths(spark, sf_dir), TOLERANCE, span=DAYS).where("other is not null")
     return near.select("seq_id", "us", "event_id", "diff_us", F.col("other.event_id").alias("other_id"), F.col("other.us").alias("other_us"), *NAMES, *(F.col(f"other.{n}").alias(t) for n, t in zip(NAMES, TRUE, strict=True)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import joins, metrics
-from .common import EV, HOUR, NAMES, NEAR, POSED, TRUE, estimates, events, pairs, posed, query, samples, truths
+from .common import DAYS, EV, HOUR, NAMES, NEAR, POSED, TRUE, estimates, events, pairs, posed, query, samples, truths
 
 DAY = 24 * HOUR
 P, T = NAMES[:3], TRUE[:3]
@@ -80,7 +80,7 @@ def rpe_frame(spark, sf_dir):
 
 @query(rel_sql(f"h AS (SELECT a.event_id, arg_min(b.event_id, b.us) AS ahead_id FROM pairs a JOIN pairs b ON a.seq_id = b.seq_id AND b.us >= a.us + {DAY} AND b.us < a.us + {2 * DAY} GROUP BY a.event_id)"))
 def rpe_time(spark, sf_dir):
-    return rpe(joins.ahead_in_time(pairs(spark, sf_dir), DAY, DAY))
+    return rpe(joins.ahead_in_time(pairs(spark, sf_dir), DAY, DAY, span=DAYS))
 
 
 def lengths_sql(source):

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..operators import folds, joins, learning, mapping, validate
-from .common import EV, FIELDS, HOUR, NEAR, POSED, SYNC, TOLERANCE, estimates, events, frames, pairs, query, samples, synced, truths
+from .common import DAYS, EV, FIELDS, HOUR, NEAR, POSED, SYNC, TOLERANCE, estimates, events, frames, pairs, query, samples, synced, truths
 
 DAY = 24 * HOUR
 
@@ -36,7 +36,7 @@ def sync_first_frame(spark, sf_dir):
 
 @query(f"WITH {SYNC} SELECT seq_id, us, start_us, round((us - start_us) * 1e-6, 3) AS duration_s FROM j WHERE start_us IS NOT NULL GROUP BY ALL HAVING count(event_id) = 0")
 def sync_empty_intervals(spark, sf_dir):
-    rows = joins.interval_join(frames(spark, sf_dir), samples(spark, sf_dir), FIELDS, include_first=False)
+    rows = joins.interval_join(frames(spark, sf_dir), samples(spark, sf_dir), FIELDS, include_first=False, span=DAYS)
     return rows.where(F.size("samples") == 0).select("seq_id", "us", "start_us", F.round((F.col("us") - F.col("start_us")) * 1e-6, 3).alias("duration_s"))
 
 
@@ -54,7 +54,7 @@ def nearest_asof_pairs(spark, sf_dir):
  u AS (SELECT seq_id, count(*) AS n_true FROM t GROUP BY 1)
  SELECT seq_id, coalesce(matched, 0) AS matched, n_est - coalesce(matched, 0) AS unmatched_est, coalesce(n_true, 0) - coalesce(used, 0) AS unmatched_true FROM n LEFT JOIN m USING (seq_id) LEFT JOIN u USING (seq_id)""")
 def asof_unmatched(spark, sf_dir):
-    near = joins.nearest_asof(estimates(spark, sf_dir), truths(spark, sf_dir), TOLERANCE)
+    near = joins.nearest_asof(estimates(spark, sf_dir), truths(spark, sf_dir), TOLERANCE, span=DAYS)
     counts = near.groupBy("seq_id").agg(F.count("other.us").alias("matched"), F.count_if(F.col("other").isNull()).alias("unmatched_est"), F.count_distinct("other.event_id").alias("used"))
     total = truths(spark, sf_dir).groupBy("seq_id").agg(F.count("*").alias("n_true"))
     return counts.join(total, "seq_id", "left").select("seq_id", "matched", "unmatched_est", (F.coalesce("n_true", F.lit(0)) - F.col("used")).alias("unmatched_true"))
@@ -63,7 +63,7 @@ def asof_unmatched(spark, sf_dir):
 @query(f"""WITH {EV}, c AS (SELECT seq_id, us, event_id FROM ev WHERE event_type = 'click'),
  j AS (SELECT a.seq_id, a.event_id, arg_min(b.event_id, b.us) AS ahead_id, min(b.us) - a.us AS gap FROM c a JOIN c b ON a.seq_id = b.seq_id AND b.us >= a.us + {DAY} AND b.us < a.us + {DAY + 12 * HOUR} GROUP BY a.seq_id, a.event_id, a.us) SELECT * FROM j""")
 def ahead_pairs_time(spark, sf_dir):
-    rows = joins.ahead_in_time(estimates(spark, sf_dir).select("seq_id", "us", "event_id"), DAY, 12 * HOUR)
+    rows = joins.ahead_in_time(estimates(spark, sf_dir).select("seq_id", "us", "event_id"), DAY, 12 * HOUR, span=DAYS)
     return rows.select("seq_id", "event_id", F.col("ahead.event_id").alias("ahead_id"), (F.col("ahead.us") - F.col("us")).alias("gap"))
 
 
@@ -72,7 +72,7 @@ def ahead_pairs_time(spark, sf_dir):
  j AS (SELECT a.seq_id, a.us, a.event_id, coalesce(b.event_id, a.l_id) AS ahead_id, coalesce(b.us, a.l_us) - a.us AS gap FROM (SELECT *, us + {DAY} AS goal FROM c) a ASOF LEFT JOIN b ON a.seq_id = b.seq_id AND a.goal <= b.us)
  SELECT seq_id, event_id, ahead_id, gap FROM j WHERE gap >= 0.9::DOUBLE * {DAY}""")
 def ahead_pairs_tail(spark, sf_dir):
-    rows = joins.ahead_or_last(estimates(spark, sf_dir).select("seq_id", "us", "event_id"), DAY)
+    rows = joins.ahead_or_last(estimates(spark, sf_dir).select("seq_id", "us", "event_id"), DAY, span=DAYS)
     return rows.select("seq_id", "event_id", F.col("ahead.event_id").alias("ahead_id"), (F.col("ahead.us") - F.col("us")).alias("gap"))
 
 
