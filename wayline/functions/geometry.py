@@ -56,6 +56,23 @@ def scrub(x: Column, high: float) -> Column:
     return F.when(x.isNull() | F.isnan(x), 0.0).when(x == float("inf"), high).when(x == float("-inf"), -high).otherwise(x)
 
 
+def bound(values: Vec, *steps) -> Vec:
+    """values taken through steps (function of a tuple of columns, number of its results), each computed once.
+
+    Without it every mention of a column repeats its whole expression, and chains of such functions grow
+    out of all proportion.
+    """
+
+    def taken(rows: Column, f, n: int) -> Column:
+        return F.transform(rows, lambda r: F.array(*f(tuple(r[i] for i in range(n)))))
+
+    rows, n = F.array(F.array(*values)), len(values)
+    for f, size in steps:
+        rows, n = taken(rows, f, n), size
+    row = F.element_at(rows, 1)
+    return tuple(row[i] for i in range(n))
+
+
 def q_normalize(q: Vec) -> Vec:
     """Unit quaternion; one shorter than 1e-12 is an error when evaluated."""
     n = norm(q)
@@ -80,34 +97,37 @@ def q_product(a: Vec, b: Vec) -> Vec:
 
 def q_multiply(a: Vec, b: Vec) -> Vec:
     """Product of the normalized arguments, normalized again."""
-    return q_normalize(q_product(q_normalize(a), q_normalize(b)))
+    return bound(a + b, (lambda v: q_product(q_normalize(v[:4]), q_normalize(v[4:])), 4), (q_normalize, 4))
 
 
 def q_matrix(q: Vec) -> Mat:
-    w, x, y, z = q_normalize(q)
-    return (
-        (1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
-        (2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)),
-        (2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)),
-    )
+    def entries(v: Vec) -> Vec:
+        w, x, y, z = v
+        return (
+            *(1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
+            *(2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)),
+            *(2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)),
+        )
+
+    m = bound(q, (q_normalize, 4), (entries, 9))
+    return (m[:3], m[3:6], m[6:])
 
 
 def q_from_matrix(m: Mat) -> Vec:
     """Quaternion of a rotation, by the largest of the four diagonal sums; w >= 0."""
-    (a, b, c), (d, e, f), (g, h, i) = m
-    trace = a + e + i
-    sums = (1 + trace, 1 + a - e - i, 1 - a + e - i, 1 - a - e + i)
-    s = [2 * F.sqrt(F.greatest(x, F.lit(1e-300))) for x in sums]
-    forms = (
-        (s[0] / 4, (h - f) / s[0], (c - g) / s[0], (d - b) / s[0]),
-        ((h - f) / s[1], s[1] / 4, (b + d) / s[1], (c + g) / s[1]),
-        ((c - g) / s[2], (b + d) / s[2], s[2] / 4, (f + h) / s[2]),
-        ((d - b) / s[3], (c + g) / s[3], (f + h) / s[3], s[3] / 4),
-    )
-    pick = lambda k: F.when(trace > 0, forms[0][k]).when((a > e) & (a > i), forms[1][k]).when(e > i, forms[2][k]).otherwise(forms[3][k])
-    q = tuple(pick(k) for k in range(4))
-    sign = F.when(q[0] < 0, -1.0).otherwise(1.0)
-    return q_normalize(scale(q, sign))
+
+    def largest(v: Vec) -> Vec:
+        a, b, c, d, e, f, g, h, i = v
+        trace = a + e + i
+        place = F.when(trace > 0, 0).when((a > e) & (a > i), 1).when(e > i, 2).otherwise(3)
+        # four times the products of each two components: a row of them is the quaternion times one of its own
+        rows = ((1 + trace, h - f, c - g, d - b), (h - f, 1 + a - e - i, b + d, c + g), (c - g, b + d, 1 - a + e - i, f + h), (d - b, c + g, f + h, 1 - a - e + i))
+        return tuple(F.element_at(F.array(*(row[k] for row in rows)), place + 1) for k in range(4))
+
+    def unit(q: Vec) -> Vec:
+        return scale(q_normalize(q), F.when(q[0] < 0, -1.0).otherwise(1.0))
+
+    return bound(tuple(x for row in m for x in row), (largest, 4), (unit, 4))
 
 
 def m_apply(m: Mat, v: Vec) -> Vec:
@@ -129,23 +149,33 @@ def constant(m) -> Mat:
 
 def rotate(q: Vec, v: Vec) -> Vec:
     """v turned by q, by two cross products."""
-    w, *u = q_normalize(q)
-    t = scale(cross(tuple(u), v), 2.0)
-    return add(add(v, scale(t, w)), cross(tuple(u), t))
+
+    def turned(x: Vec) -> Vec:
+        w, u, p = x[0], x[1:4], x[4:]
+        t = scale(cross(u, p), 2.0)
+        return add(add(p, scale(t, w)), cross(u, t))
+
+    return bound(tuple(q) + tuple(v), (lambda x: q_normalize(x[:4]) + x[4:], 7), (turned, 3))
 
 
 def q_slerp(a: Vec, b: Vec, t) -> Vec:
     """Interpolation along the shorter way; nearly equal arguments are mixed linearly."""
-    a, b = q_normalize(a), q_normalize(b)
-    d0 = dot(a, b)
-    b = scale(b, F.when(d0 < 0, -1.0).otherwise(1.0))
-    d = clip(F.abs(d0), -1.0, 1.0)
-    angle = F.acos(d)
-    s = F.when(F.sin(angle) == 0, 1.0).otherwise(F.sin(angle))
-    near = d > 0.9995
-    ka = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / s)
-    kb = F.when(near, F.lit(t)).otherwise(F.sin(t * angle) / s)
-    return q_normalize(add(scale(a, ka), scale(b, kb)))
+
+    def units(v: Vec) -> Vec:
+        return q_normalize(v[:4]) + q_normalize(v[4:])
+
+    def nearer(v: Vec) -> Vec:
+        d = dot(v[:4], v[4:])
+        return (*v[:4], *scale(v[4:], F.when(d < 0, -1.0).otherwise(1.0)), clip(F.abs(d), -1.0, 1.0))
+
+    def mixed(v: Vec) -> Vec:
+        angle, near = F.acos(v[8]), v[8] > 0.9995
+        s = F.when(F.sin(angle) == 0, 1.0).otherwise(F.sin(angle))
+        ka = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / s)
+        kb = F.when(near, F.lit(t)).otherwise(F.sin(t * angle) / s)
+        return add(scale(v[:4], ka), scale(v[4:8], kb))
+
+    return bound(a + b, (units, 8), (nearer, 9), (mixed, 4), (q_normalize, 4))
 
 
 def q_euler(q: Vec) -> Vec:

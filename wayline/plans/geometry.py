@@ -12,7 +12,7 @@ A, B = ("aw", "ax", "ay", "az"), ("dw", "dx", "dy", "dz")
 #: A camera 90 degrees round from the body, and its place on it.
 MOUNT = ((0.0, -1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0))
 PLACE = (-0.02, -0.06, 0.01)
-LENS = {"fx": 458.0, "fy": 457.0, "cx": 367.0, "cy": 248.0, "k1": -0.28, "k2": 0.07, "p1": 0.0002, "p2": 0.00002}
+LENS = {"fx": 520.0, "fy": 515.0, "cx": 322.0, "cy": 239.0, "k1": -0.21, "k2": 0.05, "p1": 0.0004, "p2": 0.00003}
 
 
 def element(i: int) -> str:
@@ -128,7 +128,7 @@ def parallax_angle(spark, sf_dir):
 
 
 @query(f"""WITH {QUATS}, n AS (SELECT vec_id, vx / (vz + 3) AS x, vy / (vz + 3) AS y FROM q), r AS (SELECT *, x*x + y*y AS r2 FROM n)
- SELECT vec_id, round(458.0 * (x * (1 - 0.28*r2 + 0.07*r2*r2) + 0.0004*x*y + 0.00002*(r2 + 2*x*x)) + 367.0, 4) AS u, round(457.0 * (y * (1 - 0.28*r2 + 0.07*r2*r2) + 0.0002*(r2 + 2*y*y) + 0.00004*x*y) + 248.0, 4) AS v FROM r""")
+ SELECT vec_id, round(520.0 * (x * (1 - 0.21*r2 + 0.05*r2*r2) + 0.0008*x*y + 0.00003*(r2 + 2*x*x)) + 322.0, 4) AS u, round(515.0 * (y * (1 - 0.21*r2 + 0.05*r2*r2) + 0.0004*(r2 + 2*y*y) + 0.00006*x*y) + 239.0, 4) AS v FROM r""")
 def project_points(spark, sf_dir):
     u, v = g.project((F.col("vx"), F.col("vy"), F.col("vz") + 3), **LENS)
     return quats(spark, sf_dir).select("vec_id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
