@@ -14,6 +14,8 @@ GRAVITY, NOMINAL_DT = 9.81, 0.005
 
 
 STATE = ("px", "py", "pz", "vx", "vy", "vz", "qw", "qx", "qy", "qz")
+#: What a fold over intervals needs besides: the steps' time, and number and sums of finite specific forces.
+TOTALS = ("dt", "n_ok", "fx", "fy", "fz")
 
 
 def turned(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -22,13 +24,16 @@ def turned(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return v + q[:, :1] * t + np.cross(q[:, 1:], t)
 
 
-def integrate(rows: DataFrame, *keys: str) -> DataFrame:
+def integrate(rows: DataFrame, *keys: str, totals: bool = False) -> DataFrame:
     """keys and the state (STATE) after integrating each row's samples (array of us, ax..az, wx..wz, by
-    time) from rest: all rows of an Arrow batch advance together, one sample after another.
+    time) from rest: all rows of an Arrow batch advance together, one sample after another. With totals also
+    TOTALS.
 
     n samples give n - 1 steps, each of the time to the next; one sample alone has a nominal step.
     """
 
+    names = STATE + TOTALS if totals else STATE
+
     def run(batches):
         for batch in batches:
             lists = batch.column("samples")
@@ -41,6 +46,7 @@ def integrate(rows: DataFrame, *keys: str) -> DataFrame:
             force, rate = get("ax", "ay", "az"), get("wx", "wy", "wz")
             first = np.cumsum(n) - n
             p, v, q = np.zeros((len(n), 3)), np.zeros((len(n), 3)), np.tile([1.0, 0, 0, 0], (len(n), 1))
+            time = np.zeros(len(n))
             for s in range(max(1, int(n.max(initial=0)) - 1)):
                 on = np.flatnonzero((n > s + 1) | ((n == 1) & (s == 0)))
                 if not len(on):
@@ -48,6 +54,7 @@ def integrate(rows: DataFrame, *keys: str) -> DataFrame:
                 at = first[on] + s
                 lone = n[on] == 1
                 dt = np.where(lone, NOMINAL_DT, (us[np.where(lone, at, at + 1)] - us[at]) * 1e-6)[:, None]
+                time[on] += dt[:, 0]
                 size = np.linalg.norm(rate[at], axis=1, keepdims=True)
                 half = size * dt / 2
                 k = np.where(size * dt > 1e-8, np.sin(half) / np.where(size == 0, 1, size), dt / 2)
@@ -59,10 +66,14 @@ def integrate(rows: DataFrame, *keys: str) -> DataFrame:
                 new = np.concatenate([old[:, :1] * w - (old[:, 1:] * x).sum(axis=1, keepdims=True), old[:, :1] * x + w * old[:, 1:] + np.cross(old[:, 1:], x)], axis=1)
                 q[on] = new / np.linalg.norm(new, axis=1, keepdims=True)
             state = np.concatenate([p, v, q], axis=1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(state[:, i].copy()) for i in range(10))], [*keys, *STATE])
+            if totals:
+                ok, owner = np.isfinite(force).all(axis=1), np.repeat(np.arange(len(n)), n)
+                sums = [np.bincount(owner, ok, len(n)), *(np.bincount(owner, np.where(ok, force[:, i], 0), len(n)) for i in range(3))]
+                state = np.column_stack([state, time, *sums])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(state[:, i].copy()) for i in range(len(names)))], [*keys, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*keys, "samples").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *(f"{c} double" for c in STATE)]))
+    return rows.select(*keys, "samples").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *(f"{c} double" for c in names)]))
 
 
 #: Health states.
@@ -180,43 +191,83 @@ def fuse(rows: DataFrame, rotation_weight: float = 0.5, direction_weight: float
     """Trajectory of each sequence from rows (seq_id, us, samples, success, turn (quaternion of the body's
     visual rotation), heading (unit direction in the body frame)).
 
-    Sequential by nature: orientation mixes visual and inertial turns, so a sequence is one group; rows
-    are one per frame. Starts at rest; once level_after samples came, roll and pitch are set from them.
+    Intervals are integrated from rest first, all in parallel. What is sequential by nature, orientation
+    mixing visual and inertial turns, is left as a few sums for each row, carried from row to row over rows
+    sorted by sequence and time, so that a task holds one batch whatever a sequence's length. Starts at
+    rest; once level_after samples came, roll and pitch are set from them.
     """
+    names = [f.split()[0] for f in FUSED.split(", ")]
+
+    def steps(rows, now, out):
+        """Extends now, the state carried along, by rows; finished rows go to out."""
+        for seq, us, success, turn, heading, px, py, pz, vx, vy, vz, *q, dt, n, fx, fy, fz in rows:
+            if now is None or now["seq"] != seq:
+                if now is not None and now["first"] is not None:
+                    out.append(now["first"])
+                now = {"seq": seq, "last": us, "p": (0.0, 0.0, 0.0), "v": (0.0, 0.0, 0.0), "q": (1.0, 0.0, 0.0, 0.0), "n": 0.0, "f": (0.0, 0.0, 0.0)}
+                now["first"] = (seq, us, *now["p"], *now["v"], *now["q"], "INITIALIZED")
+                continue
+            if now["first"] is not None:  # not levelled yet
+                now["n"], now["f"] = now["n"] + n, (now["f"][0] + fx, now["f"][1] + fy, now["f"][2] + fz)
+                mean = [x / max(now["n"], 1.0) for x in now["f"]]
+                if now["n"] >= level_after and sum(x * x for x in mean) ** 0.5 >= 1e-4:
+                    now["q"] = tuple(level(np.array(mean)).tolist())
+                    # the row put out before is the state from which levelling starts
+                    first = now["first"]
+                    out.append((seq, first[1] if now.get("moved") is None else now["last"], *now["p"], *now["v"], *now["q"], "INITIALIZED"))
+                    now["first"] = None
+            p, v, q0 = now["p"], now["v"], now["q"]
+            fall = GRAVITY * dt
+            dp, dv = turn_vector(q0, (px, py, pz - fall * dt / 2)), turn_vector(q0, (vx, vy, vz - fall))
+            new_p = (p[0] + v[0] * dt + dp[0], p[1] + v[1] * dt + dp[1], p[2] + v[2] * dt + dp[2] + fall * dt / 2)
+            new_v = (v[0] + dv[0], v[1] + dv[1], v[2] + dv[2] + fall)
+            new_q = unit_quaternion(multiply(q0, q))
+            status = "DEGRADED_IMU_ONLY"
+            if success:
+                toward = turn_vector(q0, heading)
+                moved = [a - b for a, b in zip(new_p, p)]
+                along = sum(a * b for a, b in zip(moved, toward))
+                if along > 0:
+                    moved = [(1 - direction_weight) * a + direction_weight * along * b for a, b in zip(moved, toward)]
+                new_q = slerp(new_q, multiply(q0, unit_quaternion(turn)), rotation_weight)
+                gone = max((us - now["last"]) * 1e-6, 1e-4)
+                new_p, new_v, status = tuple(a + b for a, b in zip(p, moved)), tuple(a / gone for a in moved), "TRACKING_OK"
+            now |= {"p": new_p, "v": new_v, "q": new_q, "last": us, "moved": True}
+            out.append((seq, us, *new_p, *new_v, *new_q, status))
+        return now
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("us", ignore_index=True)
-        p, v, q, last = np.zeros(3), np.zeros(3), np.array([1.0, 0, 0, 0]), None
-        early, levelled, out = [], False, []
-        for r in t.itertuples():
-            samples = np.array([[s["us"], s["ax"], s["ay"], s["az"], s["wx"], s["wy"], s["wz"]] for s in r.samples], float).reshape(-1, 7)
-            status = "INITIALIZED"
-            if last is not None:
-                if not levelled:
-                    early += [s[1:4] for s in samples if np.isfinite(s[1:4]).all()]
-                    if len(early) >= level_after and np.linalg.norm(np.mean(early, axis=0)) >= 1e-4:
-                        q, levelled = level(np.mean(early, axis=0)), True
-                        # the first row put out is the state from which levelling starts
-                        out[0] = (r.seq_id, last, *p, *v, *q, out[0][12])
-                np_, nv, nq = advance(p, v, q, samples)
-                if r.success:
-                    target = np_product(q, quat(r.turn))
-                    toward = np_rotate(q, np.asarray(r.heading, float))
-                    moved = np_ - p
-                    along = moved @ toward
-                    if along > 0:
-                        moved = (1 - direction_weight) * moved + direction_weight * along * toward
-                    nq = np_slerp(nq, target, rotation_weight)
-                    np_, nv = p + moved, moved / max((r.us - last) * 1e-6, 1e-4)
-                    status = "TRACKING_OK"
-                else:
-                    status = "DEGRADED_IMU_ONLY"
-                p, v, q = np_, nv, nq
-            last = r.us
-            out.append((r.seq_id, r.us, *p, *v, *q, status))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in FUSED.split(", ")])
-
-    return rows.groupBy("seq_id").applyInPandas(one, FUSED)
+    def run(batches):
+        now, kinds = None, pa.schema([(c, pa.int64() if i < 2 else pa.string() if c == "status" else pa.float64()) for i, c in enumerate(names)])
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.types)], names)
+        for batch in batches:
+            out = []
+            now = steps(zip(*(c.to_pylist() for c in batch.columns), strict=True), now, out)
+            yield made(out)
+        if now is not None and now["first"] is not None:
+            yield made([now["first"]])
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    moved = integrate(rows, "seq_id", "us", "success", "turn", "heading", totals=True)
+    return moved.repartition(parts, "seq_id").sortWithinPartitions("seq_id", "us").mapInArrow(run, FUSED)
+
+
+def multiply(a, b):
+    return (a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3], a[0] * b[1] + a[1] * b[0] + a[2] * b[3] - a[3] * b[2], a[0] * b[2] - a[1] * b[3] + a[2] * b[0] + a[3] * b[1], a[0] * b[3] + a[1] * b[2] - a[2] * b[1] + a[3] * b[0])
+
+
+def unit_quaternion(q):
+    n = sum(x * x for x in q) ** 0.5
+    return tuple(x / n for x in q)
+
+
+def turn_vector(q, v):
+    w, x, y, z = q
+    a, b, c = 2 * (y * v[2] - z * v[1]), 2 * (z * v[0] - x * v[2]), 2 * (x * v[1] - y * v[0])
+    return (v[0] + w * a + y * c - z * b, v[1] + w * b + z * a - x * c, v[2] + w * c + x * b - y * a)
+
+
+def slerp(a, b, t):
+    return tuple(np_slerp(np.array(a), np.array(b), t).tolist())
 
 
 KEYS = "seq_id long, us long, keyframe long"
