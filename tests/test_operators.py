@@ -44,6 +44,23 @@ def test_nearest_asof_equals_brute_force(spark, seed):
         joins.nearest_asof(table(spark, left, "seq_id long, us long, id long"), table(spark, right, "seq_id long, us long"), 0)
 
 
+def test_one_long_sequence_takes_time_in_proportion(spark):
+    """A recording of 36,820 samples at 200 Hz inside one span, and one of four times as many."""
+    import time
+
+    seconds = []
+    for n in (36_820, 147_280):
+        samples = spark.range(n).select(F.lit(1).alias("seq_id"), (F.col("id") * 5000).alias("us"), "id")
+        frames = samples.where("id % 10 = 0").select("seq_id", "us")
+        began = time.perf_counter()
+        joined = joins.interval_join(frames, samples, ["id"]).select(F.sum(F.size("samples")), F.count("*")).first()
+        near = joins.nearest_asof(samples, frames.withColumn("us", F.col("us") + 1), 30_000).select(F.sum("diff_us"), F.count("other.us")).first()
+        tail = joins.ahead_or_last(samples, 1_000_000).count()
+        seconds.append(time.perf_counter() - began)
+        assert tuple(joined) == (n - 10, n / 10) and near[1] == n - 3 and tail == n - 180
+    assert seconds[1] < 8 * seconds[0] and seconds[0] < 60
+
+
 def test_nearest_points_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     pts = [(1, f, i, float(u), float(v)) for f in (0, 1, 2) for i, (u, v) in enumerate(rng.uniform(-5, 5, (40, 2)))]
@@ -101,7 +118,7 @@ def test_quaternions(spark):
     assert np.allclose(get(g.levelling(lit(0, 0, -9.81))), [1, 0, 0, 0])
 
 
-@pytest.mark.parametrize("scale", [None, 0.732])
+@pytest.mark.parametrize("scale", [None, 2.25])
 def test_alignment_recovers_a_transform(spark, scale):
     rng = np.random.default_rng(3)
     q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
@@ -129,6 +146,39 @@ def test_fusion_and_key_frames(spark):
     assert [(r.us, r.keyframe) for r in keys.orderBy("us").collect()] == [(0, 0), (4, 1), (7, 2)]
 
 
+def test_fusion_equals_step_by_step(spark):
+    """Against the plain fold over every sample, levelling and mixing included."""
+    rng, rows, want = np.random.default_rng(12), [], []
+    for seq in (1, 2, 3):
+        p, v, q, last, early, levelled, mine = np.zeros(3), np.zeros(3), np.array([1.0, 0, 0, 0]), None, [], False, []
+        for f in range(25):
+            us = f * 60_000
+            m = 0 if f == 0 else int(rng.integers(0, 6))
+            xs = [(us - 60_000 + 10_000 * (i + 1), *map(float, rng.normal([0.4, -0.3, -9.7], 0.3)), *map(float, rng.normal(0, 0.4, 3))) for i in range(m)]
+            ok, turn, heading = bool(f % 3), [1.0, *map(float, rng.normal(0, 0.02, 3))], [0.6, 0.0, 0.8]
+            rows.append((seq, us, xs, ok, turn, heading))
+            if last is not None:
+                if not levelled:
+                    early += [x[1:4] for x in xs]
+                    if len(early) >= 5:
+                        q, levelled = folds.level(np.mean(early, axis=0)), True
+                        mine[0] = (last, p, v, q)
+                n_p, n_v, n_q = folds.advance(p, v, q, np.array(xs).reshape(-1, 7))
+                if ok:
+                    toward, moved = folds.np_rotate(q, np.array(heading)), n_p - p
+                    along = moved @ toward
+                    moved = 0.5 * moved + 0.5 * along * toward if along > 0 else moved
+                    n_q = folds.np_slerp(n_q, folds.np_product(q, folds.quat(turn)), 0.5)
+                    n_p, n_v = p + moved, moved / 0.06
+                p, v, q = n_p, n_v, n_q
+            last = us
+            mine.append((us, p, v, q))
+        want += [(seq, u, *a, *b, *c) for u, a, b, c in mine]
+    kind = "seq_id long, us long, samples array<struct<us: long, ax: double, ay: double, az: double, wx: double, wy: double, wz: double>>, success boolean, turn array<double>, heading array<double>"
+    got = sorted(tuple(r)[:12] for r in folds.fuse(table(spark, rows, kind)).collect())
+    assert len(got) == 75 and np.allclose(np.array(got), np.array(sorted(want)), atol=1e-9)
+
+
 def test_validation_and_acceptance(spark):
     rows = table(spark, [(1, 0, 5), (1, 1, 5), (1, 2, -3), (1, 3, None), (1, 4, 9)], "seq_id long, n long, us long")
     strict = {r.n: r.reason for r in validate.order_violations(rows, True, tie="n").collect()}

@@ -49,11 +49,11 @@ def test_calibration(spark, tmp_path):
 
 
 def test_point_clouds(spark, tmp_path):
-    marks = spark.createDataFrame([(1, 1.23, -4.56, 7.89, 200, 100, 50), (2, 0.0, 1.0, 2.0, None, None, None)], "id long, x double, y double, z double, r int, g int, b int")
+    marks = spark.createDataFrame([(1, 0.5, 2.125, -3.75, 17, 34, 68), (2, 0.0, 1.0, 2.0, None, None, None)], "id long, x double, y double, z double, r int, g int, b int")
     text = [r.value for r in files.ply_lines(marks).collect()]
-    assert "1.2300 -4.5600 7.8900 200 100 50" in text and text[-1].endswith("180 180 180") and "element vertex 2" in text
+    assert "0.5000 2.1250 -3.7500 17 34 68" in text and text[-1].endswith("180 180 180") and "element vertex 2" in text
     files.write_ply(marks, f"{tmp_path}/cloud")
-    assert [(r.x, r.r) for r in files.read_ply(spark, f"{tmp_path}/cloud").orderBy("line").collect()] == [(1.23, 200), (0.0, 180)]
+    assert [(r.x, r.r) for r in files.read_ply(spark, f"{tmp_path}/cloud").orderBy("line").collect()] == [(0.5, 17), (0.0, 180)]
     odd = put(tmp_path / "odd.ply", "ply\nend_header\n1 2 3\nbad row\n4 5 6 7 8 9\n")
     assert [(r.x, r.b) for r in files.read_ply(spark, odd).orderBy("line").collect()] == [(1.0, 120), (4.0, 9)]
 
