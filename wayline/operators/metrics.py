@@ -97,3 +97,53 @@ def relative_errors(ahead: DataFrame) -> DataFrame:
     moved = g.sub(g.sub(at("ahead.", pos), at("", pos)), g.sub(at("ahead.", true), at("", true)))
     turn = lambda n: g.q_product(g.q_conjugate(at("", n)), at("ahead.", n))
     return ahead.withColumns({"translation": g.norm(moved), "rotation": g.q_angle(turn(q), turn(tq))})
+
+
+POS, TRUE_POS, VEL, TRUE_VEL = ("px", "py", "pz"), ("tx", "ty", "tz"), ("vx", "vy", "vz"), ("tvx", "tvy", "tvz")
+QUAT, TRUE_QUAT = ("qw", "qx", "qy", "qz"), ("tw", "ti", "tj", "tk")
+
+
+def evaluation(pairs: DataFrame, est: DataFrame, true: DataFrame, ahead: dict[str, DataFrame]) -> DataFrame:
+    """All measures of each sequence in one row: counts of matched and unmatched poses, position errors as a
+    whole and by axis, orientation errors as they are and as drift from the first pair, velocity errors (null
+    unless every pair has both velocities), path lengths, relative errors for each of ahead (name: pairs with
+    their `ahead` row), and the position errors left after rigid and similarity alignment.
+
+    pairs are read several times: hand them in saved or cached. Sequences without a pair have no row.
+    """
+    by = ["seq_id"]
+    diff = lambda a, b: g.sub(g.vec(*a), g.vec(*b))
+    start = pairs.groupBy(*by).agg(F.min_by(F.struct(*QUAT, *TRUE_QUAT), F.struct("us", "event_id")).alias("start"))
+    since = lambda names: g.q_product(g.q_conjugate(tuple(F.col(f"start.{c}") for c in names)), g.vec(*names))
+    rows = pairs.join(start, by).withColumns(
+        {
+            "position_error": g.norm(diff(POS, TRUE_POS)),
+            "orientation_error": g.q_angle(g.vec(*QUAT), g.vec(*TRUE_QUAT)),
+            "drift": g.q_angle(since(QUAT), since(TRUE_QUAT)),
+            "velocity_error": g.norm(diff(VEL, TRUE_VEL)),
+        }
+    )
+    whole = lambda x, name: [rmse(F.col(x)).alias(f"{name}_rmse"), F.avg(x).alias(f"{name}_mean"), F.percentile(x, 0.5).alias(f"{name}_median"), F.max(x).alias(f"{name}_max")]
+    aggs = [F.count("*").alias("matched"), F.count_distinct("other_id").alias("_used"), F.count("velocity_error").alias("_moving")]
+    aggs += error_summary(F.col("position_error"), F.struct("us", "event_id"), "ate_")
+    aggs += [c for p, t, a in zip(POS, TRUE_POS, "xyz", strict=True) for c in axis_summary(F.col(p) - F.col(t), a)]
+    aggs += [*whole("orientation_error", "orientation"), *whole("drift", "drift"), *whole("velocity_error", "velocity")]
+    out = rows.groupBy(*by).agg(*aggs)
+    out = out.withColumns({c: F.when(F.col("_moving") == F.col("matched"), F.col(c)) for c in out.columns if c.startswith("velocity_")})
+    for side, name in ((est, "n_est"), (true, "n_true")):
+        out = out.join(side.groupBy(*by).agg(F.count("*").alias(name)), by, "left")
+    out = out.withColumns({"unmatched_est": F.col("n_est") - F.col("matched"), "unmatched_true": F.col("n_true") - F.col("_used")})
+    for names, name in ((POS, "est_length"), (TRUE_POS, "true_length")):
+        out = out.join(path_length(pairs, names).withColumnRenamed("length", name), by, "left")
+    out = out.withColumn("length_ratio", length_ratio(F.col("est_length"), F.col("true_length")))
+    for name, later in ahead.items():
+        aggs = [F.count("*").alias(f"{name}_n"), rmse(F.col("translation")).alias(f"{name}_translation_rmse"), F.avg("rotation").alias(f"{name}_rotation_mean")]
+        out = out.join(relative_errors(later).groupBy(*by).agg(*aggs), by, "left")
+    moments = alignment_moments(pairs, POS, TRUE_POS, by)
+    for with_scale, name in ((False, "rigid"), (True, "similarity")):
+        fit = solve_alignment(moments, with_scale, by)
+        left = rmse(g.norm(diff(("ax", "ay", "az"), TRUE_POS)))
+        out = out.join(apply_alignment(pairs, fit, POS, by).groupBy(*by).agg(left.alias(f"{name}_rmse")), by, "left")
+        if with_scale:
+            out = out.join(fit.select(*by, F.col("scale").alias("similarity_scale")), by, "left")
+    return out.drop("_used", "_moving")

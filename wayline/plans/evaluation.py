@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import joins, metrics
+from ..operators.tables import saved
+from ..sources import files
 from .common import DAYS, EV, HOUR, NAMES, NEAR, POSED, TRUE, estimates, events, pairs, posed, query, samples, truths
 
 DAY = 24 * HOUR
@@ -167,3 +169,83 @@ def metric_comparison(spark, sf_dir):
     whole = rows.agg(F.bool_and("ok").alias("all_pass"))
     return rows.crossJoin(F.broadcast(whole)).select("seq_id", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("verdict"), "all_pass")
 
+
+
+def _text(cols: dict[str, str]) -> str:
+    return ", ".join(f"printf('%.{4 if n.endswith('deg') else 6}f', {c}) AS {n}" for n, c in cols.items())
+
+
+TABLE = {"timestamp": "us * 1e-6::DOUBLE"} | {f"estimated_{a}": f"p{a}" for a in "xyz"} | {f"groundtruth_{a}": f"t{a}" for a in "xyz"} | {f"error_{a}": f"p{a} - t{a}" for a in "xyz"} | {"position_error": ERR, "orientation_error_deg": f"degrees(2 * acos(least(1.0::DOUBLE, abs({DOT}))))"}
+
+
+@query(f"WITH {NEAR} SELECT seq_id, {_text(TABLE)} FROM pairs")
+def error_table(spark, sf_dir):
+    """The per-frame error table as it is written to CSV."""
+    return files.error_rows(pairs(spark, sf_dir))
+
+
+def _whole(x, name):
+    return f"sqrt(avg({x} * {x})) AS {name}_rmse, avg({x}) AS {name}_mean, median({x}) AS {name}_median, max({x}) AS {name}_max"
+
+
+def _turned(a):
+    """Dot product of the turns, estimated and true, from the row's first orientation to its own."""
+    parts = []
+    for (w, x, y, z) in (("qw", "qx", "qy", "qz"), ("tw", "ti", "tj", "tk")):
+        b = {c: f"{a}{c}" for c in (w, x, y, z)}
+        parts.append((f"({b[w]}*{w} + {b[x]}*{x} + {b[y]}*{y} + {b[z]}*{z})", f"({b[w]}*{x} - {b[x]}*{w} - {b[y]}*{z} + {b[z]}*{y})", f"({b[w]}*{y} + {b[x]}*{z} - {b[y]}*{w} - {b[z]}*{x})", f"({b[w]}*{z} - {b[x]}*{y} + {b[y]}*{x} - {b[z]}*{w})"))
+    return " + ".join(f"{e} * {t}" for e, t in zip(*parts, strict=True))
+
+
+def _length(p, name):
+    step = " + ".join(f"pow({c} - lag({c}) OVER w, 2)" for c in p)
+    return f"(SELECT seq_id, coalesce(sum(s), 0) AS {name} FROM (SELECT seq_id, sqrt({step}) AS s FROM pairs WINDOW w AS (PARTITION BY seq_id ORDER BY us)) GROUP BY seq_id)"
+
+
+def _ahead(name, ahead):
+    body = rel_sql(ahead).split(",\n x AS ", 1)[1].rsplit("\n SELECT", 1)[0]
+    return f"{name} AS (WITH {ahead}, x AS {body} SELECT seq_id, count(*) AS {name}_n, sqrt(avg(tr * tr)) AS {name}_translation_rmse, avg(ro) AS {name}_rotation_mean FROM x GROUP BY seq_id)"
+
+
+#: The sum of C's singular values, the last signed by det C: the first by the closed form of the eigenvalues of
+#: C'C, the sum of the others by the squared minors, as (s2 + s3)^2 = (minors - (det/s1)^2) / s1^2 + 2 det/s1.
+MINORS = [f"pow(c{i}{k}*c{j}{l} - c{i}{l}*c{j}{k}, 2)" for i, j in ((0, 1), (0, 2), (1, 2)) for k, l in ((0, 1), (0, 2), (1, 2))]
+ALIGN = f"""mo AS (SELECT seq_id, count(*) AS n, var_pop(px) + var_pop(py) + var_pop(pz) AS vs, var_pop(tx) + var_pop(ty) + var_pop(tz) AS vd, {', '.join(f'covar_pop({T[i]}, {P[j]}) AS c{i}{j}' for i in range(3) for j in range(3))} FROM pairs GROUP BY seq_id),
+ gg AS (SELECT *, {', '.join(f'c0{i}*c0{j} + c1{i}*c1{j} + c2{i}*c2{j} AS g{i}{j}' for i in range(3) for j in range(i, 3))}, c00*(c11*c22 - c12*c21) - c01*(c10*c22 - c12*c20) + c02*(c10*c21 - c11*c20) AS det FROM mo WHERE n >= 3 AND vs >= 1e-12),
+ ge AS (SELECT *, (g00 + g11 + g22) / 3 AS m FROM gg),
+ gp AS (SELECT *, sqrt((pow(g00 - m, 2) + pow(g11 - m, 2) + pow(g22 - m, 2) + 2 * (g01*g01 + g02*g02 + g12*g12)) / 6) AS p FROM ge),
+ gr AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((g00-m)*((g11-m)*(g22-m) - g12*g12) - g01*(g01*(g22-m) - g12*g02) + g02*(g01*g12 - (g11-m)*g02)) / nullif(2*p*p*p, 0)))) / 3 AS phi FROM gp),
+ gs AS (SELECT *, sqrt(m + 2*p*cos(phi)) AS s1, {' + '.join(MINORS)} AS minors FROM gr),
+ al AS (SELECT seq_id, vs, vd, s1 + sqrt(greatest(0.0::DOUBLE, (minors - pow(det / s1, 2)) / (s1*s1) + 2 * det / s1)) AS tr FROM gs)"""
+
+DAY_AHEAD = f"h AS (SELECT a.event_id, arg_min(b.event_id, b.us) AS ahead_id FROM pairs a JOIN pairs b ON a.seq_id = b.seq_id AND b.us >= a.us + {DAY} AND b.us < a.us + {2 * DAY} GROUP BY a.event_id)"
+ROW_AHEAD = "h AS (SELECT event_id, lead(event_id) OVER (PARTITION BY seq_id ORDER BY us) AS ahead_id FROM pairs)"
+COARSE = ("rotation_mean", "orientation_", "drift_")
+
+
+def _digits(c):
+    return 3 if any(x in c for x in COARSE) else 4
+
+
+MEASURES = [f"ate_{n}" for n in ("rmse", "mean", "median", "std", "min", "max", "final")] + [f"{n}_{a}" for a in "xyz" for n in ("rmse", "mae", "max")]
+MEASURES += [f"{k}_{n}" for k in ("orientation", "drift", "velocity") for n in ("rmse", "mean", "median", "max")] + ["est_length", "true_length", "length_ratio"]
+MEASURES += [f"{k}_{n}" for k in ("row", "day") for n in ("translation_rmse", "rotation_mean")] + ["rigid_rmse", "similarity_rmse", "similarity_scale"]
+COUNTS = ["n_est", "n_true", "matched", "unmatched_est", "unmatched_true"]
+AXES = ", ".join(f"sqrt(avg(({p} - {t}) * ({p} - {t}))) AS rmse_{a}, avg(abs({p} - {t})) AS mae_{a}, max(abs({p} - {t})) AS max_{a}" for p, t, a in zip(P, T, "xyz", strict=True))
+
+
+@query(f"""WITH {NEAR}, st AS (SELECT seq_id, {', '.join(f'arg_min({c}, (us, event_id)) AS f{c}' for c in (*NAMES[6:], *TRUE[6:]))} FROM pairs GROUP BY seq_id),
+ x AS (SELECT *, {ERR} AS pe, {VERR} AS ve, degrees(2 * acos(least(1.0::DOUBLE, abs({DOT})))) AS oe, degrees(2 * acos(least(1.0::DOUBLE, abs({_turned('f')})))) AS de FROM pairs JOIN st USING (seq_id)),
+ a AS (SELECT seq_id, count(*) AS matched, count(DISTINCT other_id) AS used, {_whole('pe', 'ate')}, stddev_pop(pe) AS ate_std, min(pe) AS ate_min, arg_max(pe, (us, event_id)) AS ate_final, {AXES}, {_whole('oe', 'orientation')}, {_whole('de', 'drift')}, {_whole('ve', 'velocity')} FROM x GROUP BY seq_id),
+ ne AS (SELECT seq_id, count(*) AS n_est FROM e GROUP BY 1), nt AS (SELECT seq_id, count(*) AS n_true FROM t GROUP BY 1),
+ le AS {_length(P, 'est_length')}, lt AS {_length(T, 'true_length')}, {_ahead('row', ROW_AHEAD).replace('row AS', 'row_ AS', 1)}, {_ahead('day', DAY_AHEAD).replace('day AS', 'day_ AS', 1)}, {ALIGN},
+ o AS (SELECT *, n_est - matched AS unmatched_est, n_true - used AS unmatched_true, CASE WHEN true_length <= 1e-6 THEN 1 ELSE est_length / true_length END AS length_ratio,
+  CASE WHEN tr IS NOT NULL THEN sqrt(greatest(0.0::DOUBLE, vs + vd - 2 * tr)) END AS rigid_rmse, CASE WHEN tr IS NOT NULL THEN sqrt(greatest(0.0::DOUBLE, vd - tr * tr / vs)) END AS similarity_rmse, tr / vs AS similarity_scale
+  FROM a JOIN ne USING (seq_id) JOIN nt USING (seq_id) JOIN le USING (seq_id) JOIN lt USING (seq_id) LEFT JOIN row_ USING (seq_id) LEFT JOIN day_ USING (seq_id) LEFT JOIN al USING (seq_id))
+ SELECT seq_id, {', '.join(COUNTS)}, {', '.join(f'round({c}, {_digits(c)}) AS {c}' for c in MEASURES)}, row_n, day_n FROM o""")
+def evaluation_report(spark, sf_dir):
+    """Every measure of each sequence in one row."""
+    rows = saved(pairs(spark, sf_dir))
+    ahead = {"row": joins.ahead_by_rows(rows, 1), "day": joins.ahead_in_time(rows, DAY, DAY, span=DAYS)}
+    out = metrics.evaluation(rows, estimates(spark, sf_dir), truths(spark, sf_dir), ahead)
+    return out.select("seq_id", *COUNTS, *(F.round(c, _digits(c)).alias(c) for c in MEASURES), "row_n", "day_n")

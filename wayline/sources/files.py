@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import geometry as g
+
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """line, x, y, z, r, g, b of ASCII point clouds; malformed rows are skipped, a missing colour is 120."""
@@ -38,11 +40,15 @@ def write_ply(landmarks: DataFrame, path: str) -> None:
 
 
 def error_rows(pairs: DataFrame) -> DataFrame:
-    """Per-frame errors as fixed decimals, ready for a CSV sink."""
+    """Per-frame errors as fixed decimals, ready for a CSV sink: times in seconds, both positions, their
+    difference by axis and as a whole, and the angle between the orientations."""
     six = lambda c: F.format_string("%.6f", c)
-    error = F.sqrt((F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2 + (F.col("pz") - F.col("tz")) ** 2)
-    cols = {"timestamp": F.col("us") * 1e-6, "time_diff": F.col("diff_us") * 1e-6, **{c: F.col(c) for c in ("px", "py", "pz", "tx", "ty", "tz")}, "error": error}
-    return pairs.orderBy("seq_id", "us").select("seq_id", *(six(v).alias(k) for k, v in cols.items()))
+    cols = {"timestamp": six(F.col("us") * 1e-6)}
+    cols |= {f"estimated_{a}": six(F.col(f"p{a}")) for a in "xyz"} | {f"groundtruth_{a}": six(F.col(f"t{a}")) for a in "xyz"}
+    gap = g.sub(g.vec("px", "py", "pz"), g.vec("tx", "ty", "tz"))
+    cols |= {f"error_{a}": six(d) for a, d in zip("xyz", gap, strict=True)} | {"position_error": six(g.norm(gap))}
+    cols["orientation_error_deg"] = F.format_string("%.4f", g.q_angle(g.vec("qw", "qx", "qy", "qz"), g.vec("tw", "ti", "tj", "tk")))
+    return pairs.orderBy("seq_id", "us").select("seq_id", *(v.alias(k) for k, v in cols.items()))
 
 
 def write_errors(pairs: DataFrame, path: str) -> None:
