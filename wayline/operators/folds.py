@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -270,26 +271,34 @@ def slerp(a, b, t):
     return tuple(np_slerp(np.array(a), np.array(b), t).tolist())
 
 
+POSE = ("px", "py", "pz", "qw", "qx", "qy", "qz")
 KEYS = "seq_id long, us long, keyframe long"
 
 
 def key_frames(rows: DataFrame, distance: float = 0.15, degrees: float = 5.0, interval: int = 15, little: float = 0.04, least: int = 15) -> DataFrame:
     """Greedy choice of key frames from rows (seq_id, us, px.., qw.., features), each against the last one
-    chosen; keyframe numbers them. The first row is always one."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("us", ignore_index=True)
-        pos, q = t[["px", "py", "pz"]].to_numpy(float), t[["qw", "qx", "qy", "qz"]].to_numpy(float)
-        out, last = [], None
-        for i in range(len(t)):
-            if last is not None:
-                moved = np.linalg.norm(pos[i] - pos[last])
-                turned = np.degrees(2 * np.arccos(min(1.0, abs(q[i] @ q[last]))))
-                since = i + 1 - (len(out) - 1) * interval  # frames seen less interval * number of the last one
-                if not (moved >= distance or turned >= degrees or (since >= interval and moved >= little)) or t["features"][i] < least:
-                    continue
-            out.append((t["seq_id"][i], t["us"][i], len(out)))
-            last = i
-        return pd.DataFrame(out, columns=["seq_id", "us", "keyframe"])
-
-    return rows.groupBy("seq_id").applyInPandas(one, KEYS)
+    chosen; keyframe numbers them. The first row is always one.
+
+    Read in order of sequence and time with only the last choice carried along, so a task holds one batch.
+    """
+
+    def run(batches):
+        seq, seen, chosen, last = None, 0, 0, None
+        for batch in batches:
+            out = []
+            for sid, us, px, py, pz, qw, qx, qy, qz, features in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sid != seq or last is None:
+                    seq, seen, chosen, last = sid, 0, 0, None
+                seen += 1
+                if last is not None:
+                    moved = math.dist((px, py, pz), last[:3])
+                    turned = math.degrees(2 * math.acos(min(1.0, abs(qw * last[3] + qx * last[4] + qy * last[5] + qz * last[6]))))
+                    since = seen - (chosen - 1) * interval  # frames seen less interval * number of the last one
+                    if not (moved >= distance or turned >= degrees or (since >= interval and moved >= little)) or features < least:
+                        continue
+                out.append((sid, us, chosen))
+                chosen, last = chosen + 1, (px, py, pz, qw, qx, qy, qz)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["seq_id", "us", "keyframe"])
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select("seq_id", "us", *POSE, "features").repartition(parts, "seq_id").sortWithinPartitions("seq_id", "us").mapInArrow(run, KEYS)

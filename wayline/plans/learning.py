@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import learning
-from .common import NEAR, POSED, SYNC, events, pairs, posed, query, synced
+from ..operators import joins, learning
+from ..operators.tables import saved
+from .common import DAYS, EV, NEAR, POSED, SYNC, TOLERANCE, events, pairs, posed, query, synced, truths
 
 INPUTS = [f"x{i}" for i in range(18)]
 X = "x AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(INPUTS)) + " FROM embeddings)"
@@ -88,10 +89,13 @@ def featured(spark, sf_dir):
     return rows.select("seq_id", "us", "event_id", *learning.FEATURES)
 
 
-@query(f"""WITH {SYNC}, a AS (SELECT seq_id, us, {', '.join(f'coalesce(avg({c}), 0) AS mean_{c}' for c in ('ax', 'ay', 'az', 'wx', 'wy', 'wz'))}, {', '.join(f'coalesce(var_pop({c}), 0) AS var_{c}' for c in ('ax', 'ay', 'az'))} FROM j GROUP BY seq_id, us), {POSED},
- p AS (SELECT *, coalesce(greatest((us - lag(us) OVER (PARTITION BY seq_id ORDER BY us)) * 1e-6, 1e-4), 0.05) AS step FROM posed WHERE event_type = 'view')
- SELECT p.event_id, CASE WHEN k % 4 > 0 THEN k ELSE 0 END::DOUBLE AS tracked_features, CASE WHEN k % 4 > 0 THEN 0.8::DOUBLE ELSE 0 END AS inlier_ratio, 0::DOUBLE AS mean_flow, 0::DOUBLE AS std_flow,
- {', '.join(f'round({c}, 5) AS {c}' for c in learning.FEATURES[4:16])}, round(sqrt(vx * vx + vy * vy + vz * vz), 5) AS speed, round(greatest(1e-4, least(1.0::DOUBLE, step)), 5) AS dt FROM p JOIN a USING (seq_id, us)""")
+RAW = f"""a AS (SELECT seq_id, us, {', '.join(f'coalesce(avg({c}), 0) AS mean_{c}' for c in ('ax', 'ay', 'az', 'wx', 'wy', 'wz'))}, {', '.join(f'coalesce(var_pop({c}), 0) AS var_{c}' for c in ('ax', 'ay', 'az'))} FROM j GROUP BY seq_id, us),
+ p AS (SELECT *, coalesce(greatest((us - lag(us) OVER (PARTITION BY seq_id ORDER BY us)) * 1e-6, 1e-4), 0.05) AS step FROM posed WHERE event_type = 'view'),
+ raw AS (SELECT p.seq_id, p.us, p.event_id, px, py, pz, CASE WHEN k % 4 > 0 THEN k ELSE 0 END::DOUBLE AS tracked_features, CASE WHEN k % 4 > 0 THEN 0.8::DOUBLE ELSE 0 END AS inlier_ratio, 0::DOUBLE AS mean_flow, 0::DOUBLE AS std_flow,
+ {', '.join(learning.FEATURES[4:16])}, sqrt(vx * vx + vy * vy + vz * vz) AS speed, greatest(1e-4, least(1.0::DOUBLE, step)) AS dt FROM p JOIN a USING (seq_id, us))"""
+
+
+@query(f"WITH {SYNC}, {POSED}, {RAW} SELECT event_id, tracked_features, inlier_ratio, mean_flow, std_flow, {', '.join(f'round({c}, 5) AS {c}' for c in learning.FEATURES[4:])} FROM raw")
 def feature_rows(spark, sf_dir):
     keep = ["tracked_features", "inlier_ratio", "mean_flow", "std_flow"]
     return featured(spark, sf_dir).select("event_id", *keep, *(F.round(c, 5).alias(c) for c in learning.FEATURES if c not in keep))
@@ -103,12 +107,35 @@ def training_set(spark, sf_dir):
     return rows.groupBy("part").agg(F.count("*").alias("rows"), F.round(F.avg("dvx"), 6).alias("mean_dvx"), F.round(F.avg("dvy"), 6).alias("mean_dvy"))
 
 
+
+#: The frames' states with the nearest true ones, as NEAR has them for the estimates.
+FRAMES_NEAR = NEAR.replace("event_type = 'click'", "event_type = 'view'")
+RESIDUALS = [f"d{c}" for c in ("vx", "vy", "vz")]
+
+
+def training_examples(spark, sf_dir):
+    """seq_id, us, event_id, part, the 18 features scaled by the train part, and the velocity residuals of
+    every frame with a true state near it."""
+    state = posed(events(spark, sf_dir).where("event_type = 'view'")).select("seq_id", "us", "vx", "vy", "vz")
+    near = joins.nearest_asof(state, truths(spark, sf_dir), TOLERANCE, span=DAYS).where("other is not null")
+    residual = near.select("seq_id", "us", *((F.col(f"other.v{a}") - F.col(f"v{a}")).alias(f"dv{a}") for a in "xyz"))
+    rows = saved(learning.chronological(featured(spark, sf_dir).join(residual, ["seq_id", "us"])))
+    return learning.scaled(rows, learning.scaler_stats(rows.where("part = 'train'"), learning.FEATURES), learning.FEATURES)
+
+
+@query(f"""WITH {FRAMES_NEAR}, {SYNC.removeprefix(EV + ',').replace('f AS (', 'fr AS (').replace('FROM f ', 'FROM fr f ').replace('s AS (SELECT seq_id, us, event_id, value', 'sa AS (SELECT seq_id, us, event_id, value').replace('JOIN s ON', 'JOIN sa s ON')}, {RAW},
+ ex AS (SELECT raw.*, tvx - pairs.vx AS dvx, tvy - pairs.vy AS dvy, tvz - pairs.vz AS dvz, row_number() OVER w AS r, count(*) OVER (PARTITION BY raw.seq_id) AS n FROM raw JOIN pairs ON pairs.event_id = raw.event_id WINDOW w AS (PARTITION BY raw.seq_id ORDER BY raw.us)),
+ parted AS (SELECT *, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM ex),
+ st AS (SELECT {', '.join(f"avg({c}) AS mean_{c}_, CASE WHEN stddev_pop({c}) < 1e-4 THEN 1 ELSE stddev_pop({c}) END AS std_{c}_" for c in learning.FEATURES)} FROM parted WHERE part = 'train')
+ SELECT event_id, part, {', '.join(f'round(({c} - mean_{c}_) / std_{c}_, 4) AS {c}' for c in learning.FEATURES)}, {', '.join(f'round({c}, 6) AS {c}' for c in RESIDUALS)} FROM parted CROSS JOIN st""")
+def training_rows(spark, sf_dir):
+    rows = training_examples(spark, sf_dir)
+    return rows.select("event_id", "part", *(F.round(c, 4).alias(c) for c in learning.FEATURES), *(F.round(c, 6).alias(c) for c in RESIDUALS))
+
+
 @query()
 def training_losses(spark, sf_dir):
-    """Losses by epoch of a network trained on embeddings against a smooth target; at most 2000 rows come to the driver."""
-    rows = inputs(spark, sf_dir)
-    z = learning.scaled(rows, learning.scaler_stats(rows, INPUTS), INPUTS).orderBy("vec_id").limit(2000).toPandas()
-    x = z[INPUTS].to_numpy()
-    y = np.stack([x[:, 0] - x[:, 1], 0.5 * x[:, 2], x[:, 3] * 0.25], axis=1)
-    _, losses = learning.train(x, y, epochs=15)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "epoch int, loss double")
+    """Losses by epoch of the network fitted to the whole train part."""
+    rows = saved(training_examples(spark, sf_dir).where("part = 'train'").select(*learning.FEATURES, *RESIDUALS))
+    _, losses = learning.train_rows(rows, learning.FEATURES, RESIDUALS, epochs=15)
+    return spark.createDataFrame([(i, v) for i, v in enumerate(losses)], "epoch int, loss double")
