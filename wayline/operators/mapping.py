@@ -60,6 +60,34 @@ def first_success(attempts: DataFrame) -> DataFrame:
     return made.groupBy("track").agg(F.first("done").alias("kf"), F.count("*").alias("attempts"))
 
 
+def build_map(obs: DataFrame, lens: dict[str, float], rounds: int = 8, **limits) -> DataFrame:
+    """Landmarks from what key frames see of tracks: obs (track, kf, r: rotation of the camera in the world, 9
+    values by rows, c: its centre, 3 values, u, v: pixel).
+
+    Every later observation of a track is triangulated with its first; the first accepted one (`acceptance`,
+    with its limits) ends the tries. One row per track seen more than once: track, kf (null: none accepted),
+    attempts, and of the accepted one x, y, z, error (mean of both in pixels) and depth.
+    """
+    x, y = g.undistort(F.col("u"), F.col("v"), **lens, rounds=rounds)
+    mat = lambda at: tuple(tuple(F.col(f"{at}r")[3 * i + j] for j in range(3)) for i in range(3))
+    centre = lambda at: tuple(F.col(f"{at}c")[i] for i in range(3))
+    back = g.m_transpose(mat(""))
+    offset = g.scale(g.m_apply(back, centre("")), -1.0)
+    camera = F.array(*(e for row, t in zip(back, offset, strict=True) for e in (*row, t)))
+    seen = with_first_observation(obs.select("track", "kf", "r", "c", "u", "v", camera.alias("p"), F.array(x, y).alias("xy")))
+    found = triangulate(seen, "first.p", "p", "first.xy", "xy")
+    point = g.vec("x", "y", "z")
+    inside = {n: g.body_to_camera(mat(at), centre(at), point) for n, at in (("0", "first."), ("1", ""))}
+    found = found.withColumns({f"q{n}": F.array(*v) for n, v in inside.items()})
+    pixel = lambda n: g.project(tuple(F.col(f"q{n}")[i] for i in range(3)), **lens)
+    miss = lambda n, at: F.when(F.col(f"q{n}")[2] != 0, g.norm((*g.sub(pixel(n), (F.col(f"{at}u"), F.col(f"{at}v"))), F.lit(0.0))))
+    found = found.withColumns({"angle": g.parallax(centre("first."), centre(""), point), "e0": miss("0", "first."), "e1": miss("1", "")})
+    depth = F.col("q1")[2]
+    status = acceptance(F.col("angle"), F.col("q0")[2], depth, F.col("e0"), F.col("e1"), point, **limits)
+    tries = saved(found.select("track", "kf", status.alias("status"), "x", "y", "z", ((F.col("e0") + F.col("e1")) / 2).alias("error"), depth.alias("depth")))
+    return first_success(tries).join(tries.where("status = 'SUCCESS'").drop("status"), ["track", "kf"], "left")
+
+
 def landmark_upkeep(created: DataFrame, updates: DataFrame, most_error: float) -> DataFrame:
     """Landmarks (id, error, us) with later observations (id, error, z, us) of positive depth and small error:
     observations, mean error and last time. A new landmark counts as two observations."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import folds, mapping, validate
-from .common import EV, FIELDS, estimates, events, query, synced
+from .common import EV, FIELDS, POSED, SYNC, estimates, events, query, synced
 
 A, B = ("aw", "ax", "ay", "az"), ("dw", "dx", "dy", "dz")
 #: A camera 90 degrees round from the body, and its place on it.
@@ -226,10 +226,25 @@ def brisk(samples: str):
     return F.transform(samples, lambda s: F.struct((s["us"] / 100_000).cast("long").alias("us"), *(s[c].alias(c) for c in FIELDS if c != "event_id")))
 
 
-@query()
+TURN = {"x": "qy * tz - qz * ty", "y": "qz * tx - qx * tz", "z": "qx * ty - qy * tx"}
+
+
+@query(f"""WITH RECURSIVE {SYNC},
+ n AS (SELECT seq_id, us, sus, ax, ay, az, wx, wy, wz, sus // 100000 AS b, row_number() OVER w AS r, count(*) OVER (PARTITION BY seq_id, us) AS n, lead(sus // 100000) OVER w AS nb FROM j WHERE event_id IS NOT NULL WINDOW w AS (PARTITION BY seq_id, us ORDER BY sus, event_id)),
+ d AS (SELECT *, CASE WHEN n = 1 THEN 0.005::DOUBLE ELSE (nb - b) * 1e-6::DOUBLE END AS dt, sqrt(wx*wx + wy*wy + wz*wz) AS size FROM n WHERE n = 1 OR nb IS NOT NULL),
+ st AS (SELECT seq_id, us, r, ax, ay, az, dt, cos(size * dt / 2) AS cw, {', '.join(f'w{c} * CASE WHEN size * dt > 1e-8 THEN sin(size * dt / 2) / size ELSE dt / 2 END AS d{c}' for c in 'xyz')} FROM d),
+ z AS (SELECT seq_id, us, 0::BIGINT AS r, {', '.join(f'0::DOUBLE AS {c}' for c in ('px', 'py', 'pz', 'vx', 'vy', 'vz'))}, 1::DOUBLE AS qw, 0::DOUBLE AS qx, 0::DOUBLE AS qy, 0::DOUBLE AS qz FROM f
+  UNION ALL
+  SELECT seq_id, us, r, {', '.join(f'p{c} + v{c} * dt + 0.5::DOUBLE * g{c} * dt * dt' for c in 'xyz')}, {', '.join(f'v{c} + g{c} * dt' for c in 'xyz')}, {', '.join(f'n{c} / sqrt(nw*nw + nx*nx + ny*ny + nz*nz)' for c in 'wxyz')}
+  FROM (SELECT *, {', '.join(f"a{c} + qw * t{c} + {TURN[c]}{' + 9.81::DOUBLE' if c == 'z' else ''} AS g{c}" for c in 'xyz')},
+   qw*cw - qx*dx - qy*dy - qz*dz AS nw, qw*dx + cw*qx + qy*dz - qz*dy AS nx, qw*dy + cw*qy + qz*dx - qx*dz AS ny, qw*dz + cw*qz + qx*dy - qy*dx AS nz
+   FROM (SELECT z.seq_id, z.us, s.r, px, py, pz, vx, vy, vz, qw, qx, qy, qz, ax, ay, az, dt, cw, dx, dy, dz, 2 * (qy*az - qz*ay) AS tx, 2 * (qz*ax - qx*az) AS ty, 2 * (qx*ay - qy*ax) AS tz
+    FROM z JOIN st s ON s.seq_id = z.seq_id AND s.us = z.us AND s.r = z.r + 1)))
+ SELECT seq_id, us, {select(folds.STATE, folds.STATE, 4)} FROM z QUALIFY row_number() OVER (PARTITION BY seq_id, us ORDER BY r DESC) = 1""")
 def imu_fold(spark, sf_dir):
     """State after each interval from rest, folded over its nested samples."""
-    return folds.integrate(synced(spark, sf_dir).withColumn("samples", brisk("samples")), "seq_id", "us")
+    out = folds.integrate(synced(spark, sf_dir).withColumn("samples", brisk("samples")), "seq_id", "us")
+    return out.select("seq_id", "us", *(F.round(c, 4).alias(c) for c in folds.STATE))
 
 
 def visual(spark, sf_dir):
@@ -245,7 +260,37 @@ def fusion_trajectory(spark, sf_dir):
     return folds.fuse(visual(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, {POSED}, c AS (SELECT *, event_id % 40 AS features, row_number() OVER (PARTITION BY seq_id ORDER BY us) AS r FROM posed WHERE event_type = 'click'),
+ w AS (SELECT seq_id, us, r, 0 AS keyframe, true AS taken, {', '.join(f'{c} AS l_{c}' for c in folds.POSE)} FROM c WHERE r = 1
+  UNION ALL
+  SELECT seq_id, us, r, keyframe + take::INT, take, {', '.join(f'CASE WHEN take THEN {c} ELSE l_{c} END' for c in folds.POSE)}
+  FROM (SELECT *, features >= 10 AND (moved >= 20 OR turned >= 40 OR (r - keyframe * 5 >= 5 AND moved >= 1)) AS take
+   FROM (SELECT c.*, w.keyframe, {', '.join(f'w.l_{c}' for c in folds.POSE)}, sqrt({' + '.join(f'pow(c.{p} - w.l_{p}, 2)' for p in ('px', 'py', 'pz'))}) AS moved,
+    degrees(2 * acos(least(1.0::DOUBLE, abs({' + '.join(f'c.{q} * w.l_{q}' for q in Q4)})))) AS turned FROM w JOIN c ON c.seq_id = w.seq_id AND c.r = w.r + 1)))
+ SELECT seq_id, us, keyframe::BIGINT AS keyframe FROM w WHERE taken""")
 def keyframes(spark, sf_dir):
     rows = estimates(spark, sf_dir).withColumn("features", F.col("event_id") % 40)
     return folds.key_frames(rows, distance=20.0, degrees=40.0, interval=5, little=1.0, least=10)
+
+
+SEEN = f"""{QUATS}, t AS (SELECT vec_id AS track, vx AS x, vy AS y, (vec_id % 8 - 1) * 9 + 4 + vz AS z FROM q WHERE abs(vx) < 2 AND abs(vy) < 2 AND abs(vz) < 3),
+ a AS (SELECT t.*, kf, 0.1::DOUBLE * kf * kf AS c FROM t, range(1, 5) k(kf)),
+ b AS (SELECT *, degrees(acos(least(1.0::DOUBLE, (x * (x - c) + y * y + z * z) / (sqrt(x*x + y*y + z*z) * sqrt((x-c)*(x-c) + y*y + z*z))))) >= 1 AND z > 0 AND z >= 0.1 AND z <= 50 AS ok FROM a),
+ d AS (SELECT track, min(kf) FILTER (ok) AS done FROM b GROUP BY track)"""
+
+
+@query(f"""WITH {SEEN} SELECT track, any_value(done) AS kf, count(*) FILTER (done IS NULL OR b.kf <= done) AS attempts, {', '.join(f'round(any_value({c}) FILTER (done IS NOT NULL), 4) AS {c}' for c in 'xyz')},
+ round(any_value(z) FILTER (done IS NOT NULL), 4) AS depth, any_value(0::DOUBLE) FILTER (done IS NOT NULL) AS error FROM b JOIN d USING (track) GROUP BY track""")
+def map_triangulation(spark, sf_dir):
+    """Points at eight depths, one of them behind the cameras, seen by five that move aside and roll: found again
+    once the angle is wide enough."""
+    rows = quats(spark, sf_dir).where("abs(vx) < 2 and abs(vy) < 2 and abs(vz) < 3")
+    k = F.col("kf")
+    rows = rows.withColumns({"x": F.col("vx"), "y": F.col("vy"), "z": (F.col("vec_id") % 8 - 1) * 9 + 4 + F.col("vz"), "kf": F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<long>"))})
+    cos, sin, zero, one = F.cos(0.1 * k), F.sin(0.1 * k), F.lit(0.0), F.lit(1.0)
+    roll = ((cos, -sin, zero), (sin, cos, zero), (zero, zero, one))
+    place = (0.1 * k * k, zero, zero)
+    u, v = g.project(g.body_to_camera(roll, place, g.vec("x", "y", "z")), **LENS)
+    obs = rows.select(F.col("vec_id").alias("track"), "kf", F.array(*(e for r in roll for e in r)).alias("r"), F.array(*place).alias("c"), u.alias("u"), v.alias("v"))
+    out = mapping.build_map(obs, LENS, rounds=25)
+    return out.select("track", "kf", "attempts", *(F.round(c, 4).alias(c) for c in ("x", "y", "z", "depth")), F.round(F.abs("error"), 4).alias("error"))
