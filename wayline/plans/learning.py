@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import joins, learning
+from ..operators import joins, learning, metrics
 from ..operators.tables import saved
 from .common import DAYS, EV, NEAR, POSED, SYNC, TOLERANCE, events, pairs, posed, query, synced, truths
 
@@ -110,6 +111,7 @@ def training_set(spark, sf_dir):
 
 #: The frames' states with the nearest true ones, as NEAR has them for the estimates.
 FRAMES_NEAR = NEAR.replace("event_type = 'click'", "event_type = 'view'")
+RAW_TOO = f"{SYNC.removeprefix(EV + ',').replace('f AS (', 'fr AS (').replace('FROM f ', 'FROM fr f ').replace('s AS (SELECT seq_id, us, event_id, value', 'sa AS (SELECT seq_id, us, event_id, value').replace('JOIN s ON', 'JOIN sa s ON')}, {RAW}"
 RESIDUALS = [f"d{c}" for c in ("vx", "vy", "vz")]
 
 
@@ -123,7 +125,7 @@ def training_examples(spark, sf_dir):
     return learning.scaled(rows, learning.scaler_stats(rows.where("part = 'train'"), learning.FEATURES), learning.FEATURES)
 
 
-@query(f"""WITH {FRAMES_NEAR}, {SYNC.removeprefix(EV + ',').replace('f AS (', 'fr AS (').replace('FROM f ', 'FROM fr f ').replace('s AS (SELECT seq_id, us, event_id, value', 'sa AS (SELECT seq_id, us, event_id, value').replace('JOIN s ON', 'JOIN sa s ON')}, {RAW},
+@query(f"""WITH {FRAMES_NEAR}, {RAW_TOO},
  ex AS (SELECT raw.*, tvx - pairs.vx AS dvx, tvy - pairs.vy AS dvy, tvz - pairs.vz AS dvz, row_number() OVER w AS r, count(*) OVER (PARTITION BY raw.seq_id) AS n FROM raw JOIN pairs ON pairs.event_id = raw.event_id WINDOW w AS (PARTITION BY raw.seq_id ORDER BY raw.us)),
  parted AS (SELECT *, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM ex),
  st AS (SELECT {', '.join(f"avg({c}) AS mean_{c}_, CASE WHEN stddev_pop({c}) < 1e-4 THEN 1 ELSE stddev_pop({c}) END AS std_{c}_" for c in learning.FEATURES)} FROM parted WHERE part = 'train')
@@ -139,3 +141,38 @@ def training_losses(spark, sf_dir):
     rows = saved(training_examples(spark, sf_dir).where("part = 'train'").select(*learning.FEATURES, *RESIDUALS))
     _, losses = learning.train_rows(rows, learning.FEATURES, RESIDUALS, epochs=15)
     return spark.createDataFrame([(i, v) for i, v in enumerate(losses)], "epoch int, loss double")
+
+
+H = ("x", "y", "z")
+
+
+@query(f"""WITH {FRAMES_NEAR}, {RAW_TOO},
+ st AS (SELECT {', '.join(f"avg({c}) AS mean_{c}_, CASE WHEN stddev_pop({c}) < 1e-4 THEN 1 ELSE stddev_pop({c}) END AS std_{c}_" for c in learning.FEATURES)} FROM raw),
+ v AS (SELECT event_id, [{', '.join(f'({c} - mean_{c}_) / std_{c}_' for c in learning.FEATURES)}] AS v FROM raw CROSS JOIN st),
+ h1 AS (SELECT event_id, {layer_sql('v', 'h', W['shared.0.weight'], W['shared.0.bias'], True)} FROM v),
+ h2 AS (SELECT event_id, {layer_sql('h', 'h', W['shared.2.weight'], W['shared.2.bias'], True)} FROM h1),
+ o AS (SELECT event_id, {layer_sql('h', 'dv', W['residual_head.weight'], W['residual_head.bias'], False)}, {layer_sql('h', 'lg', W['confidence_head.0.weight'], W['confidence_head.0.bias'], False)} FROM h2),
+ c AS (SELECT event_id, dv, 1 / (1 + exp(-greatest(-15, least(15, lg[1])))) AS confidence FROM o),
+ g AS (SELECT event_id, dv, CASE WHEN confidence <= 0.2 THEN 0 WHEN confidence < 0.5 THEN (confidence - 0.2) / 0.3 ELSE 1 END AS share FROM c),
+ m AS (SELECT p.seq_id, p.us, p.event_id, step, {', '.join(f'p.p{a}, p.v{a} + greatest(-3, least(3, dv[{i + 1}])) * share AS hv{a}' for i, a in enumerate(H))} FROM p JOIN g USING (event_id)),
+ mp AS (SELECT *, {', '.join(f'first_value(p{a}) OVER w + sum(hv{a} * step) OVER w - first_value(hv{a} * step) OVER w AS hp{a}' for a in H)} FROM m WINDOW w AS (PARTITION BY seq_id ORDER BY us)),
+ e2 AS (SELECT pairs.seq_id, sqrt({' + '.join(f'pow(pairs.p{a} - t{a}, 2)' for a in H)}) AS b, sqrt({' + '.join(f'pow(hp{a} - t{a}, 2)' for a in H)}) AS h, sqrt({' + '.join(f'pow(v{a} - tv{a}, 2)' for a in H)}) AS bv, sqrt({' + '.join(f'pow(hv{a} - tv{a}, 2)' for a in H)}) AS hv FROM pairs JOIN mp USING (event_id)),
+ r AS (SELECT seq_id, count(*) AS n, sqrt(avg(b*b)) AS base_ate, sqrt(avg(h*h)) AS hybrid_ate, sqrt(avg(bv*bv)) AS base_velocity, sqrt(avg(hv*hv)) AS hybrid_velocity FROM e2 GROUP BY seq_id)
+ SELECT seq_id, n, {', '.join(f'round({k}_{m}, 3) AS {k}_{m}' for m in ('ate', 'velocity') for k in ('base', 'hybrid'))}, {', '.join(f'round(100 * (base_{m} - hybrid_{m}) / greatest(abs(base_{m}), 1e-6), 2) AS {m}_percent' for m in ('ate', 'velocity'))} FROM r""")
+def hybrid_report(spark, sf_dir):
+    """Frames' trajectories as they are and with the network's gated velocity corrections, both held against the truth."""
+    state = posed(events(spark, sf_dir).where("event_type = 'view'")).select("seq_id", "us", "event_id", *(f"{k}{a}" for k in "pv" for a in H)).withColumn("step", learning.clamped_dt())
+    rows = saved(featured(spark, sf_dir))
+    z = learning.scaled(rows, learning.scaler_stats(rows, learning.FEATURES), learning.FEATURES)
+    dv, _ = learning.gate(tuple(F.col(c) for c in OUT[:3]), F.col("confidence"))
+    out = learning.network(z.select("event_id", F.array(*learning.FEATURES).alias("v")), "v", W).select("event_id", *(d.alias(f"g{a}") for a, d in zip(H, dv, strict=True)))
+    moved = state.join(out, "event_id").withColumns({f"hv{a}": F.col(f"v{a}") + F.col(f"g{a}") for a in H})
+    upto = Window.partitionBy("seq_id").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    later = F.row_number().over(Window.partitionBy("seq_id").orderBy("us")) > 1
+    moved = moved.withColumn("later", later).withColumns({f"hp{a}": F.first(f"p{a}").over(upto) + F.sum(F.when(F.col("later"), F.col(f"hv{a}") * F.col("step")).otherwise(0.0)).over(upto) for a in H})
+    near = joins.nearest_asof(moved, truths(spark, sf_dir), TOLERANCE, span=DAYS).where("other is not null")
+    error = lambda mine, true: metrics.rmse(F.sqrt(sum(((F.col(f"{mine}{a}") - F.col(f"other.{true}{a}")) ** 2 for a in H), F.lit(0.0))))
+    kinds = {"base_ate": ("p", "p"), "hybrid_ate": ("hp", "p"), "base_velocity": ("v", "v"), "hybrid_velocity": ("hv", "v")}
+    got = near.groupBy("seq_id").agg(F.count("*").alias("n"), *(error(*of).alias(name) for name, of in kinds.items()))
+    gain = lambda m: F.round(100 * (F.col(f"base_{m}") - F.col(f"hybrid_{m}")) / F.greatest(F.abs(f"base_{m}"), F.lit(1e-6)), 2).alias(f"{m}_percent")
+    return got.select("seq_id", "n", *(F.round(c, 3).alias(c) for c in kinds), gain("ate"), gain("velocity"))
