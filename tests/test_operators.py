@@ -206,3 +206,59 @@ def test_gate_and_training(spark):
     h = np.maximum(weights["shared.2.weight"] @ h + weights["shared.2.bias"], 0)
     want = weights["residual_head.weight"] @ h + weights["residual_head.bias"]
     assert np.allclose(list(learning.network(df, "v", weights).select("dvx", "dvy", "dvz").first()), want, atol=1e-9)
+
+
+def test_training_on_all_rows_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(301, 18))
+    y = np.stack([x[:, 0], x[:, 1] / 2, -x[:, 2]], axis=1)
+    xs, ys = learning.FEATURES, ["r0", "r1", "r2"]
+    rows = table(spark, np.hstack([x, y]).tolist(), ", ".join(f"{c} double" for c in xs + ys)).repartition(5)
+    weights, losses = learning.train_rows(rows, xs, ys, epochs=4)
+    p = {k: v.astype(float) for k, v in learning.seeded_weights().items()}
+    adam, want = learning.Adam(p, 1e-2, 1e-4), []
+    for _ in range(4):
+        loss, grads = learning.gradients(p, x, y, len(x))
+        want.append(loss)
+        adam.step(grads)
+    assert np.allclose(losses, want, rtol=1e-9) and all(np.allclose(weights[k], p[k], atol=1e-9) for k in p) and losses[-1] < losses[0]
+    # the gradients themselves, by differences
+    loss, grads = learning.gradients(p, x, y, len(x))
+    for name, at in (("shared.0.weight", (3, 2)), ("shared.2.bias", (5,)), ("confidence_head.0.weight", (0, 1))):
+        near = {k: v.copy() for k, v in p.items()}
+        near[name][at] += 1e-6
+        assert abs((learning.gradients(near, x, y, len(x))[0] - loss) / 1e-6 - grads[name][at]) < 1e-4
+    assert learning.train_rows(rows.limit(0), xs, ys)[1] == []
+
+
+def test_map_building_rejects_and_tries_again(spark):
+    lens = {"fx": 410.0, "fy": 415.0, "cx": 300.0, "cy": 220.0}
+    points = {1: (0.2, -0.1, 4.0), 2: (0.5, 0.3, 6.0), 3: (-0.4, 0.2, 5.0), 4: (0.1, 0.1, -4.0), 5: (0.0, 0.2, 80.0)}
+    obs = []
+    for track, (x, y, z) in points.items():
+        for kf, c in enumerate((0.0, 0.01, 0.5, 1.0)):
+            v = 415.0 * y / z + 220.0
+            if track == 2 and kf == 2 or track == 3 and kf > 0:
+                v += 40.0  # no point explains this pixel
+            obs.append((track, kf, np.eye(3).reshape(-1).tolist(), [c, 0.0, 0.0], 410.0 * (x - c) / z + 300.0, v))
+    obs.append((6, 0, np.eye(3).reshape(-1).tolist(), [0.0, 0.0, 0.0], 300.0, 220.0))
+    rows = table(spark, obs, "track long, kf long, r array<double>, c array<double>, u double, v double")
+    got = {r.track: r for r in mapping.build_map(rows, lens).collect()}
+    assert {t: (r.kf, r.attempts) for t, r in got.items()} == {1: (2, 2), 2: (3, 3), 3: (None, 3), 4: (None, 3), 5: (None, 3)}
+    assert np.allclose([(got[t].x, got[t].y, got[t].z) for t in (1, 2)], [points[1], points[2]], atol=1e-6)
+    assert got[1].error < 1e-6 and abs(got[2].depth - 6.0) < 1e-6 and got[3].x is None
+    assert mapping.build_map(rows.limit(0), lens).count() == 0
+
+
+def test_evaluation_of_odd_sequences(spark):
+    """A sequence in which one pair has no velocity has no velocity errors; one of a single pair has no alignment."""
+    pose = lambda seq, us, x, vx: (seq, us, us, x, 0.0, 0.0, vx, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)
+    kind = "seq_id long, us long, event_id long, px double, py double, pz double, vx double, vy double, vz double, qw double, qx double, qy double, qz double"
+    est = table(spark, [pose(1, i, float(i), 1.0 if i else None) for i in range(4)] + [pose(2, 0, 1.0, 1.0)], kind)
+    true = table(spark, [pose(1, i, i + 0.5, 1.0) for i in range(5)] + [pose(2, 0, 1.0, 3.0)], kind)
+    names = dict(zip(metrics.POS + metrics.VEL + metrics.QUAT, metrics.TRUE_POS + metrics.TRUE_VEL + metrics.TRUE_QUAT, strict=True))
+    both = est.join(true.select("seq_id", "us", F.col("event_id").alias("other_id"), *(F.col(c).alias(t) for c, t in names.items())), ["seq_id", "us"])
+    got = {r.seq_id: r for r in metrics.evaluation(both, est, true, {"row": joins.ahead_by_rows(both, 1)}).collect()}
+    assert (got[1].matched, got[1].unmatched_est, got[1].unmatched_true, got[1].velocity_mean, got[1].row_n) == (4, 0, 1, None, 3)
+    assert abs(got[1].ate_rmse - 0.5) < 1e-12 and abs(got[1].rigid_rmse) < 1e-9 and got[1].length_ratio == 1.0
+    assert got[2].velocity_mean == 2.0 and got[2].rigid_rmse is None and got[2].row_n is None and got[2].length_ratio == 1.0

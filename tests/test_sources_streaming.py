@@ -63,6 +63,10 @@ def test_reports(spark):
     assert json.loads(files.metrics_json(row)) == {"ate": {"rmse_m": 1.5, "max_m": 2.0}}
     with pytest.raises(ValueError):
         files.metrics_json(row.limit(0))
+    pair = spark.sql("select 7L seq_id, 2500000L us, 1D px, 2D py, 3D pz, 1D tx, 2D ty, 5D tz, 1D qw, 0D qx, 0D qy, 0D qz, 0D tw, 1D ti, 0D tj, 0D tk")
+    got = files.error_rows(pair).first().asDict()
+    assert list(got)[1] == "timestamp" and len(got) == 13 and got["timestamp"] == "2.500000" and got["error_z"] == "-2.000000"
+    assert (got["position_error"], got["orientation_error_deg"]) == ("2.000000", "180.0000")
 
 
 def test_streamed_intervals_equal_batch(spark, tmp_path):
