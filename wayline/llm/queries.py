@@ -10,6 +10,7 @@ from .dedup import near_duplicates
 from .fingerprints import fingerprint_edits
 from .licenses import scan_licenses
 from .mixing import mix_sources, mixing_sql
+from .negatives import NEGATIVES_SQL, hard_negatives
 from .packing import pack_documents
 from .quality import quality_rules
 from .ranking import score_quality
@@ -69,6 +70,11 @@ def op10_quality_ranking(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", "predicted", "rank_score")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, k=10, low=30, high=90, scale=256.0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,7 +88,8 @@ QUERIES = {
         op8_mixing_rake,
         op9_toxicity_neighbours,
         op10_quality_ranking,
+        op11_hard_negatives,
     )
 }
 #: The others have no SQL form: see their tests.
-ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": CHAT_SQL, "op8_mixing_rake": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": CHAT_SQL, "op8_mixing_rake": mixing_sql(), "op11_hard_negatives": NEGATIVES_SQL}
