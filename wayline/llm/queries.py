@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import AUDIT_SQL, audit_filters
 from .chat import CHAT_SQL, rotate_speakers
 from .dedup import near_duplicates
 from .fingerprints import fingerprint_edits
@@ -75,6 +76,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, k=10, low=30, high=90, scale=256.0)
 
 
+def op13_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,7 +94,8 @@ QUERIES = {
         op9_toxicity_neighbours,
         op10_quality_ranking,
         op11_hard_negatives,
+        op13_filter_audit,
     )
 }
 #: The others have no SQL form: see their tests.
-ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": CHAT_SQL, "op8_mixing_rake": mixing_sql(), "op11_hard_negatives": NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": CHAT_SQL, "op8_mixing_rake": mixing_sql(), "op11_hard_negatives": NEGATIVES_SQL, "op13_filter_audit": AUDIT_SQL}
