@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audit import AUDIT_SQL, audit_filters
+from .bpe import decode_ids, encode_texts
 from .chat import CHAT_SQL, rotate_speakers
 from .dedup import near_duplicates
 from .fingerprints import fingerprint_edits
@@ -76,6 +77,12 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, k=10, low=30, high=90, scale=256.0)
 
 
+def op12_lexicon_bpe(spark, sf_dir):
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    out = encode_texts(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids")
+    return decode_ids(out).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,6 +101,7 @@ QUERIES = {
         op9_toxicity_neighbours,
         op10_quality_ranking,
         op11_hard_negatives,
+        op12_lexicon_bpe,
         op13_filter_audit,
     )
 }
