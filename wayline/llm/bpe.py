@@ -27,8 +27,8 @@ from .workspace import Workspace
 
 #: Words in the lexicon at most, bytes of one at most; others are merged whenever they come (so results are the same).
 WORDS, LONGEST = 65_536, 64
-#: Words that a task counts, or remembers the ids of, before it lets go of them.
-REMEMBERED = 300_000
+#: Words that a task counts, or remembers the ids of, before it lets go of them; ids decoded at once.
+REMEMBERED, DECODED = 100_000, 1 << 17
 #: Bytes of a word whose pairs are merged without a heap; a pair that isn't merged.
 SHORT, NONE = 24, (1 << 40, 0)
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -343,11 +343,13 @@ def decode_ids(rows: DataFrame, path: str | None = None, name: str = "decoded")
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(len(kept))
-            step = 2048
-            for lo in range(0, len(batch), step):
-                part = batch.slice(lo, step)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), texts(lists.slice(lo, step))], [*kept, name])
+            lists, lo = batch.column(len(kept)), 0
+            to = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            while lo < len(batch):  # at most DECODED ids at once, or one longer list
+                hi = max(lo + 1, int(np.searchsorted(to, to[lo] + DECODED, "right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), texts(part.column(len(kept)))], [*kept, name])
+                lo = hi
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(*(F.col(f"`{c}`") for c in kept), "ids").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{name}` string"]))
