@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prefix import HOUR, first_value, in_spans, running_count, running_sum, scan
+
 GRAVITY, NOMINAL_DT = 9.81, 0.005
 
 
@@ -97,44 +99,115 @@ def health_step(state, count, valid, ready, visual, features, least: int, timeou
     return LOST, count
 
 
-def health_states(rows: DataFrame, least: int = 10, timeout: int = 50) -> DataFrame:
+#: What health_maps gives of a span's rows.
+MAP = ("invalid", "n", "lead", "after_lost", "after_tail", "begun", "begun_lost", "begun_tail")
+
+
+def mapped_health(state: str, count: int, m: dict, timeout: int) -> tuple[str, int]:
+    """The state and count that a span of rows, as one of health_maps, leads to from state and count."""
+    degraded = lambda lost, tail: (LOST, 0) if lost else (DEGRADED, tail) if tail else (TRACKING, 0)
+    if m["invalid"] or state == LOST:
+        return LOST, 0
+    if state == INITIALIZING:
+        return degraded(m["begun_lost"], m["begun_tail"]) if m["begun"] else (INITIALIZING, 0)
+    if count + m["lead"] > timeout:
+        return LOST, 0
+    if m["lead"] == m["n"]:
+        return degraded(False, count + m["n"])
+    return degraded(m["after_lost"], m["after_tail"])
+
+
+def health_maps(rows: DataFrame, timeout: int) -> DataFrame:
+    """seq_id, _span and MAP: the map from state to state that the rows of a span are, whatever comes before.
+
+    From a tracking or degraded state, lead rows pass before the first good one, and what follows doesn't
+    depend on the count; from the initial state, all depends on the first ready row. A run's length is the
+    number of bad rows so far, less that at the last good one.
+    """
+    w = Window.partitionBy("seq_id", "_span").orderBy("us")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    fine = F.col("good") & F.col("started") | F.col("first")
+    rows = rows.withColumns({"bads": F.count(F.when(~F.col("good"), 1)).over(upto), "readies": F.count(F.when(F.col("set_up"), 1)).over(upto)})
+    rows = rows.withColumns({"started": F.col("readies") > 0, "first": F.col("set_up") & (F.col("readies") == 1)})
+    rows = rows.withColumns({"run": F.col("bads") - F.max(F.when(F.col("good"), F.col("bads"))).over(upto), "begun_bads": F.count(F.when(F.col("started") & ~fine, 1)).over(upto)})
+    rows = rows.withColumn("begun_run", F.col("begun_bads") - F.max(F.when(fine, F.col("begun_bads"))).over(upto))
+    measures = {
+        "invalid": F.bool_or(~F.col("valid")),
+        "n": F.count(F.lit(1)),
+        "lead": F.count(F.when(F.col("run").isNull(), 1)),
+        "after_lost": F.coalesce(F.max(F.col("run") > timeout), F.lit(False)),
+        "after_tail": F.coalesce(F.max_by("run", "us"), F.lit(0)),
+        "begun": F.max("started"),
+        "begun_lost": F.coalesce(F.max(F.col("begun_run") > timeout), F.lit(False)),
+        "begun_tail": F.coalesce(F.max_by("begun_run", "us"), F.lit(0)),
+    }
+    return rows.groupBy("seq_id", "_span").agg(*(measures[c].alias(c) for c in MAP))
+
+
+def health_states(rows: DataFrame, least: int = 10, timeout: int = 50, span: int = HOUR, start: DataFrame | None = None) -> DataFrame:
     """seq_id, us, state, count of every row (seq_id, us, valid, ready, visual, features), in time order.
 
-    The machine is read off windows, not folded. Runs of degraded rows are numbered from their start; a
-    sequence is lost from its first invalid row, or where a run outlasts the timeout, for good.
+    A scan over spans: what a span's rows do to any state is one row (health_maps), these are passed through in
+    order, one row per span, and each span's rows are read off windows given the state that it begins with.
+    start (seq_id, state, count) are the states of sequences to go on from, as last_health gives them;
+    sequences that it hasn't begin anew. Flags that are null count as false, null validity as invalid.
     """
-    w = Window.partitionBy("seq_id").orderBy("us")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    enough = F.col("features") >= least
+    rows = in_spans(rows, span).select("seq_id", "us", "_span", yes(F.col("valid")).alias("valid"), yes(F.col("visual") & enough).alias("good"), yes(F.col("ready") & enough).alias("set_up"))
+    maps = health_maps(rows, timeout)
+    if start is not None:
+        maps = maps.join(start.select("seq_id", F.col("state").alias("start_state"), F.col("count").cast("long").alias("start_count")), "seq_id", "left")
+    else:
+        maps = maps.withColumns({"start_state": F.lit(None).cast("string"), "start_count": F.lit(None).cast("long")})
+
+    def run(batches):
+        seq, state, count = None, INITIALIZING, 0
+        for batch in batches:
+            out = []
+            for m in batch.to_pylist():
+                if m["seq_id"] != seq:
+                    seq, state, count = m["seq_id"], m["start_state"] or INITIALIZING, m["start_count"] or 0
+                out.append((seq, m["_span"], state, count))
+                state, count = mapped_health(state, count, m, timeout)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["seq_id", "_span", "began", "began_count"])
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    began = maps.withColumn("seq_id", F.col("seq_id").cast("long")).repartition(parts, "seq_id").sortWithinPartitions("seq_id", "_span").mapInArrow(run, "seq_id long, _span long, began string, began_count long")
+    rows = rows.join(began, ["seq_id", "_span"])
+    w = Window.partitionBy("seq_id", "_span").orderBy("us")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("good", F.col("visual") & (F.col("features") >= least))
-    started = F.max((F.col("ready") & (F.col("features") >= least)).cast("int")).over(upto) == 1
-    rows = rows.withColumn("started", started)
+    fresh = F.col("began") == INITIALIZING
+    rows = rows.withColumn("readies", F.count(F.when(F.col("set_up"), 1)).over(upto))
+    rows = rows.withColumn("started", ~fresh | (F.col("readies") > 0))
     # the row that starts tracking counts as good whatever its visual flag is
-    first = F.col("started") & ~F.coalesce(F.lag("started").over(w), F.lit(False))
-    rows = rows.withColumn("first", first).withColumn("fine", F.col("good") | F.col("first"))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("started") & F.col("fine"), 1).otherwise(0)).over(upto))
+    rows = rows.withColumn("fine", F.col("started") & (F.col("good") | (fresh & F.col("set_up") & (F.col("readies") == 1))))
+    rows = rows.withColumn("bads", F.count(F.when(F.col("started") & ~F.col("fine"), 1)).over(upto))
+    rows = rows.withColumn("run", F.coalesce(F.col("bads") - F.max(F.when(F.col("fine"), F.col("bads"))).over(upto), F.col("bads") + F.col("began_count")))
     bad = F.col("started") & ~F.col("fine")
-    rows = rows.withColumn("bad_count", F.sum(bad.cast("long")).over(Window.partitionBy("seq_id", "run").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)))
-    ends = (~F.col("valid")) | (bad & (F.col("bad_count") > timeout))
-    rows = rows.withColumn("lost", F.max(ends.cast("int")).over(upto) == 1)
+    ends = ~F.col("valid") | (bad & (F.col("run") > timeout))
+    rows = rows.withColumn("lost", (F.col("began") == LOST) | F.max(ends).over(upto))
     state = F.when(F.col("lost"), LOST).when(~F.col("started"), INITIALIZING).when(bad, DEGRADED).otherwise(TRACKING)
-    recovered = F.col("started") & F.col("fine")
-    count = F.when(F.col("lost") | ~F.col("started") | recovered, 0).otherwise(F.col("bad_count"))
+    count = F.when(F.col("lost") | ~bad, 0).otherwise(F.col("run"))
     return rows.select("seq_id", "us", state.alias("state"), count.cast("long").alias("count"))
 
 
-def gated_correction(rows: DataFrame, every: int) -> DataFrame:
+def last_health(states: DataFrame) -> DataFrame:
+    """seq_id, state, count that each sequence ends with, for a later run to start from."""
+    return states.groupBy("seq_id").agg(F.max_by(F.struct("state", "count"), "us").alias("s")).select("seq_id", "s.*")
+
+
+def gated_correction(rows: DataFrame, every: int, span: int = HOUR) -> DataFrame:
     """Corrected position where every n-th row is scored: scored rows advance the corrected position by
     their own v * dt, others put out the raw position and leave it.
 
     rows: seq_id, us, px, vx, dt (one axis); adds row and hybrid_px.
     """
-    w = Window.partitionBy("seq_id").orderBy("us")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("row", F.row_number().over(w) - 1)
+    rows = scan(rows, span, row=running_count(), _start=first_value(F.col("px"))).withColumn("row", F.col("row") - 1)
     scored = F.col("row") % every == 0
     step = F.when(scored & (F.col("row") > 0), F.col("vx") * F.col("dt")).otherwise(0.0)
-    hybrid = F.first("px").over(upto) + F.sum(step).over(upto)
-    return rows.withColumn("hybrid_px", F.when(scored, hybrid).otherwise(F.col("px")))
+    rows = scan(rows, span, _moved=running_sum(step))
+    return rows.withColumn("hybrid_px", F.when(scored, F.col("_start") + F.col("_moved")).otherwise(F.col("px"))).drop("_start", "_moved")
 
 
 def quat(axis_rows):

@@ -1,32 +1,22 @@
 """Joins along time within a sequence: interval, nearest, ahead.
 
-Rows of both sides are tagged, united and read by windows, so no range condition reaches the planner.
-A sequence of any length is spread over tasks: windows work within time spans, and what a span needs
-from the ones after or before it is looked up in a table of one row per span. All frames grow from their
-partition's start, in ascending or descending order, so a span of n rows takes n steps.
+Rows of both sides are tagged, united and read by prefix scans (prefix.py), so no range condition reaches the
+planner and a sequence of any length is spread over tasks. All frames grow from their partition's start, in
+ascending or descending order, so a span of n rows takes n steps.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-HOUR = 3_600_000_000
+from .prefix import HOUR, nearest, running_count, scan
 
 
 def seek(rows: DataFrame, hit: Column, payload: Column, name: str, forward: bool, span: int, order: list[str], strict: bool = False, seq: str = "seq_id", ts: str = "us") -> DataFrame:
     """Adds `name`: payload of the nearest row with `hit`, from this row on (or up to it), in `order`; with
     strict this row itself doesn't count."""
-    rows = rows.withColumn("_span", F.floor(F.col(ts) / span)).withColumn("_hit", F.when(hit, payload))
-    along = (lambda c: F.desc(c)) if forward else (lambda c: F.asc(c))
-    near = Window.partitionBy(seq, "_span").orderBy(*map(along, order)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    far = Window.partitionBy(seq).orderBy(along("_span")).rowsBetween(Window.unboundedPreceding, -1)
-    nearest = F.min_by if forward else F.max_by
-    head = nearest("_hit", F.when(F.col("_hit").isNotNull(), F.struct(*order)))
-    spans = rows.groupBy(seq, "_span").agg(head.alias("_head")).select(seq, "_span", F.last("_head", ignorenulls=True).over(far).alias("_there"))
-    rows = rows.withColumn("_here", F.last("_hit", ignorenulls=True).over(near)).join(spans, [seq, "_span"])
-    return rows.withColumn(name, F.coalesce("_here", "_there")).drop("_span", "_hit", "_here", "_there")
+    return scan(rows, span, order, seq, ts, **{name: nearest(payload, hit, forward, strict)})
 
 
 def interval_join(frames: DataFrame, samples: DataFrame, fields: list[str], include_first: bool = True, span: int = HOUR) -> DataFrame:
@@ -62,8 +52,8 @@ def nearest_asof(left: DataFrame, right: DataFrame, tolerance_us: int, span: int
         raise ValueError("the tolerance must be above zero")
     own, them = F.struct(*left.columns), F.struct(*right.columns)
     rows = left.select("seq_id", "us", F.lit(0).alias("side"), own.alias("own")).unionByName(right.select("seq_id", "us", F.lit(1).alias("side"), them.alias("them")), allowMissingColumns=True)
-    rows = seek(rows, F.col("side") == 1, F.col("them"), "after", True, span, ["us", "side"])
-    rows = seek(rows, F.col("side") == 1, F.col("them"), "before", False, span, ["us", "side"]).where("side = 0")
+    right_row = F.col("side") == 1
+    rows = scan(rows, span, ["us", "side"], after=nearest(F.col("them"), right_row, True), before=nearest(F.col("them"), right_row)).where("side = 0")
     ahead, behind = F.col("after.us") - F.col("us"), F.col("us") - F.col("before.us")
     later = behind.isNull() | (ahead <= behind)
     best = F.when(later, F.col("after")).otherwise(F.col("before"))
@@ -94,10 +84,12 @@ def ahead_or_last(rows: DataFrame, delta_us: int, share: float = 0.9, span: int
     return out.where(F.col("ahead.us") - F.col("us") >= share * delta_us).select(*rows.columns, "ahead")
 
 
-def ahead_by_rows(rows: DataFrame, k: int) -> DataFrame:
-    """Each row with the k-th row after it."""
+def ahead_by_rows(rows: DataFrame, k: int, span: int = HOUR) -> DataFrame:
+    """Each row with the k-th row after it: rows are numbered, then joined with those k further on."""
     fields = F.struct("us", *[c for c in rows.columns if c not in ("seq_id", "us")])
-    return rows.withColumn("ahead", F.lead(fields, k).over(Window.partitionBy("seq_id").orderBy("us"))).where("ahead is not null")
+    numbered = scan(rows, span, _n=running_count())
+    later = numbered.select("seq_id", (F.col("_n") - k).alias("_n"), fields.alias("ahead"))
+    return numbered.join(later, ["seq_id", "_n"]).select(*rows.columns, "ahead")
 
 
 def nearest_points(points: DataFrame, radius: float) -> DataFrame:

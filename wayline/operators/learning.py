@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .prefix import HOUR, neighbour, running_count, scan, total
 
 #: The order of the features and the network's layers.
 FEATURES = ["tracked_features", "inlier_ratio", "mean_flow", "std_flow", "mean_ax", "mean_ay", "mean_az", "var_ax", "var_ay", "var_az", "mean_wx", "mean_wy", "mean_wz", "vx", "vy", "vz", "speed", "dt"]
@@ -29,10 +29,11 @@ def interval_stats(samples: Column, fields: list[str], name) -> dict[str, Column
     return out
 
 
-def clamped_dt(ts: str = "us", seq: str = "seq_id") -> Column:
-    """Seconds since the row before, at least 1e-4; 0.05 for the first."""
-    before = F.lag(ts).over(Window.partitionBy(seq).orderBy(ts))
-    return F.coalesce(F.greatest((F.col(ts) - before) * 1e-6, F.lit(1e-4)), F.lit(0.05))
+def with_steps(rows: DataFrame, span: int = HOUR, name: str = "dt") -> DataFrame:
+    """Adds prev_us, the time of the row before, and `name`, the seconds since, at least 1e-4; 0.05 for the first."""
+    rows = scan(rows, span, prev_us=neighbour(F.col("us")))
+    step = F.greatest((F.col("us") - F.col("prev_us")) * 1e-6, F.lit(1e-4))  # greatest() skips nulls
+    return rows.withColumn(name, F.when(F.col("prev_us").isNull(), 0.05).otherwise(step))
 
 
 def scaler_stats(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -84,11 +85,10 @@ def gate(dv: g.Vec, confidence: Column, low: float = 0.2, full: float = 0.5, mos
     return tuple(F.when(ok, g.clip(d, -most, most) * share).otherwise(0.0) for d in dv), F.when(ok, confidence).otherwise(0.0)
 
 
-def chronological(rows: DataFrame, share: float = 0.7) -> DataFrame:
+def chronological(rows: DataFrame, share: float = 0.7, span: int = HOUR) -> DataFrame:
     """Adds part: train for the first int(n * share) rows of a sequence by time, else test."""
-    w = Window.partitionBy("seq_id").orderBy("us")
-    n = F.count("*").over(Window.partitionBy("seq_id"))
-    return rows.withColumn("part", F.when(F.row_number().over(w) <= F.floor(n * share), "train").otherwise("test"))
+    numbered = scan(rows, span, _place=running_count(), _rows=total(F.lit(1)))
+    return numbered.withColumn("part", F.when(F.col("_place") <= F.floor(F.col("_rows") * share), "train").otherwise("test")).drop("_place", "_rows")
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, n: int) -> tuple[float, dict[str, np.ndarray]]:

@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .prefix import HOUR, neighbour, scan
 
 
 def rmse(x: Column) -> Column:
@@ -25,9 +25,9 @@ def axis_summary(difference: Column, axis: str) -> list[Column]:
     return [rmse(difference).alias(f"rmse_{axis}"), F.avg(F.abs(difference)).alias(f"mae_{axis}"), F.max(F.abs(difference)).alias(f"max_{axis}")]
 
 
-def path_length(rows: DataFrame, p: tuple[str, ...], seq: str = "seq_id", ts: str = "us") -> DataFrame:
-    w = Window.partitionBy(seq).orderBy(ts)
-    step = g.norm(tuple(F.col(c) - F.lag(c).over(w) for c in p))
+def path_length(rows: DataFrame, p: tuple[str, ...], seq: str = "seq_id", ts: str = "us", span: int = HOUR) -> DataFrame:
+    rows = scan(rows.select(seq, ts, *p), span, seq=seq, ts=ts, _before=neighbour(F.struct(*p)))
+    step = g.norm(tuple(F.col(c) - F.col(f"_before.{c}") for c in p))
     return rows.withColumn("step", step).groupBy(seq).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
 
 
@@ -103,7 +103,7 @@ POS, TRUE_POS, VEL, TRUE_VEL = ("px", "py", "pz"), ("tx", "ty", "tz"), ("vx", "v
 QUAT, TRUE_QUAT = ("qw", "qx", "qy", "qz"), ("tw", "ti", "tj", "tk")
 
 
-def evaluation(pairs: DataFrame, est: DataFrame, true: DataFrame, ahead: dict[str, DataFrame]) -> DataFrame:
+def evaluation(pairs: DataFrame, est: DataFrame, true: DataFrame, ahead: dict[str, DataFrame], span: int = HOUR) -> DataFrame:
     """All measures of each sequence in one row: counts of matched and unmatched poses, position errors as a
     whole and by axis, orientation errors as they are and as drift from the first pair, velocity errors (null
     unless every pair has both velocities), path lengths, relative errors for each of ahead (name: pairs with
@@ -134,7 +134,7 @@ def evaluation(pairs: DataFrame, est: DataFrame, true: DataFrame, ahead: dict[st
         out = out.join(side.groupBy(*by).agg(F.count("*").alias(name)), by, "left")
     out = out.withColumns({"unmatched_est": F.col("n_est") - F.col("matched"), "unmatched_true": F.col("n_true") - F.col("_used")})
     for names, name in ((POS, "est_length"), (TRUE_POS, "true_length")):
-        out = out.join(path_length(pairs, names).withColumnRenamed("length", name), by, "left")
+        out = out.join(path_length(pairs, names, span=span).withColumnRenamed("length", name), by, "left")
     out = out.withColumn("length_ratio", length_ratio(F.col("est_length"), F.col("true_length")))
     for name, later in ahead.items():
         aggs = [F.count("*").alias(f"{name}_n"), rmse(F.col("translation")).alias(f"{name}_translation_rmse"), F.avg("rotation").alias(f"{name}_rotation_mean")]

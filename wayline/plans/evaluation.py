@@ -77,7 +77,7 @@ def rpe(ahead):
 
 @query(rel_sql("h AS (SELECT event_id, lead(event_id) OVER (PARTITION BY seq_id ORDER BY us) AS ahead_id FROM pairs)"))
 def rpe_frame(spark, sf_dir):
-    return rpe(joins.ahead_by_rows(pairs(spark, sf_dir), 1))
+    return rpe(joins.ahead_by_rows(pairs(spark, sf_dir), 1, DAYS))
 
 
 @query(rel_sql(f"h AS (SELECT a.event_id, arg_min(b.event_id, b.us) AS ahead_id FROM pairs a JOIN pairs b ON a.seq_id = b.seq_id AND b.us >= a.us + {DAY} AND b.us < a.us + {2 * DAY} GROUP BY a.event_id)"))
@@ -93,8 +93,8 @@ def lengths_sql(source):
 @query(f"WITH {NEAR}, a AS ({lengths_sql('e')}), b AS ({lengths_sql('t')}) SELECT seq_id, round(a.length, 4) AS est, round(b.length, 4) AS true_length, round(CASE WHEN b.length <= 1e-6 THEN 1 ELSE a.length / b.length END, 6) AS ratio, round(a.length / nullif(b.length, 0), 6) AS raw_ratio FROM a JOIN b USING (seq_id)")
 def path_length_ratio(spark, sf_dir):
     """Guarded ratio, and the unguarded one of the stand-alone recomputation."""
-    est = metrics.path_length(estimates(spark, sf_dir), tuple(P)).withColumnRenamed("length", "est")
-    true = metrics.path_length(truths(spark, sf_dir), tuple(P)).withColumnRenamed("length", "true_length")
+    est = metrics.path_length(estimates(spark, sf_dir), tuple(P), span=DAYS).withColumnRenamed("length", "est")
+    true = metrics.path_length(truths(spark, sf_dir), tuple(P), span=DAYS).withColumnRenamed("length", "true_length")
     out = est.join(true, "seq_id").withColumn("ratio", metrics.length_ratio(F.col("est"), F.col("true_length"))).withColumn("raw_ratio", F.try_divide("est", "true_length"))
     return out.select("seq_id", F.round("est", 4).alias("est"), F.round("true_length", 4).alias("true_length"), F.round("ratio", 6).alias("ratio"), F.round("raw_ratio", 6).alias("raw_ratio"))
 
@@ -246,6 +246,6 @@ AXES = ", ".join(f"sqrt(avg(({p} - {t}) * ({p} - {t}))) AS rmse_{a}, avg(abs({p}
 def evaluation_report(spark, sf_dir):
     """Every measure of each sequence in one row."""
     rows = saved(pairs(spark, sf_dir))
-    ahead = {"row": joins.ahead_by_rows(rows, 1), "day": joins.ahead_in_time(rows, DAY, DAY, span=DAYS)}
-    out = metrics.evaluation(rows, estimates(spark, sf_dir), truths(spark, sf_dir), ahead)
+    ahead = {"row": joins.ahead_by_rows(rows, 1, DAYS), "day": joins.ahead_in_time(rows, DAY, DAY, span=DAYS)}
+    out = metrics.evaluation(rows, estimates(spark, sf_dir), truths(spark, sf_dir), ahead, DAYS)
     return out.select("seq_id", *COUNTS, *(F.round(c, _digits(c)).alias(c) for c in MEASURES), "row_n", "day_n")

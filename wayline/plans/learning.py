@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..operators import joins, learning, metrics
+from ..operators import joins, learning, metrics, prefix
 from ..operators.tables import saved
 from .common import DAYS, EV, NEAR, POSED, SYNC, TOLERANCE, events, pairs, posed, query, synced, truths
 
@@ -75,7 +74,8 @@ def featured(spark, sf_dir):
     rows = synced(spark, sf_dir)
     stats = learning.interval_stats(F.col("samples"), ["ax", "ay", "az", "wx", "wy", "wz"], lambda kind, c: f"{kind}_{c}")
     state = posed(events(spark, sf_dir).where("event_type = 'view'")).select("seq_id", "us", "event_id", "k", "vx", "vy", "vz")
-    rows = rows.select("seq_id", "us", *(c.alias(n) for n, c in stats.items() if not n.startswith("var_w")), learning.clamped_dt().alias("step")).join(state, ["seq_id", "us"])
+    rows = rows.select("seq_id", "us", *(c.alias(n) for n, c in stats.items() if not n.startswith("var_w")))
+    rows = learning.with_steps(rows, DAYS, "step").drop("prev_us").join(state, ["seq_id", "us"])
     ok = F.col("k") % 4 > 0
     rows = rows.withColumns(
         {
@@ -91,7 +91,7 @@ def featured(spark, sf_dir):
 
 
 RAW = f"""a AS (SELECT seq_id, us, {', '.join(f'coalesce(avg({c}), 0) AS mean_{c}' for c in ('ax', 'ay', 'az', 'wx', 'wy', 'wz'))}, {', '.join(f'coalesce(var_pop({c}), 0) AS var_{c}' for c in ('ax', 'ay', 'az'))} FROM j GROUP BY seq_id, us),
- p AS (SELECT *, coalesce(greatest((us - lag(us) OVER (PARTITION BY seq_id ORDER BY us)) * 1e-6, 1e-4), 0.05) AS step FROM posed WHERE event_type = 'view'),
+ p AS (SELECT *, CASE WHEN (us - lag(us) OVER (PARTITION BY seq_id ORDER BY us)) IS NULL THEN 0.05 ELSE greatest((us - lag(us) OVER (PARTITION BY seq_id ORDER BY us)) * 1e-6, 1e-4) END AS step FROM posed WHERE event_type = 'view'),
  raw AS (SELECT p.seq_id, p.us, p.event_id, px, py, pz, CASE WHEN k % 4 > 0 THEN k ELSE 0 END::DOUBLE AS tracked_features, CASE WHEN k % 4 > 0 THEN 0.8::DOUBLE ELSE 0 END AS inlier_ratio, 0::DOUBLE AS mean_flow, 0::DOUBLE AS std_flow,
  {', '.join(learning.FEATURES[4:16])}, sqrt(vx * vx + vy * vy + vz * vz) AS speed, greatest(1e-4, least(1.0::DOUBLE, step)) AS dt FROM p JOIN a USING (seq_id, us))"""
 
@@ -104,7 +104,7 @@ def feature_rows(spark, sf_dir):
 
 @query(f"WITH {NEAR}, s AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY us) AS r, count(*) OVER (PARTITION BY seq_id) AS n FROM pairs) SELECT CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part, count(*) AS rows, round(avg(tvx - vx), 6) AS mean_dvx, round(avg(tvy - vy), 6) AS mean_dvy FROM s GROUP BY 1")
 def training_set(spark, sf_dir):
-    rows = learning.chronological(pairs(spark, sf_dir)).withColumns({"dvx": F.col("tvx") - F.col("vx"), "dvy": F.col("tvy") - F.col("vy")})
+    rows = learning.chronological(pairs(spark, sf_dir), span=DAYS).withColumns({"dvx": F.col("tvx") - F.col("vx"), "dvy": F.col("tvy") - F.col("vy")})
     return rows.groupBy("part").agg(F.count("*").alias("rows"), F.round(F.avg("dvx"), 6).alias("mean_dvx"), F.round(F.avg("dvy"), 6).alias("mean_dvy"))
 
 
@@ -121,7 +121,7 @@ def training_examples(spark, sf_dir):
     state = posed(events(spark, sf_dir).where("event_type = 'view'")).select("seq_id", "us", "vx", "vy", "vz")
     near = joins.nearest_asof(state, truths(spark, sf_dir), TOLERANCE, span=DAYS).where("other is not null")
     residual = near.select("seq_id", "us", *((F.col(f"other.v{a}") - F.col(f"v{a}")).alias(f"dv{a}") for a in "xyz"))
-    rows = saved(learning.chronological(featured(spark, sf_dir).join(residual, ["seq_id", "us"])))
+    rows = saved(learning.chronological(featured(spark, sf_dir).join(residual, ["seq_id", "us"]), span=DAYS))
     return learning.scaled(rows, learning.scaler_stats(rows.where("part = 'train'"), learning.FEATURES), learning.FEATURES)
 
 
@@ -161,15 +161,16 @@ H = ("x", "y", "z")
  SELECT seq_id, n, {', '.join(f'round({k}_{m}, 3) AS {k}_{m}' for m in ('ate', 'velocity') for k in ('base', 'hybrid'))}, {', '.join(f'round(100 * (base_{m} - hybrid_{m}) / greatest(abs(base_{m}), 1e-6), 2) AS {m}_percent' for m in ('ate', 'velocity'))} FROM r""")
 def hybrid_report(spark, sf_dir):
     """Frames' trajectories as they are and with the network's gated velocity corrections, both held against the truth."""
-    state = posed(events(spark, sf_dir).where("event_type = 'view'")).select("seq_id", "us", "event_id", *(f"{k}{a}" for k in "pv" for a in H)).withColumn("step", learning.clamped_dt())
+    state = posed(events(spark, sf_dir).where("event_type = 'view'")).select("seq_id", "us", "event_id", *(f"{k}{a}" for k in "pv" for a in H))
+    state = learning.with_steps(state, DAYS, "step")
     rows = saved(featured(spark, sf_dir))
     z = learning.scaled(rows, learning.scaler_stats(rows, learning.FEATURES), learning.FEATURES)
     dv, _ = learning.gate(tuple(F.col(c) for c in OUT[:3]), F.col("confidence"))
     out = learning.network(z.select("event_id", F.array(*learning.FEATURES).alias("v")), "v", W).select("event_id", *(d.alias(f"g{a}") for a, d in zip(H, dv, strict=True)))
     moved = state.join(out, "event_id").withColumns({f"hv{a}": F.col(f"v{a}") + F.col(f"g{a}") for a in H})
-    upto = Window.partitionBy("seq_id").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    later = F.row_number().over(Window.partitionBy("seq_id").orderBy("us")) > 1
-    moved = moved.withColumn("later", later).withColumns({f"hp{a}": F.first(f"p{a}").over(upto) + F.sum(F.when(F.col("later"), F.col(f"hv{a}") * F.col("step")).otherwise(0.0)).over(upto) for a in H})
+    later = lambda a: F.when(F.col("prev_us").isNotNull(), F.col(f"hv{a}") * F.col("step")).otherwise(0.0)
+    moved = prefix.scan(saved(moved), DAYS, start=prefix.first_value(F.struct(*(f"p{a}" for a in H))), **{f"gone{a}": prefix.running_sum(later(a)) for a in H})
+    moved = moved.withColumns({f"hp{a}": F.col(f"start.p{a}") + F.col(f"gone{a}") for a in H})
     near = joins.nearest_asof(moved, truths(spark, sf_dir), TOLERANCE, span=DAYS).where("other is not null")
     error = lambda mine, true: metrics.rmse(F.sqrt(sum(((F.col(f"{mine}{a}") - F.col(f"other.{true}{a}")) ** 2 for a in H), F.lit(0.0))))
     kinds = {"base_ate": ("p", "p"), "hybrid_ate": ("hp", "p"), "base_velocity": ("v", "v"), "hybrid_velocity": ("hv", "v")}

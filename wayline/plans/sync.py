@@ -6,20 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..operators import folds, joins, learning, mapping, validate
+from ..operators import folds, joins, learning, mapping, prefix, validate
 from .common import DAYS, EV, FIELDS, HOUR, NEAR, POSED, SYNC, TOLERANCE, estimates, events, frames, pairs, query, samples, synced, truths
 
 DAY = 24 * HOUR
 
 
-def by_time():
-    return Window.partitionBy("seq_id").orderBy("us")
-
-
-def upto():
-    return by_time().rowsBetween(Window.unboundedPreceding, 0)
-
-
 @query(f"""WITH {SYNC} SELECT seq_id, us, start_us, count(event_id) AS n, round(coalesce(avg(ax), 0), 6) AS mean_ax, round(coalesce(var_pop(ax), 0), 6) AS var_ax,
  round(coalesce(avg(wx), 0), 6) AS mean_wx FROM j GROUP BY seq_id, us, start_us""")
 def sync_interval_stats(spark, sf_dir):
@@ -78,7 +70,7 @@ def ahead_pairs_tail(spark, sf_dir):
 
 @query(f"WITH {EV}, c AS (SELECT seq_id, event_id, lead(event_id, 3) OVER (PARTITION BY seq_id ORDER BY us) AS ahead_id FROM ev WHERE event_type = 'click') SELECT * FROM c WHERE ahead_id IS NOT NULL")
 def frame_lag_pairs(spark, sf_dir):
-    return joins.ahead_by_rows(estimates(spark, sf_dir).select("seq_id", "us", "event_id"), 3).select("seq_id", "event_id", F.col("ahead.event_id").alias("ahead_id"))
+    return joins.ahead_by_rows(estimates(spark, sf_dir).select("seq_id", "us", "event_id"), 3, DAYS).select("seq_id", "event_id", F.col("ahead.event_id").alias("ahead_id"))
 
 
 @query(f"WITH {NEAR} SELECT p.seq_id, p.us, x.value, round(p.px - p.tx, 6) AS target FROM pairs p JOIN ev x ON x.seq_id = p.seq_id AND x.us = p.us")
@@ -114,40 +106,41 @@ def track_propagation(spark, sf_dir):
 
 
 @query(f"""WITH {EV}, w AS (SELECT seq_id, us, event_id, lag(us) OVER (PARTITION BY seq_id ORDER BY us) AS prev_us FROM ev)
- SELECT seq_id, event_id, prev_us, round(coalesce(greatest((us - prev_us) * 1e-6, 1e-4), 0.05), 6) AS dt FROM w""")
+ SELECT seq_id, event_id, prev_us, round(CASE WHEN (us - prev_us) IS NULL THEN 0.05 ELSE greatest((us - prev_us) * 1e-6, 1e-4) END, 6) AS dt FROM w""")
 def clamped_time_steps(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    return rows.select("seq_id", "event_id", F.lag("us").over(by_time()).alias("prev_us"), F.round(learning.clamped_dt(), 6).alias("dt"))
+    rows = learning.with_steps(events(spark, sf_dir), DAYS)
+    return rows.select("seq_id", "event_id", "prev_us", F.round("dt", 6).alias("dt"))
 
 
-@query(f"""WITH {EV}, {POSED}, c AS (SELECT *, coalesce(greatest((us - lag(us) OVER w) * 1e-6, 1e-4), 0.05) AS dt, row_number() OVER w AS r, first_value(px) OVER w AS p0 FROM posed WHERE event_type = 'click' WINDOW w AS (PARTITION BY seq_id ORDER BY us))
+@query(f"""WITH {EV}, {POSED}, c AS (SELECT *, CASE WHEN (us - lag(us) OVER w) IS NULL THEN 0.05 ELSE greatest((us - lag(us) OVER w) * 1e-6, 1e-4) END AS dt, row_number() OVER w AS r, first_value(px) OVER w AS p0 FROM posed WHERE event_type = 'click' WINDOW w AS (PARTITION BY seq_id ORDER BY us))
  SELECT seq_id, event_id, round(p0 + sum(CASE WHEN r > 1 THEN vx * dt ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING), 3) AS corrected_px FROM c""")
 def corrected_position(spark, sf_dir):
-    rows = estimates(spark, sf_dir).withColumn("dt", learning.clamped_dt())
-    return folds.gated_correction(rows, 1).select("seq_id", "event_id", F.round("hybrid_px", 3).alias("corrected_px"))
+    rows = learning.with_steps(estimates(spark, sf_dir), DAYS)
+    return folds.gated_correction(rows, 1, DAYS).select("seq_id", "event_id", F.round("hybrid_px", 3).alias("corrected_px"))
 
 
-@query(f"""WITH {EV}, {POSED}, c AS (SELECT *, coalesce(greatest((us - lag(us) OVER w) * 1e-6, 1e-4), 0.05) AS dt, row_number() OVER w - 1 AS r, first_value(px) OVER w AS p0 FROM posed WHERE event_type = 'click' WINDOW w AS (PARTITION BY seq_id ORDER BY us))
+@query(f"""WITH {EV}, {POSED}, c AS (SELECT *, CASE WHEN (us - lag(us) OVER w) IS NULL THEN 0.05 ELSE greatest((us - lag(us) OVER w) * 1e-6, 1e-4) END AS dt, row_number() OVER w - 1 AS r, first_value(px) OVER w AS p0 FROM posed WHERE event_type = 'click' WINDOW w AS (PARTITION BY seq_id ORDER BY us))
  SELECT seq_id, event_id, CASE WHEN r % 3 = 0 THEN round(p0 + sum(CASE WHEN r > 0 AND r % 3 = 0 THEN vx * dt ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING), 3) ELSE round(px, 3) END AS hybrid_px FROM c""")
 def gated_correction(spark, sf_dir):
-    rows = estimates(spark, sf_dir).withColumn("dt", learning.clamped_dt())
-    return folds.gated_correction(rows, 3).select("seq_id", "event_id", F.round("hybrid_px", 3).alias("hybrid_px"))
+    rows = learning.with_steps(estimates(spark, sf_dir), DAYS)
+    return folds.gated_correction(rows, 3, DAYS).select("seq_id", "event_id", F.round("hybrid_px", 3).alias("hybrid_px"))
 
 
 @query(f"WITH {NEAR} SELECT seq_id, event_id, round(sqrt(avg((px - tx) * (px - tx)) OVER w), 6) AS rmse, round(avg(abs(px - tx)) OVER w, 6) AS mean FROM pairs WINDOW w AS (PARTITION BY seq_id ORDER BY us ROWS UNBOUNDED PRECEDING)")
 def running_rmse(spark, sf_dir):
     error = F.col("px") - F.col("tx")
-    return pairs(spark, sf_dir).select("seq_id", "event_id", F.round(F.sqrt(F.avg(error * error).over(upto())), 6).alias("rmse"), F.round(F.avg(F.abs(error)).over(upto()), 6).alias("mean"))
+    rows = prefix.scan(pairs(spark, sf_dir), DAYS, n=prefix.running_count(), squares=prefix.running_sum(error * error), sizes=prefix.running_sum(F.abs(error)))
+    return rows.select("seq_id", "event_id", F.round(F.sqrt(F.col("squares") / F.col("n")), 6).alias("rmse"), F.round(F.col("sizes") / F.col("n"), 6).alias("mean"))
 
 
 @query(f"WITH {EV}, c AS (SELECT seq_id, event_id, row_number() OVER (PARTITION BY seq_id ORDER BY us) AS r, count(*) OVER (PARTITION BY seq_id) AS n FROM ev) SELECT seq_id, event_id, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM c")
 def chrono_split(spark, sf_dir):
-    return learning.chronological(events(spark, sf_dir)).select("seq_id", "event_id", "part")
+    return learning.chronological(events(spark, sf_dir), span=DAYS).select("seq_id", "event_id", "part")
 
 
 @query(f"WITH {EV}, c AS (SELECT seq_id, event_id, row_number() OVER (PARTITION BY seq_id ORDER BY us) - 1 AS r FROM ev) SELECT * FROM c WHERE r % 5 = 0")
 def every_nth_row(spark, sf_dir):
-    return events(spark, sf_dir).withColumn("r", F.row_number().over(by_time()) - 1).where("r % 5 = 0").select("seq_id", "event_id", F.col("r").cast("long").alias("r"))
+    return prefix.scan(events(spark, sf_dir), DAYS, n=prefix.running_count()).select("seq_id", "event_id", (F.col("n") - 1).alias("r")).where("r % 5 = 0")
 
 
 @query(f"WITH {EV} SELECT seq_id, event_id, coalesce(us > lag(us) OVER (PARTITION BY seq_id ORDER BY event_id), true) AS ok FROM ev")
@@ -157,13 +150,14 @@ def monotonic_flag(spark, sf_dir):
 
 @query(f"WITH {EV}, c AS (SELECT seq_id, event_id, us, row_number() OVER (PARTITION BY seq_id ORDER BY us) - 1 AS idx FROM ev) SELECT seq_id, event_id, idx FROM c WHERE idx <= 20")
 def playback_prefix(spark, sf_dir):
-    return events(spark, sf_dir).withColumn("idx", (F.row_number().over(by_time()) - 1).cast("long")).where("idx <= 20").select("seq_id", "event_id", "idx")
+    return prefix.scan(events(spark, sf_dir), DAYS, n=prefix.running_count()).select("seq_id", "event_id", (F.col("n") - 1).alias("idx")).where("idx <= 20")
 
 
 @query(f"WITH {EV}, {POSED} SELECT seq_id, event_id, round(px - first_value(px) OVER w, 6) AS px, round(py - first_value(py) OVER w, 6) AS py, round(pz - first_value(pz) OVER w, 6) AS pz, round((us - first_value(us) OVER w) * 1e-6, 3) AS t FROM posed WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY seq_id ORDER BY us)")
 def origin_shift(spark, sf_dir):
-    moved = [F.round(F.col(c) - F.first(c).over(upto()), 6).alias(c) for c in ("px", "py", "pz")]
-    return truths(spark, sf_dir).select("seq_id", "event_id", *moved, F.round((F.col("us") - F.min("us").over(Window.partitionBy("seq_id"))) * 1e-6, 3).alias("t"))
+    rows = prefix.scan(truths(spark, sf_dir), DAYS, start=prefix.first_value(F.struct("us", "px", "py", "pz")))
+    moved = [F.round(F.col(c) - F.col(f"start.{c}"), 6).alias(c) for c in ("px", "py", "pz")]
+    return rows.select("seq_id", "event_id", *moved, F.round((F.col("us") - F.col("start.us")) * 1e-6, 3).alias("t"))
 
 
 @query(f"WITH {EV}, {POSED} SELECT event_id, py AS east, px AS north, -pz AS up FROM posed WHERE event_type = 'click'")
@@ -248,7 +242,7 @@ def fifo_last_n(spark, sf_dir):
  FROM (SELECT *, unnest(range(1, len(rows) + 1)) AS i FROM RECURSIVE_STATES)""")
 def health_fsm(spark, sf_dir):
     rows = events(spark, sf_dir).select("seq_id", "us", (F.col("event_type") != "error").alias("visual"), F.when(F.col("k") < 15, 5).otherwise(30).alias("features"), (F.col("value") < 400).alias("valid"), (F.col("event_type") != "signup").alias("ready"))
-    return folds.health_states(rows, 10, 3)
+    return folds.health_states(rows, 10, 3, DAYS)
 
 
 @query(f"WITH {EV} SELECT seq_id, count(*) AS frames, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'view') AS tracked FROM ev GROUP BY seq_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..operators.prefix import HOUR, running_count, scan
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
@@ -83,6 +84,6 @@ def messages(states: DataFrame) -> DataFrame:
     return states.select("seq_id", "us", F.to_json(body).alias("value"))
 
 
-def every(rows: DataFrame, n: int) -> DataFrame:
+def every(rows: DataFrame, n: int, span: int = HOUR) -> DataFrame:
     """Each n-th row of a sequence by time, for a sampled console."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("seq_id").orderBy("us"))).where(F.col("_r") % n == 0).drop("_r")
+    return scan(rows, span, _r=running_count()).where(F.col("_r") % n == 0).drop("_r")
