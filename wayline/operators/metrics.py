@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .order import summarize
 from .prefix import HOUR, neighbour, scan
 
 
@@ -16,8 +17,8 @@ def rmse(x: Column) -> Column:
 
 
 def error_summary(error: Column, order: Column, prefix: str = "") -> list[Column]:
-    """RMSE, mean, median, population deviation, extremes and last value of an error."""
-    named = {"rmse": rmse(error), "mean": F.avg(error), "median": F.percentile(error, 0.5), "std": F.stddev_pop(error), "min": F.min(error), "max": F.max(error), "final": F.max_by(error, order)}
+    """RMSE, mean, population deviation, extremes and last value of an error; medians are from order.py."""
+    named = {"rmse": rmse(error), "mean": F.avg(error), "std": F.stddev_pop(error), "min": F.min(error), "max": F.max(error), "final": F.max_by(error, order)}
     return [c.alias(prefix + n) for n, c in named.items()]
 
 
@@ -36,7 +37,7 @@ def length_ratio(est: Column, true: Column) -> Column:
 
 
 def latency_summary(x: Column) -> list[Column]:
-    named = {"count": F.count(x), "mean": F.avg(x), "median": F.percentile(x, 0.5), "p95": F.percentile(x, 0.95), "min": F.min(x), "max": F.max(x), "total": F.sum(x)}
+    named = {"count": F.count(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "total": F.sum(x)}
     return [c.alias(n) for n, c in named.items()]
 
 
@@ -123,12 +124,13 @@ def evaluation(pairs: DataFrame, est: DataFrame, true: DataFrame, ahead: dict[st
             "velocity_error": g.norm(diff(VEL, TRUE_VEL)),
         }
     )
-    whole = lambda x, name: [rmse(F.col(x)).alias(f"{name}_rmse"), F.avg(x).alias(f"{name}_mean"), F.percentile(x, 0.5).alias(f"{name}_median"), F.max(x).alias(f"{name}_max")]
+    whole = lambda x, name: [rmse(F.col(x)).alias(f"{name}_rmse"), F.avg(x).alias(f"{name}_mean"), F.max(x).alias(f"{name}_max")]
     aggs = [F.count("*").alias("matched"), F.count_distinct("other_id").alias("_used"), F.count("velocity_error").alias("_moving")]
     aggs += error_summary(F.col("position_error"), F.struct("us", "event_id"), "ate_")
     aggs += [c for p, t, a in zip(POS, TRUE_POS, "xyz", strict=True) for c in axis_summary(F.col(p) - F.col(t), a)]
     aggs += [*whole("orientation_error", "orientation"), *whole("drift", "drift"), *whole("velocity_error", "velocity")]
-    out = rows.groupBy(*by).agg(*aggs)
+    middle = {"ate_median": "position_error", "orientation_median": "orientation_error", "drift_median": "drift", "velocity_median": "velocity_error"}
+    out = summarize(rows, by, aggs, {n: (c, 0.5) for n, c in middle.items()})
     out = out.withColumns({c: F.when(F.col("_moving") == F.col("matched"), F.col(c)) for c in out.columns if c.startswith("velocity_")})
     for side, name in ((est, "n_est"), (true, "n_true")):
         out = out.join(side.groupBy(*by).agg(F.count("*").alias(name)), by, "left")

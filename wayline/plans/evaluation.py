@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import joins, metrics
+from ..operators import joins, metrics, order
 from ..operators.tables import saved
 from ..sources import files
 from .common import DAYS, EV, HOUR, NAMES, NEAR, POSED, TRUE, estimates, events, pairs, posed, query, samples, truths
@@ -26,7 +26,8 @@ def rounded(cols, digits=6):
 
 
 def summary(rows, error, by, digits=6):
-    out = rows.groupBy(*by).agg(*metrics.error_summary(error, F.struct("us", "event_id")))
+    rows = rows.select(*by, "us", "event_id", error.alias("_error"))
+    out = order.summarize(rows, by, metrics.error_summary(F.col("_error"), F.struct("us", "event_id")), {"median": ("_error", 0.5)})
     return out.select(*by, *(F.round(c, digits).alias(c) for c in ("rmse", "mean", "median", "std", "min", "max", "final")))
 
 
@@ -55,7 +56,8 @@ def axis_errors(spark, sf_dir):
 @query(f"WITH {NEAR} SELECT seq_id, count(*) AS n, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(max(x), 4) AS max FROM (SELECT seq_id, degrees(2 * acos(least(1.0::DOUBLE, abs({DOT})))) AS x FROM pairs) GROUP BY seq_id")
 def orientation_error(spark, sf_dir):
     x = g.q_angle(g.vec(*NAMES[6:]), g.vec(*TRUE[6:]))
-    out = pairs(spark, sf_dir).withColumn("x", x).groupBy("seq_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.max("x").alias("max"))
+    rows = pairs(spark, sf_dir).select("seq_id", x.alias("x"))
+    out = order.summarize(rows, ["seq_id"], [F.count("*").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max")], {"median": ("x", 0.5)})
     return out.select("seq_id", "n", *(F.round(c, 4).alias(c) for c in ("mean", "median", "max")))
 
 
@@ -70,8 +72,9 @@ def rel_sql(ahead: str) -> str:
 
 
 def rpe(ahead):
-    rows = metrics.relative_errors(ahead)
-    out = rows.groupBy("seq_id").agg(F.count("*").alias("n"), metrics.rmse(F.col("translation")).alias("translation_rmse"), F.avg("translation").alias("translation_mean"), F.percentile("translation", 0.5).alias("translation_median"), F.max("translation").alias("translation_max"), F.avg("rotation").alias("rotation_mean"), F.max("rotation").alias("rotation_max"))
+    rows = metrics.relative_errors(ahead).select("seq_id", "translation", "rotation")
+    aggs = [F.count("*").alias("n"), metrics.rmse(F.col("translation")).alias("translation_rmse"), F.avg("translation").alias("translation_mean"), F.max("translation").alias("translation_max"), F.avg("rotation").alias("rotation_mean"), F.max("rotation").alias("rotation_max")]
+    out = order.summarize(rows, ["seq_id"], aggs, {"translation_median": ("translation", 0.5)})
     return out.select("seq_id", "n", *(F.round(c, 5).alias(c) for c in ("translation_rmse", "translation_mean", "translation_median", "translation_max")), *(F.round(c, 3).alias(c) for c in ("rotation_mean", "rotation_max")))
 
 
@@ -124,7 +127,8 @@ def umeyama_similarity(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS min, max(value) AS max, round(sum(value), 2) AS total FROM ev GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    out = events(spark, sf_dir).groupBy("event_type").agg(*metrics.latency_summary(F.col("value")))
+    rows = events(spark, sf_dir).select("event_type", "value")
+    out = order.summarize(rows, ["event_type"], metrics.latency_summary(F.col("value")), {"median": ("value", 0.5), "p95": ("value", 0.95)})
     return out.select("event_type", "count", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p95")), "min", "max", F.round("total", 2).alias("total"))
 
 

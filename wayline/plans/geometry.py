@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import folds, mapping, validate
+from ..operators import folds, mapping, order, validate
 from .common import EV, FIELDS, POSED, SYNC, estimates, events, query, synced
 
 A, B = ("aw", "ax", "ay", "az"), ("dw", "dx", "dy", "dz")
@@ -181,7 +181,10 @@ def mapping_statistics(spark, sf_dir):
     ok = F.col("status") == "SUCCESS"
     e = F.when(ok, (F.col("e0") + F.col("e1")) / 2)
     z = F.when(ok, F.col("z0"))
-    return judged(spark, sf_dir).agg(F.count("*").alias("attempts"), F.count_if(ok).alias("landmarks"), F.count_if(~ok).alias("rejected"), F.round(F.avg(e), 6).alias("mean_error"), F.round(F.percentile(e, 0.5), 6).alias("median_error"), F.round(F.min(z), 6).alias("min_depth"), F.round(F.max(z), 6).alias("max_depth"))
+    rows = judged(spark, sf_dir).select(ok.alias("ok"), e.alias("e"), z.alias("z"))
+    aggs = [F.count("*").alias("attempts"), F.count_if("ok").alias("landmarks"), F.count_if(~F.col("ok")).alias("rejected"), F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.min("z"), 6).alias("min_depth"), F.round(F.max("z"), 6).alias("max_depth")]
+    out = order.summarize(rows, [], aggs, {"median_error": ("e", 0.5)})
+    return out.withColumn("median_error", F.round("median_error", 6))
 
 
 @query(f"WITH {TRIES}, d AS (SELECT track, min(kf) FILTER (status = 'SUCCESS') AS done FROM judged GROUP BY track) SELECT track, any_value(done) AS kf, count(*) AS attempts FROM judged JOIN d USING (track) WHERE done IS NULL OR kf <= done GROUP BY track")
