@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -11,26 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import inertial
+from .inertial import GRAVITY, NOMINAL_DT, STATE
 from .prefix import HOUR, first_value, in_spans, running_count, running_sum, scan
 
-GRAVITY, NOMINAL_DT = 9.81, 0.005
-
-
-STATE = ("px", "py", "pz", "vx", "vy", "vz", "qw", "qx", "qy", "qz")
 #: What a fold over intervals needs besides: the steps' time, and number and sums of finite specific forces.
 TOTALS = ("dt", "n_ok", "fx", "fy", "fz")
 
 
-def turned(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Rows of v turned by rows of unit quaternions."""
-    t = 2 * np.cross(q[:, 1:], v)
-    return v + q[:, :1] * t + np.cross(q[:, 1:], t)
-
-
 def integrate(rows: DataFrame, *keys: str, totals: bool = False) -> DataFrame:
     """keys and the state (STATE) after integrating each row's samples (array of us, ax..az, wx..wz, by
-    time) from rest: all rows of an Arrow batch advance together, one sample after another. With totals also
-    TOTALS.
+    time) from rest: the steps of all rows of an Arrow batch are combined together, pair by pair. With totals
+    also TOTALS. For intervals too long for an array see inertial.integrate_rows.
 
     n samples give n - 1 steps, each of the time to the next; one sample alone has a nominal step.
     """
@@ -47,30 +40,17 @@ def integrate(rows: DataFrame, *keys: str, totals: bool = False) -> DataFrame:
             get = lambda *names: np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)  # noqa: B023, E731
             us = flat.field("us").to_numpy(zero_copy_only=False)
             force, rate = get("ax", "ay", "az"), get("wx", "wy", "wz")
-            first = np.cumsum(n) - n
-            p, v, q = np.zeros((len(n), 3)), np.zeros((len(n), 3)), np.tile([1.0, 0, 0, 0], (len(n), 1))
-            time = np.zeros(len(n))
-            for s in range(max(1, int(n.max(initial=0)) - 1)):
-                on = np.flatnonzero((n > s + 1) | ((n == 1) & (s == 0)))
-                if not len(on):
-                    break
-                at = first[on] + s
-                lone = n[on] == 1
-                dt = np.where(lone, NOMINAL_DT, (us[np.where(lone, at, at + 1)] - us[at]) * 1e-6)[:, None]
-                time[on] += dt[:, 0]
-                size = np.linalg.norm(rate[at], axis=1, keepdims=True)
-                half = size * dt / 2
-                k = np.where(size * dt > 1e-8, np.sin(half) / np.where(size == 0, 1, size), dt / 2)
-                a = turned(q[on], force[at]) + [0, 0, GRAVITY]
-                p[on] += v[on] * dt + 0.5 * a * dt * dt
-                v[on] += a * dt
-                w, x = np.cos(half), rate[at] * k
-                old = q[on]
-                new = np.concatenate([old[:, :1] * w - (old[:, 1:] * x).sum(axis=1, keepdims=True), old[:, :1] * x + w * old[:, 1:] + np.cross(old[:, 1:], x)], axis=1)
-                q[on] = new / np.linalg.norm(new, axis=1, keepdims=True)
-            state = np.concatenate([p, v, q], axis=1)
+            owner = np.repeat(np.arange(len(n)), n)
+            lone, last = n[owner] == 1, np.zeros(len(owner), bool)
+            last[np.cumsum(n)[n > 0] - 1] = True
+            on = np.flatnonzero(lone | ~last)  # n samples make n - 1 steps
+            gap = np.where(lone[on], NOMINAL_DT, (us[np.minimum(on + 1, len(us) - 1)] - us[on]) * 1e-6) if len(on) else np.zeros(0)
+            whole, heads = inertial.reduced(inertial.steps(force[on], rate[on], gap), owner[on])
+            elements = inertial.identity(len(n))
+            elements[heads] = whole
+            state, time = inertial.fallen(elements), elements[:, 10]
             if totals:
-                ok, owner = np.isfinite(force).all(axis=1), np.repeat(np.arange(len(n)), n)
+                ok = np.isfinite(force).all(axis=1)
                 sums = [np.bincount(owner, ok, len(n)), *(np.bincount(owner, np.where(ok, force[:, i], 0), len(n)) for i in range(3))]
                 state = np.column_stack([state, time, *sums])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(state[:, i].copy()) for i in range(len(names)))], [*keys, *names])
@@ -262,6 +242,16 @@ FUSED = "seq_id long, us long, px double, py double, pz double, vx double, vy do
 
 
 def fuse(rows: DataFrame, rotation_weight: float = 0.5, direction_weight: float = 0.5, level_after: int = 5) -> DataFrame:
+    """Trajectory of each sequence, from its rest on to its end; see fuse_on."""
+    return fuse_on(rows, None, rotation_weight, direction_weight, level_after).where("status <> 'STATE'").select(*(f.split()[0] for f in FUSED.split(", ")))
+
+
+def fusion_ends(fused: DataFrame) -> DataFrame:
+    """seq_id, state of the sequences that fuse_on has put out, for it to go on from."""
+    return fused.where("status = 'STATE'").select("seq_id", "state")
+
+
+def fuse_on(rows: DataFrame, start: DataFrame | None, rotation_weight: float = 0.5, direction_weight: float = 0.5, level_after: int = 5, hold: bool = False) -> DataFrame:
     """Trajectory of each sequence from rows (seq_id, us, samples, success, turn (quaternion of the body's
     visual rotation), heading (unit direction in the body frame)).
 
@@ -269,15 +259,27 @@ def fuse(rows: DataFrame, rotation_weight: float = 0.5, direction_weight: float
     mixing visual and inertial turns, is left as a few sums for each row, carried from row to row over rows
     sorted by sequence and time, so that a task holds one batch whatever a sequence's length. Starts at
     rest; once level_after samples came, roll and pitch are set from them.
+
+    Each sequence ends with a row of status STATE whose `state` says all that is carried along. start (seq_id,
+    state) are states to go on from; a sequence without one starts anew, so no row there is a reset. With hold,
+    the row of a sequence that isn't levelled yet is kept back in its state, for a later run to put out.
     """
-    names = [f.split()[0] for f in FUSED.split(", ")]
+    names = [*(f.split()[0] for f in FUSED.split(", ")), "state"]
+    held = lambda x: tuple(map(held, x)) if isinstance(x, list) else x
+
+    def ended(now, out):
+        if now["first"] is not None and not hold:
+            out.append((*now["first"], None))
+        out.append((now["seq"], now["last"], *now["p"], *now["v"], *now["q"], "STATE", json.dumps(now)))
 
     def steps(rows, now, out):
         """Extends now, the state carried along, by rows; finished rows go to out."""
-        for seq, us, success, turn, heading, px, py, pz, vx, vy, vz, *q, dt, n, fx, fy, fz in rows:
+        for seq, us, success, turn, heading, past, px, py, pz, vx, vy, vz, *q, dt, n, fx, fy, fz in rows:
             if now is None or now["seq"] != seq:
-                if now is not None and now["first"] is not None:
-                    out.append(now["first"])
+                if now is not None:
+                    ended(now, out)
+                now = None if past is None else {k: held(x) for k, x in json.loads(past).items()}
+            if now is None:
                 now = {"seq": seq, "last": us, "p": (0.0, 0.0, 0.0), "v": (0.0, 0.0, 0.0), "q": (1.0, 0.0, 0.0, 0.0), "n": 0.0, "f": (0.0, 0.0, 0.0)}
                 now["first"] = (seq, us, *now["p"], *now["v"], *now["q"], "INITIALIZED")
                 continue
@@ -288,7 +290,7 @@ def fuse(rows: DataFrame, rotation_weight: float = 0.5, direction_weight: float
                     now["q"] = tuple(level(np.array(mean)).tolist())
                     # the row put out before is the state from which levelling starts
                     first = now["first"]
-                    out.append((seq, first[1] if now.get("moved") is None else now["last"], *now["p"], *now["v"], *now["q"], "INITIALIZED"))
+                    out.append((seq, first[1] if now.get("moved") is None else now["last"], *now["p"], *now["v"], *now["q"], "INITIALIZED", None))
                     now["first"] = None
             p, v, q0 = now["p"], now["v"], now["q"]
             fall = GRAVITY * dt
@@ -307,22 +309,27 @@ def fuse(rows: DataFrame, rotation_weight: float = 0.5, direction_weight: float
                 gone = max((us - now["last"]) * 1e-6, 1e-4)
                 new_p, new_v, status = tuple(a + b for a, b in zip(p, moved)), tuple(a / gone for a in moved), "TRACKING_OK"
             now |= {"p": new_p, "v": new_v, "q": new_q, "last": us, "moved": True}
-            out.append((seq, us, *new_p, *new_v, *new_q, status))
+            out.append((seq, us, *new_p, *new_v, *new_q, status, None))
         return now
 
     def run(batches):
-        now, kinds = None, pa.schema([(c, pa.int64() if i < 2 else pa.string() if c == "status" else pa.float64()) for i, c in enumerate(names)])
+        now, kinds = None, pa.schema([(c, pa.int64() if i < 2 else pa.string() if c in ("status", "state") else pa.float64()) for i, c in enumerate(names)])
         made = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds.types)], names)
         for batch in batches:
             out = []
             now = steps(zip(*(c.to_pylist() for c in batch.columns), strict=True), now, out)
             yield made(out)
-        if now is not None and now["first"] is not None:
-            yield made([now["first"]])
+        if now is not None:
+            ended(now, out := [])
+            yield made(out)
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    moved = integrate(rows, "seq_id", "us", "success", "turn", "heading", totals=True)
-    return moved.repartition(parts, "seq_id").sortWithinPartitions("seq_id", "us").mapInArrow(run, FUSED)
+    if start is None:
+        rows = rows.withColumn("_past", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(start.select("seq_id", F.col("state").alias("_past")), "seq_id", "left")
+    moved = integrate(rows, "seq_id", "us", "success", "turn", "heading", "_past", totals=True)
+    return moved.repartition(parts, "seq_id").sortWithinPartitions("seq_id", "us").mapInArrow(run, FUSED + ", state string")
 
 
 def multiply(a, b):
@@ -348,20 +355,27 @@ POSE = ("px", "py", "pz", "qw", "qx", "qy", "qz")
 KEYS = "seq_id long, us long, keyframe long"
 
 
-def key_frames(rows: DataFrame, distance: float = 0.15, degrees: float = 5.0, interval: int = 15, little: float = 0.04, least: int = 15) -> DataFrame:
+def key_frames(rows: DataFrame, distance: float = 0.15, degrees: float = 5.0, interval: int = 15, little: float = 0.04, least: int = 15, start: DataFrame | None = None) -> DataFrame:
     """Greedy choice of key frames from rows (seq_id, us, px.., qw.., features), each against the last one
     chosen; keyframe numbers them. The first row is always one.
 
     Read in order of sequence and time with only the last choice carried along, so a task holds one batch.
+    start (seq_id, seen, chosen, px.., qw..), as last_key_frames gives it, are states to go on from.
     """
+    begun = ("seen", "chosen", *POSE)
+    rows = rows.select("seq_id", "us", *POSE, "features")
+    if start is None:
+        rows = rows.withColumn("_start", F.lit(None).cast("struct<" + ", ".join(f"{c}: {'long' if i < 2 else 'double'}" for i, c in enumerate(begun)) + ">"))
+    else:
+        rows = rows.join(start.select("seq_id", F.struct(*begun).alias("_start")), "seq_id", "left")
 
     def run(batches):
         seq, seen, chosen, last = None, 0, 0, None
         for batch in batches:
             out = []
-            for sid, us, px, py, pz, qw, qx, qy, qz, features in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sid, us, px, py, pz, qw, qx, qy, qz, features, past in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sid != seq or last is None:
-                    seq, seen, chosen, last = sid, 0, 0, None
+                    seq, seen, chosen, last = (sid, 0, 0, None) if past is None else (sid, past["seen"], past["chosen"], tuple(past[c] for c in POSE))
                 seen += 1
                 if last is not None:
                     moved = math.dist((px, py, pz), last[:3])
@@ -374,4 +388,17 @@ def key_frames(rows: DataFrame, distance: float = 0.15, degrees: float = 5.0, in
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["seq_id", "us", "keyframe"])
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.select("seq_id", "us", *POSE, "features").repartition(parts, "seq_id").sortWithinPartitions("seq_id", "us").mapInArrow(run, KEYS)
+    return rows.select("seq_id", "us", *POSE, "features", "_start").repartition(parts, "seq_id").sortWithinPartitions("seq_id", "us").mapInArrow(run, KEYS)
+
+
+def last_key_frames(rows: DataFrame, chosen: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """seq_id, seen, chosen and the pose of the last key frame of each sequence, for key_frames to go on from;
+    rows and chosen are what it read and gave, start what it started from."""
+    seen = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("seen"))
+    last = chosen.groupBy("seq_id").agg((F.max("keyframe") + 1).alias("chosen"), F.max("us").alias("us")).join(rows.select("seq_id", "us", *POSE), ["seq_id", "us"]).drop("us")
+    now = seen.join(last, "seq_id", "left")
+    if start is None:
+        return now
+    both = now.join(start.select("seq_id", F.struct("seen", "chosen", *POSE).alias("_start")), "seq_id", "full")
+    seen = F.coalesce("seen", F.lit(0)) + F.coalesce("_start.seen", F.lit(0))
+    return both.select("seq_id", seen.alias("seen"), *(F.coalesce(c, f"_start.{c}").alias(c) for c in ("chosen", *POSE)))
