@@ -6,17 +6,16 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..operators.prefix import HOUR, running_count, scan
+from .sequence import placed_lines
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """line, x, y, z, r, g, b of ASCII point clouds; malformed rows are skipped, a missing colour is 120."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"), F.col("_metadata.file_path").alias("file"))
-    end = F.min(F.when(F.trim("text") == "end_header", F.col("line"))).over(Window.partitionBy("file"))
-    rows = text.withColumn("end", end).where("line > end").withColumn("f", F.split(F.trim("text"), r"\s+"))
+    """line, x, y, z, r, g, b of ASCII point clouds, read in splits; malformed rows are skipped, a missing colour is 120."""
+    header = running_count(F.when(F.trim("text") == "end_header", 1))
+    rows = placed_lines(spark, path, ends=header).where("ends > 0").withColumn("f", F.split(F.trim("text"), r"\s+"))
     at = lambda i, kind: F.try_element_at("f", F.lit(i)).try_cast(kind)
     rows = rows.select("line", *(at(i + 1, "double").alias(c) for i, c in enumerate("xyz")), *(F.coalesce(at(i + 4, "int"), F.lit(120)).alias(c) for i, c in enumerate("rgb")))
     return rows.where("x is not null and y is not null and z is not null")

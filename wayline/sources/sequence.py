@@ -10,9 +10,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import finite
+from ..operators.prefix import Scan, nearest, running_count, scan
 
 SENSORS = {"cam": "cam0/data.csv", "imu": "imu0/data.csv", "truth": "state_groundtruth_estimate0/data.csv"}
 TRUTH = ["px", "py", "pz", "qw", "qx", "qy", "qz", "vx", "vy", "vz", "wx", "wy", "wz", "ax", "ay", "az"]
@@ -23,20 +23,37 @@ def sensor_path(root: str, sensor: str, nested: bool = True) -> str:
     return f"{root}/{'mav0/' if nested else ''}{SENSORS[sensor]}"
 
 
+def placed_lines(spark: SparkSession, path: str, **carried: Scan) -> DataFrame:
+    """_file, text, line (place in the file, from 0) and the scans `carried` along each file's lines.
+
+    Files are split by ranges of bytes among tasks; a split's start and a line's place within it make the
+    order. How many lines come before a split, and what is carried over its start, comes from a table of one
+    row for each split, so a file of any size is read by many tasks.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_span"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text"))
+    rows = scan(rows, None, ["_row"], seq="_file", line=running_count(), **carried)
+    return rows.withColumn("line", F.col("line") - 1).drop("_span", "_row")
+
+
+def is_data() -> Column:
+    return (F.trim("text") != "") & ~F.trim("text").startswith("#")
+
+
 def lines(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """seq_id, line, fields: lines without blanks and comments, split at commas.
 
-    Files are split among tasks, and line is a number that grows along each split. With ordered, line is
-    the place in the file, which then is read as one row: for files of up to some hundred megabytes.
+    Files are split among tasks, and line is a number that grows along each split. With ordered, line is the
+    place in the file, and before_ns is the time that the data line before has, whatever split it is in.
     """
-    seq = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(?:mav0/)?[^/]+/[^/]+$", 1)
-    text = spark.read.text(path, wholetext=ordered).select(seq.alias("seq_id"), "value")
     if ordered:
-        rows = text.select("seq_id", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+        time = F.trim(F.split("text", ",")[0]).try_cast("long")
+        rows = placed_lines(spark, path, before_ns=nearest(F.struct(time.alias("ns")), is_data(), strict=True))
+        rows = rows.withColumn("before_ns", F.col("before_ns.ns"))
     else:
-        rows = text.select("seq_id", F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
-    rows = rows.where((F.trim("text") != "") & ~F.trim("text").startswith("#"))
-    return rows.select("seq_id", "line", F.transform(F.split("text", ","), lambda f: F.trim(f)).alias("fields"))
+        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
+    seq = F.regexp_extract("_file", r"([^/]+)/(?:mav0/)?[^/]+/[^/]+$", 1)
+    fields = F.transform(F.split("text", ","), lambda f: F.trim(f))
+    return rows.where(is_data()).select(seq.alias("seq_id"), "line", fields.alias("fields"), *(["before_ns"] if ordered else []))
 
 
 def fail(message: str) -> Column:
@@ -78,9 +95,8 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     order; quaternions are normalized and turned to w >= 0."""
     ok = F.size("fields").between(11, 17)
     rows = lines(spark, path, ordered=True).withColumn("fields", F.when(ok, F.col("fields")).otherwise(fail("not 11 to 17 fields").cast("array<string>")))
-    rows = rows.select("seq_id", "line", time_ns().alias("ts_ns"), *(number(i + 1, 0.0 if i >= 10 else None).alias(c) for i, c in enumerate(TRUTH)))
-    before = F.lag("ts_ns").over(Window.partitionBy("seq_id").orderBy("line"))
-    rows = rows.withColumn("before", before).withColumn("ts_ns", F.when(F.col("before") > F.col("ts_ns"), fail("time decreases").cast("long")).otherwise(F.col("ts_ns")))
+    rows = rows.select("seq_id", "line", time_ns().alias("ts_ns"), *(number(i + 1, 0.0 if i >= 10 else None).alias(c) for i, c in enumerate(TRUTH)), "before_ns")
+    rows = rows.withColumn("ts_ns", F.when(F.col("before_ns") > F.col("ts_ns"), fail("time decreases").cast("long")).otherwise(F.col("ts_ns")))
     n = F.sqrt(sum((F.col(c) * F.col(c) for c in ("qx", "qy", "qz")), F.col("qw") * F.col("qw")))
     unit = F.when(n < 1e-6, fail("quaternion near zero").cast("double")).otherwise(n) * F.when(F.col("qw") < 0, -1.0).otherwise(1.0)
     rows = rows.withColumn("unit", unit)
