@@ -115,3 +115,20 @@ def test_replay_restarts_from_its_checkpoint(spark, tmp_path):
     assert sorted(map(tuple, out.drop("batch").collect())) == sorted(map(tuple, want.collect()))
     spans = sorted((r.batch, r.lo, r.hi) for r in out.groupBy("batch").agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).collect())
     assert len(spans) >= 7 and all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))  # by time
+
+
+def test_offsets_after_restarts(tmp_path):
+    recorded(tmp_path, 50)
+    made = lambda: replay.SequenceStream(str(tmp_path), "imu", 500, 400)
+    stream = made()
+    first = stream.initialOffset()["ns"]
+    assert [stream.latestOffset()["ns"] for _ in range(3)] == [first + k * 400_000_000 for k in (1, 2, 3)]
+    within = made()  # an unfinished batch is planned anew
+    within.partitions({"ns": first}, {"ns": first + 7})
+    assert within.latestOffset()["ns"] == first + 7 + 400_000_000
+    after = made()  # the last batch was finished
+    end = after.latestOffset()["ns"]
+    lines = [r for p in after.partitions({"ns": first + 7}, {"ns": end}) for b in after.read(p) for r in b.to_pylist()]
+    everything = [r for p in made().partitions({"ns": first}, {"ns": end}) for b in after.read(p) for r in b.to_pylist()]
+    assert len(everything) == 100 and sorted(r["ts_ns"] for r in lines) == sorted(r["ts_ns"] for r in everything if r["ts_ns"] >= first + 7)
+    assert after.latestOffset()["ns"] == end
