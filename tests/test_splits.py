@@ -94,7 +94,7 @@ def test_replay_restarts_from_its_checkpoint(spark, tmp_path):
 
     def run(batches):
         """Replays some batches and stops: as a process that ends would, without a last word."""
-        df = spark.readStream.format(replay.NAME).option("rangeBytes", 900).option("stepMs", 400).load(str(tmp_path / "in"))
+        df = spark.readStream.format(replay.NAME).option("rangeBytes", 900).option("stepMs", 400).option("checkpoint", f"{tmp_path}/check").load(str(tmp_path / "in"))
         q = df.writeStream.foreachBatch(lambda t, i: t.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{tmp_path}/out/{i:03d}")).option("checkpointLocation", f"{tmp_path}/check").start()
         try:
             for _ in range(600):
@@ -118,17 +118,20 @@ def test_replay_restarts_from_its_checkpoint(spark, tmp_path):
 
 
 def test_offsets_after_restarts(tmp_path):
-    recorded(tmp_path, 50)
-    made = lambda: replay.SequenceStream(str(tmp_path), "imu", 500, 400)
-    stream = made()
+    recorded(tmp_path / "in", 50)
+    made = lambda check: replay.SequenceStream(str(tmp_path / "in"), "imu", 500, 400, str(tmp_path / check))
+    stream = made("none")
     first = stream.initialOffset()["ns"]
-    assert [stream.latestOffset()["ns"] for _ in range(3)] == [first + k * 400_000_000 for k in (1, 2, 3)]
-    within = made()  # an unfinished batch is planned anew
-    within.partitions({"ns": first}, {"ns": first + 7})
-    assert within.latestOffset()["ns"] == first + 7 + 400_000_000
-    after = made()  # the last batch was finished
-    end = after.latestOffset()["ns"]
-    lines = [r for p in after.partitions({"ns": first + 7}, {"ns": end}) for b in after.read(p) for r in b.to_pylist()]
-    everything = [r for p in made().partitions({"ns": first}, {"ns": end}) for b in after.read(p) for r in b.to_pylist()]
+    steps = [stream.latestOffset()["ns"] for _ in range(20)]
+    assert steps[:3] == [first + k * 400_000_000 for k in (1, 2, 3)] and steps[-1] == steps[-2]
+    (tmp_path / "check/offsets").mkdir(parents=True)
+    for i, ns in ((9, first + 3), (10, first + 7)):
+        (tmp_path / f"check/offsets/{i}").write_text('v1\n{"batchWatermarkMs":0}\n{"ns": %d}' % ns)
+    after = made("check")
+    assert after.latestOffset()["ns"] == first + 7 + 400_000_000
+    lines = [r for p in after.partitions({"ns": first + 7}, {"ns": steps[-1]}) for b in after.read(p) for r in b.to_pylist()]
+    everything = [r for p in stream.partitions({"ns": first}, {"ns": steps[-1]}) for b in stream.read(p) for r in b.to_pylist()]
     assert len(everything) == 100 and sorted(r["ts_ns"] for r in lines) == sorted(r["ts_ns"] for r in everything if r["ts_ns"] >= first + 7)
-    assert after.latestOffset()["ns"] == end
+    assert replay.SequenceStream(str(tmp_path / "in"), "imu", 500).latestOffset()["ns"] == steps[-1]
+    with pytest.raises(ValueError, match="checkpoint"):
+        replay.SequenceStream(str(tmp_path), "imu", 500, 400)

@@ -3,13 +3,14 @@
 Options: path (a folder of sequences, or one), sensor (cam or imu). Files are listed on the driver and read by
 byte ranges in tasks, through pyarrow's file systems (local, HDFS, S3), so a remote path works too.
 
-A stream replays all sequences by recorded time: each batch goes `step_ms` of it further, from the earliest
-line on. An offset is a time and nothing else, so a restart from a checkpoint asks for the same lines again;
+A stream replays all sequences by recorded time: with the options stepMs and checkpoint (the query's
+checkpointLocation) each batch goes so much of it further, else all there is makes one batch. An offset is a time and nothing else, so a restart from a checkpoint asks for the same lines again;
 which byte ranges hold a time is looked up in an index of ranges made once at the start, one row each.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,7 +131,7 @@ class SequenceSource(DataSource):
         return SequenceReader(self.options["path"], self.sensor(), int(self.options.get("rangebytes", RANGE)))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return SequenceStream(self.options["path"], self.sensor(), int(self.options.get("rangebytes", RANGE)), int(self.options.get("stepms", 1000)))
+        return SequenceStream(self.options["path"], self.sensor(), int(self.options.get("rangebytes", RANGE)), int(self.options.get("stepms", 0)), self.options.get("checkpoint", ""))
 
 
 class SequenceReader(DataSourceReader):
@@ -148,8 +149,10 @@ class SequenceReader(DataSourceReader):
 class SequenceStream(DataSourceStreamReader):
     """Offsets are {"ns": time}: lines of a batch have start <= time < end."""
 
-    def __init__(self, path: str, sensor: str, size: int, step_ms: int):
-        self.path, self.sensor, self.size, self.step = path, sensor, size, step_ms * 1_000_000
+    def __init__(self, path: str, sensor: str, size: int, step_ms: int = 0, checkpoint: str = ""):
+        if step_ms and not checkpoint:
+            raise ValueError("stepMs needs the option checkpoint, the query's checkpointLocation")
+        self.path, self.sensor, self.size, self.step, self.checkpoint = path, sensor, size, step_ms * 1_000_000, checkpoint
         self.index: list[tuple[int, int, Part]] | None = None
         self.at: int | None = None
 
@@ -164,16 +167,28 @@ class SequenceStream(DataSourceStreamReader):
         return self.index
 
     def initialOffset(self) -> dict:
-        self.at = min((lo for lo, _, _ in self.ranges()), default=0)
-        return {"ns": self.at}
+        return {"ns": min((lo for lo, _, _ in self.ranges()), default=0)}
+
+    def logged(self) -> int | None:
+        """The last offset in the checkpoint. Spark doesn't tell a reader where a restart begins, and an offset
+        before that would repeat lines."""
+        fs, top = opened(self.checkpoint)
+        found = fs.get_file_info(pafs.FileSelector(f"{top}/offsets", allow_not_found=True))
+        last = max((int(i.base_name) for i in found if i.base_name.isdigit()), default=None)
+        if last is None:
+            return None
+        with fs.open_input_stream(f"{top}/offsets/{last}") as f:
+            said = [json.loads(x) for x in f.read().decode().splitlines() if x.startswith("{")]
+        return next(x["ns"] for x in said if "ns" in x)
 
     def latestOffset(self) -> dict:
-        """A step further. After a restart at a finished batch Spark doesn't tell where that ended; then all that
-        is left makes one batch, as an offset before the last one would repeat lines."""
         end = max((hi for _, hi, _ in self.ranges()), default=-1) + 1
+        if not self.step:
+            return {"ns": end}
         if self.at is None:
-            self.at = end
-        elif self.at < end:
+            at = self.logged()
+            self.at = self.initialOffset()["ns"] if at is None else at
+        if self.at < end:
             self.at = min(end, self.at + self.step)
         return {"ns": self.at}
 
