@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from wayline.llm.chat import CHAT_SQL, assembled, rotate_speakers
 from wayline.llm.mixing import mix_sources, mixing_sql
@@ -73,6 +74,20 @@ def test_mixing_odd_rows(spark):
     assert not any(r._chosen for r in mix_sources(docs, share=1.0, targets={"source": goal}).collect() if r.source is None)
 
 
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    rows = [(i, "word " * (i % 7), "en", f"s{i % 2}") for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own = ["_weight", "_Topic", "__topic", "_lot", "lot", "doc", "weight", "tokens", "_source", "_chosen", "topic", "a.b"]
+    extra = plain.select("*", *(F.lit(f"mine {c}").alias(c) for c in own))
+    out = mix_sources(extra)
+    assert out.columns == [*extra.columns, "___topic", "_tokens", "__weight", "_probability", "__chosen"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r[c] == f"mine {c}" for r in got.values() for c in own)
+    added = ["_topic", "_tokens", "_weight", "_probability", "_chosen"]
+    want = {r.doc_id: [r[c] for c in added] for r in mix_sources(plain).collect()}
+    assert {i: list(r)[-5:] for i, r in got.items()} == want
+
+
 def test_chat_equals_sql_and_whole_dialogues(spark):
     turns = spark.read.parquet(f"{DIR}/conversations.parquet")
     out = rotate_speakers(turns)

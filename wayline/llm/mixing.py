@@ -83,14 +83,15 @@ def lot(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.7, rounds: int = ROUNDS, seed: int = 17, targets: dict[str, DataFrame] | None = None, tokens: Column | None = None, topic: Column | None = None) -> DataFrame:
-    """The rows of docs with _topic, _tokens, _weight, _probability, _chosen added.
+    """The rows of docs with _topic, _tokens, _weight, _probability, _chosen added; a name that docs has already,
+    in either case, gets another underscore in front.
 
     _weight is the factor by which a cell's tokens are to count after raking to source, language and topic
     marginals; a row is chosen with probability share * _weight, which is never above 1, by a lot drawn
     from its id. So the expected tokens are `share` of all, dealt by the marginals, as far as they have the
     tokens. Null texts count as empty, null sources and languages are values of their own. Rows with equal
     ids share their lot, so they come or go together where their cells agree. Long texts count whole; docs'
-    own columns stay as they are, but for names that begin like the added ones (_source, _topic ...).
+    own columns stay as they are, whatever their names. An empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -99,11 +100,19 @@ def mix_sources(docs: DataFrame, share: float = 0.5, power: float = 0.7, rounds:
     cells = docs.select(*(c.alias(d) for d, c in key.items()), count.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     # one row for each source, language and topic that occur together; saved, so that its size is known
     fitted = ws.save(raked(ws.save(cells), share, power, rounds, targets, ws))
-    factor = fitted.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.round(F.col("weight") / F.col("tokens"), 8).alias("_weight"))
-    rows = docs.withColumns({f"_{d}": c for d, c in key.items()} | {"_tokens": count, "_lot": lot(F.col("doc_id"), text, seed)})
-    out = rows.join(factor, [f"_{d}" for d in DIMENSIONS])
-    out = out.withColumn("_probability", F.round(F.least(F.lit(1.0), share * F.col("_weight")), 8))
-    return out.select(*docs.columns, "_topic", "_tokens", "_weight", "_probability", (F.col("_lot") < F.col("_probability")).alias("_chosen"))
+    factor = fitted.select(*DIMENSIONS, F.round(F.col("weight") / F.col("tokens"), 8).alias("weight"))
+    # docs' columns travel as one, so that none can be taken for one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(c.alias(d) for d, c in key.items()), count.alias("tokens"), lot(F.col("doc_id"), text, seed).alias("lot"))
+    probability = F.round(F.least(F.lit(1.0), share * F.col("weight")), 8)
+    added = {"_topic": F.col("topic"), "_tokens": F.col("tokens"), "_weight": F.col("weight"), "_probability": probability, "_chosen": F.col("lot") < probability}
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = "_" + name
+        return name
+
+    return rows.join(factor, list(DIMENSIONS)).select("doc.*", *(c.alias(free(n)) for n, c in added.items()))
 
 
 def filled_sql(name: str, source: str, value: str, most: str, goal: str, by: str = "") -> str:
