@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..operators import folds, joins, learning, mapping, prefix, validate
+from ..operators import folds, joins, learning, mapping, points, prefix, validate
 from .common import DAYS, EV, FIELDS, HOUR, NEAR, POSED, SYNC, TOLERANCE, estimates, events, frames, pairs, query, samples, synced, truths
 
 DAY = 24 * HOUR
@@ -105,6 +105,20 @@ def track_propagation(spark, sf_dir):
     return mapping.track_ids(joins.nearest_points(points, 60.0))
 
 
+@query(f"""WITH RECURSIVE {EV}, p AS (SELECT us // {DAY} AS frame, event_id AS idx, value AS u, k::DOUBLE AS v, (event_id * 7919) % 1009 AS strength FROM ev),
+ o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY strength DESC, idx) AS r FROM p),
+ t AS (SELECT frame, r, [{{'idx': idx, 'u': u, 'v': v, 'strength': strength}}] AS taken FROM o WHERE r = 1
+  UNION ALL SELECT o.frame, o.r, CASE WHEN len(list_filter(taken, lambda a: pow(a.u - o.u, 2) + pow(a.v - o.v, 2) < 900)) = 0 THEN list_append(taken, {{'idx': idx, 'u': o.u, 'v': o.v, 'strength': o.strength}}) ELSE taken END
+  FROM t JOIN o ON o.frame = t.frame AND o.r = t.r + 1),
+ l AS (SELECT frame, unnest(taken) AS a FROM t QUALIFY row_number() OVER (PARTITION BY frame ORDER BY r DESC) = 1),
+ n AS (SELECT frame, a.idx AS idx, a.strength AS strength, row_number() OVER (PARTITION BY frame ORDER BY a.strength DESC, a.idx) AS rank FROM l)
+ SELECT frame, idx, strength, rank::INTEGER AS rank FROM n WHERE rank <= 30""")
+def strongest_spaced_points(spark, sf_dir):
+    """A day's events as points of a frame: the strongest 30 that are 30 apart."""
+    rows = events(spark, sf_dir).select(F.lit(0).alias("seq_id"), F.floor(F.col("us") / DAY).alias("frame"), F.col("event_id").alias("idx"), F.col("value").alias("u"), F.col("k").cast("double").alias("v"), ((F.col("event_id") * 7919) % 1009).alias("strength"))
+    return points.strongest_points(rows, 30.0, 30).select("frame", "idx", "strength", "rank")
+
+
 @query(f"""WITH {EV}, w AS (SELECT seq_id, us, event_id, lag(us) OVER (PARTITION BY seq_id ORDER BY us) AS prev_us FROM ev)
  SELECT seq_id, event_id, prev_us, round(CASE WHEN (us - prev_us) IS NULL THEN 0.05 ELSE greatest((us - prev_us) * 1e-6, 1e-4) END, 6) AS dt FROM w""")
 def clamped_time_steps(spark, sf_dir):
