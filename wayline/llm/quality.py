@@ -25,11 +25,17 @@ PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 SHARED = 30.0
 #: Rows of a pool that starts are searched in, random starts, and candidates that go on to all rows.
 SEARCHED, STARTS, CANDIDATES = 500, 30, 2
-#: A candidate has converged where a step lowers the log determinant by less; steps at most.
-SETTLED, STEPS = 1e-3, 15
+#: A candidate has converged where a step lowers the log determinant by less. Each other step lowers it by at
+#: least as much and FLOORS bound it from below, so steps come to an end without a cap.
+SETTLED = 1e-3
 MODEL = "pool string, start int, mu array<double>, scatter array<double>, precision array<double>, logdet double"
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """Tables of a row or two to each pool in as many tasks as there are cores, not in one to each shuffle partition."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def features() -> list[Column]:
     rate = lambda c: F.col(c) / (F.col("n_lines") + LINES if c == "n_dup_lines" else F.col("n_words") + PRIOR)
     out = [F.log((F.col("word_chars") + 5 * PRIOR) / (F.col("n_words") + PRIOR)).alias("word_length")]
@@ -95,7 +101,7 @@ def starting(good: DataFrame, prior: DataFrame, share: float) -> DataFrame:
         found = searched(t[NAMES].to_numpy(float), share, mu0, t0, STARTS, 7)
         return pd.DataFrame([model_row(t["pool"].iloc[0], i, mu, scatter) for i, (_, mu, scatter) in enumerate(found)], columns=[f.split()[0] for f in MODEL.split(", ")])
 
-    return few.select("pool", "_h", *NAMES).join(prior, "pool").groupBy("pool").applyInPandas(one, MODEL)
+    return few_tasks(few.select("pool", "_h", *NAMES).join(prior, "pool").groupBy("pool").applyInPandas(one, MODEL))
 
 
 def model_row(pool: str, start: int, mu: np.ndarray, scatter: np.ndarray) -> tuple:
@@ -104,7 +110,8 @@ def model_row(pool: str, start: int, mu: np.ndarray, scatter: np.ndarray) -> tup
 
 
 def moments(df: DataFrame) -> DataFrame:
-    return df.groupBy("pool", "start").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(NAMES)), *(F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i, j in PAIRS))
+    sums = df.groupBy("pool", "start").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(NAMES)), *(F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i, j in PAIRS))
+    return few_tasks(sums)
 
 
 def model(table: DataFrame, prior: DataFrame, factor: float = 1.0) -> DataFrame:
@@ -127,7 +134,7 @@ def model(table: DataFrame, prior: DataFrame, factor: float = 1.0) -> DataFrame:
 def innermost(near: DataFrame, share: float, ws: Workspace) -> DataFrame:
     """The share of each pool's rows of least d2; ties at its edge are all taken in. The edges, a row to each
     candidate, are saved: being of known size they are joined without gathering a pool in one task."""
-    edge = ws.save(near.groupBy("pool", "start").agg(F.percentile_approx("d2", share, 10_000).alias("edge")))
+    edge = ws.save(few_tasks(near.groupBy("pool", "start").agg(F.percentile_approx("d2", share, 10_000).alias("edge"))))
     return near.join(edge, ["pool", "start"]).where("d2 <= edge")
 
 
@@ -136,18 +143,20 @@ def least_determinant(good: DataFrame, prior: DataFrame, share: float, ws: Works
 
     prior has (pool, mu0, t0): an estimate that counts as SHARED further rows of the pool. Candidates
     found in a part of each pool take concentration steps over all its rows until they settle; the one of
-    least determinant is kept, and its scatter made consistent for normal rows.
+    least determinant is kept, and its scatter made consistent for normal rows. The determinant over a part
+    is no measure for one over all rows, so each candidate takes two steps at least.
     """
-    fitted = ws.save(starting(good, prior, share).withColumn("done", F.lit(False)))
-    for _ in range(STEPS):
-        going = fitted.where("not done")
-        if going.isEmpty():
-            break
+    settled = None
+    going = ws.save(starting(good, prior, share).withColumn("logdet", F.lit(float("inf"))))
+    while not going.isEmpty():
         near = distance(good, going.select("pool", "start", "mu", "precision"), "inner")
         new = model(moments(innermost(near, share, ws)), prior).join(going.select("pool", "start", F.col("logdet").alias("before")), ["pool", "start"])
-        new = new.withColumn("done", F.col("before") - F.col("logdet") < SETTLED).drop("before")
-        fitted = ws.save(new.unionByName(fitted.where("done")))
-    best = ws.save(fitted.groupBy("pool").agg(F.min_by(F.struct("start", "mu", "precision"), F.struct("logdet", "start")).alias("m")).select("pool", "m.*"))
+        new = ws.save(new.withColumn("done", F.col("before") - F.col("logdet") < SETTLED).drop("before"))
+        done, going = new.where("done").drop("done"), new.where("not done").drop("done")
+        settled = done if settled is None else settled.unionByName(done)
+    if settled is None:
+        return going
+    best = ws.save(few_tasks(settled.groupBy("pool").agg(F.min_by(F.struct("start", "mu", "precision"), F.struct("logdet", "start")).alias("m"))).select("pool", "m.*"))
     return ws.save(model(moments(innermost(distance(good, best, "inner"), share, ws)), prior, consistency(share)))
 
 
@@ -218,9 +227,9 @@ def quality_rules(docs: DataFrame, share: float = 0.75, tail: float = 1e-6, carr
     stats = ws.save(pooled(measured(docs, "doc_id", "lang", "source")))
     good = stats.where("not base_failed").select("doc_id", "by_lang", "pool", *NAMES)
     langs = good.select("doc_id", F.col("by_lang").alias("pool"), *NAMES)
-    prior = ws.save(langs.select("pool").distinct().crossJoin(F.broadcast(everything(good, ws))))
+    prior = ws.save(few_tasks(langs.select("pool").distinct()).crossJoin(F.broadcast(everything(good, ws))))
     by_lang = least_determinant(langs, prior, share, ws)
-    prior = good.select("pool", "by_lang").distinct().join(by_lang.select(F.col("pool").alias("by_lang"), F.col("mu").alias("mu0"), F.col("scatter").alias("t0")), "by_lang")
+    prior = few_tasks(good.select("pool", "by_lang").distinct()).join(by_lang.select(F.col("pool").alias("by_lang"), F.col("mu").alias("mu0"), F.col("scatter").alias("t0")), "by_lang")
     fitted = least_determinant(good, ws.save(prior.select("pool", "mu0", "t0")), share, ws).select("pool", "mu", "precision")
     limit = chi2_quantile(1 - tail, D)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
