@@ -17,8 +17,11 @@ from .workspace import Workspace
 SAMPLE = 4_000
 #: Weight of a word that says nothing of the label, as a factor of its IDF, and how many standard errors
 #: are taken off the distance of a word's log odds that is added to it. Every word of the examples counts.
-FLOOR, ERRORS = 0.05, 2.0
+FLOOR, ERRORS = 0.1, 2.0
 NEIGHBOURS, BLOCK = 15, 64
+#: A neighbour's vote counts by this power of its cosine; as many votes of average rows, in proportion to all
+#: labels, are added to those of the neighbours, so that near neighbours of one label say more than far ones.
+POWER, PRIOR = 2, 1.0
 #: The most frequent terms of the examples are held as a dense matrix, the others as posting lists.
 HEAD = 256
 
@@ -57,8 +60,8 @@ class Index:
     """Distinct unit vectors of the examples: the most frequent terms as blocks of a matrix with the greatest
     impact of each term in each block of examples, all other terms as posting lists."""
 
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], pos: np.ndarray, neg: np.ndarray, example: np.ndarray):
-        self.idf, self.pos, self.neg, self.example, self.vectors = idf, pos, neg, example, vectors
+    def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], pos: np.ndarray, neg: np.ndarray, example: np.ndarray, prior: tuple[float, float] = (PRIOR / 2, PRIOR / 2)):
+        self.idf, self.pos, self.neg, self.example, self.vectors, self.prior = idf, pos, neg, example, vectors, prior
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
@@ -116,14 +119,14 @@ class Index:
         return best_doc, best
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray, leave: int | None = None) -> float:
-        """Share of label 1 among the neighbours, weighted by cosine**4 and the rows each stands for."""
+        """Log ratio of the votes for label 1 to those for 0, each neighbour's weighed by cosine**POWER and the
+        rows it stands for, the prior's added."""
         pos, neg = self.pos[docs].copy(), self.neg[docs].copy()
         if leave is not None:
             own = docs == leave
             pos[own], neg[own] = 0, 0
-        w = cosines**4
-        total = float((w * (pos + neg)).sum())
-        return float((w * pos).sum()) / total if total else -1.0
+        w = cosines**POWER
+        return float(np.log(((w * pos).sum() + self.prior[0]) / ((w * neg).sum() + self.prior[1])))
 
 
 def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -142,11 +145,6 @@ def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return float(max(a, 1e-3)), float(b)
 
 
-def logit(v):
-    v = np.clip(v, 0.005, 0.995)
-    return np.log(v / (1 - v))
-
-
 def word_weights(n1: np.ndarray, n0: np.ndarray, most1: int, most0: int, df: np.ndarray, total: int) -> np.ndarray:
     """IDF of words times how surely their log odds differ between the n1 of most1 and n0 of most0 examples with them."""
     odds = np.log((n1 + 0.5) / (most1 - n1 + 0.5)) - np.log((n0 + 0.5) / (most0 - n0 + 0.5))
@@ -157,8 +155,8 @@ def word_weights(n1: np.ndarray, n0: np.ndarray, most1: int, most0: int, df: np.
 class Model:
     """The words of the examples, their weights, and the examples as flat arrays; tasks make the index of it once."""
 
-    def __init__(self, vocab, weights, terms, counts, first, pos, neg, example):
-        self.vocab, self.weights, self.flat = vocab, weights, (terms, counts, first, pos, neg, example)
+    def __init__(self, vocab, weights, terms, counts, first, pos, neg, example, prior):
+        self.vocab, self.weights, self.prior, self.flat = vocab, weights, prior, (terms, counts, first, pos, neg, example)
         self.made = None
 
     def index(self) -> Index:
@@ -170,12 +168,12 @@ class Model:
             often = np.bincount(terms, minlength=len(self.weights))[terms] if len(terms) else terms
             kind = [int(terms[a:z][np.argmax(w[a:z] * (often[a:z] * 50 > len(pos)))]) for a, z in zip(first[:-1], first[1:], strict=True)]
             order = np.argsort(np.array(kind, np.int64), kind="stable")
-            self.made = Index(self.weights, [(terms[first[i] : first[i + 1]], w[first[i] : first[i + 1]]) for i in order], pos[order], neg[order], example[order])
+            self.made = Index(self.weights, [(terms[first[i] : first[i + 1]], w[first[i] : first[i + 1]]) for i in order], pos[order], neg[order], example[order], self.prior)
             self.flat = None
         return self.made
 
     def __getstate__(self):
-        return {"vocab": self.vocab, "weights": self.weights, "flat": self.flat, "made": None}
+        return {"vocab": self.vocab, "weights": self.weights, "prior": self.prior, "flat": self.flat, "made": None}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Workspace, size: int = SAMPLE):
@@ -230,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Works
     lists = [kinds[c].chunk(0) if len(kinds) else pa.array([], pa.list_(pa.int64())) for c in ("words", "counts")]
     first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
     at = np.searchsorted(vocab, lists[0].flatten().to_numpy().view(np.uint64)).astype(np.int32)
+    mass = PRIOR * (n0 * stands[0] + n1 * stands[1]) / max(1, n0 + n1)
+    prior = ((mass or PRIOR) * share[1] / sum(share), (mass or PRIOR) * share[0] / sum(share))
     pos, neg = kinds["n1"].to_numpy() * stands[1], kinds["n0"].to_numpy() * stands[0]
-    model = spark.sparkContext.broadcast(Model(vocab, weights, at, lists[1].flatten().to_numpy().astype(np.int32), first, pos, neg, kinds["doc_id"].to_numpy()))
+    model = spark.sparkContext.broadcast(Model(vocab, weights, at, lists[1].flatten().to_numpy().astype(np.int32), first, pos, neg, kinds["doc_id"].to_numpy(), prior))
 
     def votes(batches):
         index = model.value.index()
@@ -239,8 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, ws: Works
             x = []
             for i in batch.column(0).to_pylist():  # each kind votes on itself without its own rows
                 v = index.vote(*index.nearest(*index.vectors[i], NEIGHBOURS + 1), leave=i)
-                if v >= 0:
-                    x.append((float(logit(v)), float(index.pos[i]), float(index.neg[i])))
+                x.append((v, float(index.pos[i]), float(index.neg[i])))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in x], pa.float64()) for c in range(3)], ["x", "pos", "neg"])
 
     x = y = weight = np.zeros(0)
@@ -261,7 +260,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     the examples. The space of vectors is that of all words of the examples, none left out; words that no
     example has have no place in it. A text that shares no word with an example, null and empty ones too,
     gets the rate of wordless texts. Examples of equal vectors are one neighbour that stands for all of
-    them, so ties aren't cut. Without labels of both kinds the score is the rate alone. Null ids are never
+    them, so ties aren't cut. Without labels of both kinds the votes are
+    not calibrated: scores are the votes' share with the prior. Null ids are never
     held out and never learned from; repeated rows are scored as often as they come. Other columns of docs
     and labels aren't read, whatever their names.
     """
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
                         known.clear()
                     found, cosine = index.nearest(t, index.unit(t, c), k)
                     v = index.vote(found, cosine)
-                    p = rate if v < 0 else float(1 / (1 + np.exp(-np.clip(slope * logit(v) + intercept, -30, 30))))
+                    p = float(1 / (1 + np.exp(-np.clip(slope * v + intercept, -30, 30))))
                     known[key] = p, [{"doc_id": int(index.example[i]), "cosine": float(x)} for i, x in zip(found[:3], cosine[:3], strict=True)]
                 score[d], near[d] = known[key]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
