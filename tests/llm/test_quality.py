@@ -84,7 +84,7 @@ def brute_mcd(x, mu0, t0, share, starts=400, seed=1):
 def test_estimates_equal_brute_force(spark, monkeypatch, part):
     """With starts searched in whole pools, and in 40 rows of each: of the 127 rows of English, the one larger pool.
 
-    In 15 rows of each pool (two starts hardly differ) estimates were not all equal; why was not looked into.
+    In 15 rows of each pool estimates were not all equal; why was not looked into.
     """
     monkeypatch.setattr(quality, "SEARCHED", part)
     near = 1e-6 if part == 500 else 1e-3
