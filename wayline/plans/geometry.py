@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import folds, mapping, order, validate
+from ..operators import consensus, folds, mapping, order, validate
 from .common import EV, FIELDS, POSED, SYNC, estimates, events, query, synced
 
 A, B = ("aw", "ax", "ay", "az"), ("dw", "dx", "dy", "dz")
@@ -297,3 +297,38 @@ def map_triangulation(spark, sf_dir):
     obs = rows.select(F.col("vec_id").alias("track"), "kf", F.array(*(e for r in roll for e in r)).alias("r"), F.array(*place).alias("c"), u.alias("u"), v.alias("v"))
     out = mapping.build_map(obs, LENS, rounds=25)
     return out.select("track", "kf", "attempts", *(F.round(c, 4).alias(c) for c in ("x", "y", "z", "depth")), F.round(F.abs("error"), 4).alias("error"))
+
+
+PINHOLE = {c: LENS[c] for c in ("fx", "fy", "cx", "cy")}
+POINTS3 = " UNION ALL ".join(f"SELECT vec_id, vec_id * 4 + {j} AS idx, 8 * {element(3 * j + 1)} AS x, 8 * {element(3 * j + 2)} AS y, 6 + 8 * {element(3 * j + 3)} AS z FROM embeddings" for j in range(4))
+
+
+@query(f"""WITH p AS ({POINTS3}), m AS (SELECT vec_id // 500 AS seq_id, (vec_id % 500) // 50 AS frame, idx, x, y, z FROM p),
+ k AS (SELECT *, cos(0.03 + 0.01 * (frame % 4)) AS ca, sin(0.03 + 0.01 * (frame % 4)) AS sa, cos(0.15 * (frame % 5)) AS tx, sin(0.15 * (frame % 5)) AS tz FROM m WHERE frame <> 7 OR idx % 60 = 0),
+ v AS (SELECT *, x / z AS x0, y / z AS y0, (ca*x + sa*z + 0.5*tx) / (ca*z - sa*x + 0.5*tz) AS x1,
+  y / (ca*z - sa*x + 0.5*tz) + CASE WHEN idx % 10 IN (0, 3, 7) OR (frame = 6 AND idx % 10 > 0) THEN (40 + 7 * (idx % 5)) * CASE WHEN idx % 3 = 0 THEN -1 ELSE 1 END / 515::DOUBLE ELSE 0 END AS y1 FROM k),
+ e AS (SELECT *, -tz*y0 AS e0, (tz*ca + tx*sa)*x0 + tz*sa - tx*ca AS e1, tx*y0 AS e2, (tz*ca + tx*sa)*y1 AS b0, tx - tz*x1 AS b1 FROM v),
+ c AS (SELECT seq_id, frame, count(*) AS tracked, count(*) FILTER (pow(x1*e0 + y1*e1 + e2, 2) / (e0*e0 + e1*e1 + b0*b0 + b1*b1) <= pow(1 / 517.5::DOUBLE, 2)) AS near,
+  any_value(ca) AS ca, any_value(sa) AS sa, any_value(tx) AS tx, any_value(tz) AS tz FROM e GROUP BY ALL),
+ s AS (SELECT *, CASE WHEN tracked < 60 THEN 'insufficient' WHEN frame = 9 THEN 'non-finite' WHEN frame = 8 THEN 'degenerate' WHEN near < 60 THEN 'few inliers' ELSE 'ok' END AS status FROM c)
+ SELECT seq_id, frame, status = 'ok' AS success, tracked, CASE WHEN status = 'ok' THEN near END AS inliers, CASE WHEN status = 'ok' THEN near END AS front, status,
+  {', '.join(f"round(CASE WHEN status = 'ok' THEN {e} END, 4) AS r{i}" for i, e in enumerate(('ca', '0::DOUBLE', 'sa', '0::DOUBLE', '1::DOUBLE', '0::DOUBLE', '-sa', '0::DOUBLE', 'ca')))},
+  {', '.join(f"round(CASE WHEN status = 'ok' THEN {e} END, 4) AS {n}" for n, e in (('tx', 'tx'), ('ty', '0::DOUBLE'), ('tz', 'tz')))} FROM s""")
+def relative_motion(spark, sf_dir):
+    """Points seen from two views that turn and move, a third of them displaced; some frames have too few
+    points, no spread, a NaN, or more displaced points than not."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = lambda i: 8 * F.col("embedding")[i].cast("double")
+    made = F.array(*(F.struct((F.col("vec_id") * 4 + j).alias("idx"), e(3 * j).alias("x"), e(3 * j + 1).alias("y"), (6 + e(3 * j + 2)).alias("z")) for j in range(4)))
+    rows = rows.select(F.floor(F.col("vec_id") / 500).alias("seq_id"), F.floor(F.col("vec_id") % 500 / 50).alias("frame"), F.inline(made))
+    frame, idx = F.col("frame"), F.col("idx")
+    turn, way = 0.03 + 0.01 * (frame % 4), 0.15 * (frame % 5)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    matrix = ((F.cos(turn), zero, F.sin(turn)), (zero, one, zero), (-F.sin(turn), zero, F.cos(turn)))
+    there = g.add(g.m_apply(matrix, g.vec("x", "y", "z")), (0.5 * F.cos(way), zero, 0.5 * F.sin(way)))
+    (u0, v0), (u1, v1) = g.project(g.vec("x", "y", "z"), **PINHOLE), g.project(there, **PINHOLE)
+    off = F.when((idx % 10).isin(0, 3, 7) | ((frame == 6) & (idx % 10 > 0)), (40 + 7 * (idx % 5)) * F.when(idx % 3 == 0, -1).otherwise(1)).otherwise(0)
+    rows = rows.where((frame != 7) | (idx % 60 == 0)).select("seq_id", "frame", "idx", F.when(frame == 8, 100.0).otherwise(u0).alias("u0"), v0.alias("v0"), F.when((frame == 9) & (idx % 97 == 5), float("nan")).otherwise(u1).alias("u1"), (v1 + off).alias("v1"))
+    out = consensus.relative_motion(rows, **PINHOLE, least=60)
+    found = [F.when(F.col("success"), F.col(c)).alias(c) for c in ("inliers", "front")]
+    return out.select("seq_id", "frame", "success", "tracked", *found, "status", *(F.round(F.col("r")[i], 4).alias(f"r{i}") for i in range(9)), *(F.round(F.col("t")[i], 4).alias(n) for i, n in enumerate(("tx", "ty", "tz"))))
