@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import cross, dot, finite
+from ..functions.geometry import finite
 from .tables import saved
 
 FRAME = ["seq_id", "frame"]
@@ -18,7 +18,6 @@ LOT = 1 << 20
 #: The monomials x1[i] * x0[j] that an essential matrix weighs, in its order by rows.
 MONOMIALS = [(i, j) for i in range(3) for j in range(3)]
 UPPER = [(a, b) for a in range(9) for b in range(a, 9)]
-Matrix = list[Column]
 
 
 def essential(e: np.ndarray) -> np.ndarray:
@@ -63,56 +62,54 @@ def poses(e: np.ndarray) -> np.ndarray:
     return np.stack(flat, axis=-2)
 
 
-def sampson(e: Matrix) -> Column:
-    """Squared distance of a pair from its epipolar lines to first order, for nine values by rows."""
-    a, b = (F.col("x0"), F.col("y0"), F.lit(1.0)), (F.col("x1"), F.col("y1"), F.lit(1.0))
-    ea = tuple(dot(tuple(e[3 * i : 3 * i + 3]), a) for i in range(3))
-    eb = tuple(dot(tuple(e[j::3]), b) for j in range(2))
-    size = ea[0] * ea[0] + ea[1] * ea[1] + eb[0] * eb[0] + eb[1] * eb[1]
-    off = dot(b, ea)
-    return F.when(size > 0, off * off / size).otherwise(F.lit(float("inf")))
-
-
-def in_front(p: Matrix, far: float) -> Column:
-    """Whether a pair's point lies before both views, at most `far` baselines away, under a motion of twelve values."""
-    a, b, t = (F.col("x0"), F.col("y0"), F.lit(1.0)), (F.col("x1"), F.col("y1"), F.lit(1.0)), tuple(p[9:12])
-    ra = tuple(dot(tuple(p[3 * i : 3 * i + 3]), a) for i in range(3))
-    normal = cross(b, ra)
-    size = dot(normal, normal)
-    d0, d1 = -dot(cross(b, t), normal) / size, -dot(cross(ra, t), normal) / size
-    return (size > 0) & (d0 > 0) & (d1 > 0) & (d0 < far) & (d1 < far)
-
-
-def values(column: str, first: int, n: int) -> Matrix:
-    return [F.col(column)[first + i] for i in range(n)]
+def with_errors(rows: DataFrame, n: int) -> DataFrame:
+    """Adds err0, ..: squared distance of a pair from its epipolar lines to first order, for each of n matrices in e."""
+    lines = []
+    for k in range(n):
+        at = lambda i, j, k=k: f"e[{9 * k + 3 * i + j}]"
+        lines += [f"{at(i, 0)} * x0 + {at(i, 1)} * y0 + {at(i, 2)} AS a{k}_{i}" for i in range(3)]
+        lines += [f"{at(0, j)} * x1 + {at(1, j)} * y1 + {at(2, j)} AS b{k}_{j}" for j in range(2)]
+    sizes = [f"a{k}_0 * a{k}_0 + a{k}_1 * a{k}_1 + b{k}_0 * b{k}_0 + b{k}_1 * b{k}_1 AS size{k}" for k in range(n)]
+    offs = [f"x1 * a{k}_0 + y1 * a{k}_1 + a{k}_2 AS off{k}" for k in range(n)]
+    errors = [f"CASE WHEN size{k} > 0 THEN off{k} * off{k} / size{k} ELSE double('inf') END AS err{k}" for k in range(n)]
+    return rows.selectExpr("*", *lines).selectExpr(*rows.columns, *sizes, *offs).selectExpr(*rows.columns, *errors)
+
+
+def with_depths(rows: DataFrame, n: int) -> DataFrame:
+    """Adds, for each of n motions in p, near0, .. and far0, .., the depths in both views times size0, .. (not negative)."""
+    turned = [f"p[{12 * m + 3 * i}] * x0 + p[{12 * m + 3 * i + 1}] * y0 + p[{12 * m + 3 * i + 2}] AS r{m}_{i}" for m in range(n) for i in range(3)]
+    dots = []
+    for m in range(n):
+        t = [f"p[{12 * m + 9 + i}]" for i in range(3)]
+        dots += [f"r{m}_0 * r{m}_0 + r{m}_1 * r{m}_1 + r{m}_2 * r{m}_2 AS rr{m}", f"r{m}_0 * x1 + r{m}_1 * y1 + r{m}_2 AS rb{m}"]
+        dots += [f"{t[0]} * r{m}_0 + {t[1]} * r{m}_1 + {t[2]} * r{m}_2 AS tr{m}", f"{t[0]} * x1 + {t[1]} * y1 + {t[2]} AS tb{m}"]
+    # least squares of depth0 * r + t = depth1 * b
+    depths = [e for m in range(n) for e in (f"rb{m} * tb{m} - bb * tr{m} AS near{m}", f"rr{m} * tb{m} - rb{m} * tr{m} AS far{m}", f"rr{m} * bb - rb{m} * rb{m} AS size{m}")]
+    return rows.selectExpr("*", *turned).selectExpr(*rows.columns, "x1 * x1 + y1 * y1 + 1 AS bb", *dots).selectExpr(*rows.columns, *depths)
 
 
 def voting(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """rows with their frame's candidates; a frame of many rows is dealt to as many lots as it has."""
-    each = saved(candidates).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    return rows.join(each, [*FRAME, "lot"])
+    """rows with their frame's candidates (a saved table, so that its size is known); a frame of many rows is dealt
+    to as many lots as it has."""
+    return rows.join(candidates.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))), [*FRAME, "lot"])
 
 
 def elected(rows: DataFrame, candidates: DataFrame, n: int, limit: float, far: float | None = None) -> DataFrame:
     """Per frame the candidate (of n in `e`) with most pairs within the limit, then the least cost, then the first.
 
-    With `far`, `p` has the four motions of each, and the motion that most of these pairs are in front of is chosen.
+    With `far`, `p` has the four motions of each, and the motion is chosen under which most of these pairs lie in
+    front of both views, at most `far` baselines away.
     """
-    sums = []
-    for k in range(n):
-        error = sampson(values("e", 9 * k, 9))
-        near = error <= limit
-        sums += [F.count_if(near).alias(f"n{k}"), F.sum(F.least(error, F.lit(limit))).alias(f"c{k}")]
-        if far is not None:
-            sums += [F.count_if(near & in_front(values("p", 48 * k + 12 * m, 12), far)).alias(f"f{k}_{m}") for m in range(4)]
-    told = voting(rows, candidates).groupBy(*FRAME).agg(*sums)
-    options = []
-    for k in range(n):
-        fields = [F.col(f"n{k}").alias("votes"), (-F.col(f"c{k}")).alias("gain"), F.lit(-k).alias("rank")]
-        if far is not None:
-            fields.append(F.array_max(F.array(*(F.struct(F.col(f"f{k}_{m}").alias("front"), F.lit(-m).alias("rank")) for m in range(4)))).alias("pose"))
-        options.append(F.struct(*fields))
-    return told.select(*FRAME, F.array_max(F.array(*options)).alias("best"))
+    told = with_errors(voting(rows, candidates), n)
+    sums = [e for k in range(n) for e in (f"count_if(err{k} <= {limit!r}D) AS n{k}", f"sum(least(err{k}, {limit!r}D)) AS c{k}")]
+    pose = lambda k: ""
+    if far is not None:
+        told = with_depths(told, 4 * n)
+        within = lambda c, m: f"{c}{m} > 0 AND {c}{m} < {float(far)!r}D * size{m}"
+        sums += [f"count_if(err{m // 4} <= {limit!r}D AND {within('near', m)} AND {within('far', m)}) AS f{m}" for m in range(4 * n)]
+        pose = lambda k: ", 'pose', array_max(array(" + ", ".join(f"named_struct('front', f{4 * k + m}, 'rank', {-m})" for m in range(4)) + "))"
+    options = ", ".join(f"named_struct('votes', n{k}, 'gain', -c{k}, 'rank', {-k}{pose(k)})" for k in range(n))
+    return told.groupBy(*FRAME).agg(*map(F.expr, sums)).selectExpr(*FRAME, f"array_max(array({options})) AS best")
 
 
 def relative_motion(pairs: DataFrame, fx: float, fy: float, cx: float, cy: float, least: int = 8, threshold: float = 1.0, tries: int = 256, pool: int = 512, keep: int = 8, far: float = 50.0, seed: int = 0) -> DataFrame:
@@ -160,12 +157,13 @@ def relative_motion(pairs: DataFrame, fx: float, fy: float, cx: float, cy: float
 
     first = saved(fit.join(sample, FRAME).select(*fit.columns, guess("sample").alias("e")))
     best = elected(rows, first, keep, limit).join(first, FRAME)
-    best = best.select(*fit.columns, F.slice("e", 1 - 9 * F.col("best.rank"), 9).alias("e"))
+    best = saved(best.select(*fit.columns, F.slice("e", 1 - 9 * F.col("best.rank"), 9).alias("e")))
 
-    a, b = ((*(((F.col(x) - F.col("mean")[i]) / F.col("spread")[i]) for i, x in part), F.lit(1.0)) for part in (tuple(enumerate(POINT))[:2], tuple(enumerate(POINT))[2:]))
-    terms = [b[i] * a[j] for i, j in MONOMIALS]
-    near = voting(rows, best).where(sampson(values("e", 0, 9)) <= limit).select(*FRAME, "mean", "spread", "e", "lots", *(t.alias(f"t{k}") for k, t in enumerate(terms)))
-    summed = near.groupBy(*FRAME).agg(*(F.first(c).alias(c) for c in ("lots", "mean", "spread", "e")), F.array(*(F.sum(F.col(f"t{p}") * F.col(f"t{q}")) for p, q in UPPER)).alias("sums"))
+    scaled = [f"({x} - mean[{i}]) / spread[{i}]" for i, x in enumerate(POINT)]
+    sides = [[*scaled[:2], "1D"], [*scaled[2:], "1D"]]
+    near = with_errors(voting(rows, best), 1).where(f"err0 <= {limit!r}D")
+    near = near.selectExpr(*FRAME, "lots", "mean", "spread", "e", *(f"{sides[1][i]} * {sides[0][j]} AS t{k}" for k, (i, j) in enumerate(MONOMIALS)))
+    summed = near.groupBy(*FRAME).agg(*(F.first(c).alias(c) for c in ("lots", "mean", "spread", "e")), F.expr("array(" + ", ".join(f"sum(t{p} * t{q})" for p, q in UPPER) + ")").alias("sums"))
 
     @F.pandas_udf("struct<e: array<double>, p: array<double>>")
     def again(sums: pd.Series, means: pd.Series, spreads: pd.Series, winners: pd.Series) -> pd.DataFrame:
