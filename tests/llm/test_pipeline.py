@@ -69,3 +69,29 @@ def test_copies_from_four_fifths_go(spark):
     got = {r.doc_id for r in without_copies(docs, 5, 80).collect()}
     assert got == {d for d, x in near.items() if x[2]} and len(got) == 120
     assert layout(85) == (16, 22) and layout(80) == (22, 27)
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names; an empty table at each stage."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    plain = " ".join(f"p{i}" for i in range(300))
+    rows = [(1, plain, "en", "web", 1), (1, plain, "en", "web", 1), (2, None, "en", "web", 0), (3, "", None, "web", 0), (None, plain + " x", "en", None, None), (None, None, None, None, None), (4, long, "de", "hot", 9)]
+    docs = spark.createDataFrame([(*r, 0.5, "t", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _weight double, topic string, tokens int")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def out(name, of):
+        stages[name](spark, of, DIR).write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    # base rules fail what has no words; a repeated passage isn't one within a text here
+    judged = out("quality_rules", docs)
+    assert judged.columns == corpus_pipeline.COLUMNS and {r.text for r in judged.collect()} <= {plain, plain + " x", long}
+    cut = {(r.doc_id, r.text) for r in out("suffix_array_dedup", docs).collect()}
+    assert (2, "") in cut and (3, "") in cut and (None, "") in cut and (4, long) in cut and (1, "") in cut
+    mixed = [tuple(r) for r in out("mixing", docs).collect()]
+    assert set(mixed) <= set(rows) and mixed.count(rows[0]) in (0, 2)
+    packed = out("packing", docs).collect()
+    assert sum(r.start == 0 for r in packed) == len(rows) and sum(r.length for r in packed if r.doc_id == 4) > 60_000
+    empty = spark.createDataFrame([], docs.schema)
+    for name in stages:
+        assert out(name, empty).count() == 0, name
