@@ -22,7 +22,11 @@ NEAR, PASSAGE = 80, 250
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within their language's and source's robust bounds."""
+    """Documents that pass the base rules and lie within their language's and source's robust bounds.
+
+    Null and empty texts fail the base rules and go. Null ids, languages and sources stay as they are; repeated rows are
+    judged alike. An empty table gives no rows; columns other than COLUMNS are left out, in all stages.
+    """
     return quality_rules(docs.select(*COLUMNS), carry=True)
 
 
@@ -35,17 +39,29 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of PASSAGE bytes or more that occur more than once; texts may end up empty."""
+    """All documents, without passages of PASSAGE bytes or more that occur more than once; texts may end up empty.
+
+    Null texts count as empty and come out so; of equal texts all lose what is long enough, none being the first.
+    An empty table gives no rows.
+    """
     return remove_repeats(docs.select(*COLUMNS), size=PASSAGE, carry=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled with probabilities raked to source, language and topic marginals."""
+    """Documents sampled with probabilities raked to source, language and topic marginals.
+
+    Rows of equal id and cell come or go together, rows without an id by their text; null and empty texts count as
+    one token and are drawn like others. An empty table gives no rows.
+    """
     return mix_sources(docs.select(*COLUMNS)).where("_chosen").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens as pieces of sequences of 2048."""
+    """The documents' tokens as pieces of sequences of 2048.
+
+    Each row makes a piece at least, null and empty texts too; repeated and null ids are rows like others. An
+    empty table gives no pieces.
+    """
     return pack_documents(docs)
 
 
