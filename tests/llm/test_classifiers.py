@@ -210,3 +210,86 @@ def test_quality_equals_brute_force(spark):
         r = got[d]
         want = 1 / (1 + math.exp(-max(-30.0, min(30.0, r.rank_score - tau))))
         assert abs(r.score - want) < 1e-5 and r.predicted == int(r.score >= 0.5)
+
+
+def test_all_pairs_need_no_listing():
+    """Loss, slope and second derivatives from sums at nodes, against every pair listed; scores near and far apart."""
+    from wayline.llm.ranking import NODES, SPAN, moments, over_pairs
+
+    rng = np.random.default_rng(8)
+    nodes = (np.cos((np.arange(NODES) + 0.5) * np.pi / NODES) + 1) / 2
+    for width in (0.0, 0.3, 3.0, 40.0):
+        w = rng.normal(size=4) * width
+        sides = [rng.normal(size=(n, 4)) + shift for n, shift in ((150, 0.0), (210, 0.4))]
+        at, sums = zip(*(moments(x, x @ w) for x in sides), strict=True)
+        loss, grad, hess = over_pairs([(SPAN * (a[:, None] + nodes)).ravel() for a in at], [m.reshape(-1, m.shape[2]) for m in sums], w)
+        gap = (sides[1][:, None] - sides[0]).reshape(-1, 4)
+        p = 1 / (1 + np.exp(gap @ w))
+        assert np.isclose(loss, np.logaddexp(0, -gap @ w).sum() + w @ w / 2, rtol=1e-11)
+        assert np.allclose(grad, w - p @ gap, rtol=0, atol=1e-9 * len(gap))
+        assert np.allclose(hess, (gap * (p * (1 - p))[:, None]).T @ gap + np.eye(4), rtol=0, atol=1e-9 * len(gap))
+
+
+def test_quality_learns_from_every_label(spark):
+    """More labels than the 20,000 that once were the most: the loss over all pairs of them is flat, the cut the best of all."""
+    rng = np.random.default_rng(5)
+    words = ["plain", "Words", "of", "text.", "#", "12", "go", "go", "A|B", "line\n"]
+    rows, marks = [], []
+    for d in range(33_000):
+        bad = d % 150 == 0
+        picked = rng.choice(len(words), rng.integers(4, 12), p=[0.1] * 4 + [0.1] * 6 if bad else [0.18] * 4 + [0.28 / 6] * 6)
+        rows.append((d, " ".join(words[i] for i in picked)))
+        marks.append((d, int(not bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = np.array([(r.rank_score, r.score) for r in score_quality(docs, labels).orderBy("doc_id").collect()])
+    x = np.array([plain_features(t) for _, t in rows])
+    x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6)
+    y, learn = np.array([q for _, q in marks]), np.array([zlib.crc32(str(d).encode()) % 3 != 1 for d, _ in rows])
+    assert (y[learn] == 1).sum() > 20_000 and (y[learn] == 0).sum() > 100
+    moving = x.std(axis=0) > 0
+    w = np.zeros(len(FEATURES))
+    w[moving] = np.linalg.lstsq(x[:, moving], got[:, 0], rcond=None)[0]
+    assert np.allclose(x @ w, got[:, 0], atol=1e-6)
+    slope = w.copy()
+    for bad in x[learn & (y == 0)]:
+        gap = x[learn & (y == 1)] - bad
+        slope -= (1 / (1 + np.exp(gap @ w))) @ gap
+    assert np.abs(slope).max() < 1e-3  # the sum has millions of pairs
+
+    order = np.argsort(got[learn, 0], kind="stable")
+    s, k = got[learn, 0][order], y[learn][order]
+    wrong = np.concatenate([[0], np.cumsum(2 * k - 1)]) + (k == 0).sum()
+    apart = np.concatenate([[True], np.diff(s) > 1e-9, [True]])
+    assert ((got[learn, 1] >= 0.5) != (y[learn] == 1)).sum() == wrong[apart].min()
+
+
+def test_quality_cut_is_the_best_of_all(spark):
+    """Many equal scores, ranges of scores in tasks of their own, several best cuts, best cuts at either end."""
+    from wayline.llm.ranking import best_cut
+    from wayline.llm.workspace import Workspace
+
+    rng = np.random.default_rng(2)
+    made = [[(int(rng.random() < s / 40 + 0.3), s * 0.5) for s in rng.integers(0, 12, 300).tolist()] for _ in range(2)]
+    for rows in (*made, [(1, 1.0), (0, 2.0)], [(0, 1.0), (1, 2.0), (0, 3.0), (1, 4.0)], [(1, 3.0), (1, 3.0), (0, 3.0)], [(0, 1.0), (0, 1.0 + 1e-12), (1, 1.0 + 1e-12)]):
+        s = sorted({x for _, x in rows})
+        kept = [x for i, x in enumerate(s) if not i or x - s[i - 1] > 1e-9]
+        under = {x: max((z for z in s if z < x), default=None) for x in kept}
+        cuts = [(under[x] + x) / 2 if under[x] is not None else x - 1 for x in kept] + [s[-1] + 1]
+        wrong = [sum((x > c) != bool(k) for k, x in rows) for c in cuts]
+        best = [c for c, n in zip(cuts, wrong, strict=True) if n == min(wrong)]
+        assert best_cut(spark.createDataFrame(rows, "y int, s double"), Workspace(spark)) == best[len(best) // 2]
+
+
+def test_quality_of_repeated_ids(spark):
+    """An id that repeats with other texts or labels is learned from once, the same way however rows are dealt."""
+    rows = [(i, "plain words of text. " * (3 + i % 5) if i % 4 else "# | # 12 go go " * (2 + i % 3)) for i in range(200)]
+    rows += [(i, "other text #" * 4) for i in range(0, 40)] * 3
+    marks = [(i, int(i % 4 > 0)) for i in range(200)] + [(i, i % 2) for i in range(60)] + [(300, 1), (7, 5)]
+    out = []
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows[::1 if n == 1 else -1], "doc_id long, text string").repartition(n)
+        labels = spark.createDataFrame(marks[::1 if n == 1 else -1], "doc_id long, quality int").repartition(n)
+        got = sorted((r.doc_id, round(r.rank_score, 7), round(r.score, 7)) for r in score_quality(docs, labels).collect())
+        assert len(got) == len(rows)
+        out.append(got)
+    assert out[0] == out[1]
