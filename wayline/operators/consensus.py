@@ -35,21 +35,37 @@ def scaling(mean: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hypotheses(points: np.ndarray, tries: int, keep: int, limit: float, seed: int) -> np.ndarray:
-    """The `keep` best of `tries` eight-point solutions from samples of points (n, 4); best by cost on them."""
+    """The `keep` best of `tries` eight-point solutions from samples of points (n, 4), by cost on them; each is fitted
+    again to the points within the limit for as long as that lowers its cost, as eight noisy points alone may miss
+    most of those that they belong to."""
     n = len(points)
     spread = np.maximum(points.std(axis=0), 1e-12)
     t0, t1 = scaling(points.mean(axis=0), spread)
     one = np.ones((n, 1))
     a, b = np.hstack([points[:, :2], one]), np.hstack([points[:, 2:], one])
     rows = np.einsum("ni,nj->nij", b @ t1.T, a @ t0.T).reshape(n, 9)
+
+    def errors(e: np.ndarray) -> np.ndarray:
+        ea, eb = np.einsum("hij,nj->hni", e, a), np.einsum("hji,nj->hni", e, b)
+        size = ea[..., 0] ** 2 + ea[..., 1] ** 2 + eb[..., 0] ** 2 + eb[..., 1] ** 2
+        return np.einsum("hni,ni->hn", ea, b) ** 2 / np.maximum(size, 1e-300)
+
     chosen = np.argsort(np.random.default_rng(seed).random((tries, n)), axis=1)[:, :8]
     _, _, vt = np.linalg.svd(rows[chosen])
     e = essential(t1.T @ vt[:, 8].reshape(-1, 3, 3) @ t0)
-    ea, eb = np.einsum("hij,nj->hni", e, a), np.einsum("hji,nj->hni", e, b)
-    size = ea[..., 0] ** 2 + ea[..., 1] ** 2 + eb[..., 0] ** 2 + eb[..., 1] ** 2
-    error = np.einsum("hni,ni->hn", ea, b) ** 2 / np.maximum(size, 1e-300)
-    best = np.argsort(np.minimum(error, limit).sum(axis=1), kind="stable")
-    return e[best[np.arange(keep) % tries]]
+    error = errors(e)
+    cost = np.minimum(error, limit).sum(axis=1)
+    best = np.argsort(cost, kind="stable")[np.arange(keep) % tries]
+    e, error, cost = e[best], error[best], cost[best]
+    better = np.ones(keep, bool)
+    while better.any():
+        square = np.stack([rows[x].T @ rows[x] for x in error <= limit])
+        fitted = essential(t1.T @ np.linalg.eigh(square)[1][..., 0].reshape(-1, 3, 3) @ t0)
+        new = errors(fitted)
+        less = np.minimum(new, limit).sum(axis=1)
+        better = less < cost - 1e-6 * limit
+        e[better], error[better], cost[better] = fitted[better], new[better], less[better]
+    return e
 
 
 def poses(e: np.ndarray) -> np.ndarray:
